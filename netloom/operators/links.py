@@ -78,10 +78,13 @@ def simple_links(graph: Graph, hub_arcs: int = HUB_ARCS) -> Links:
 
 
 def walk_links(graph: Graph, mode: str = "out", hub_arcs: int = HUB_ARCS) -> Links:
-    """Distinct loop-free arcs a walk may take: along (out), against (in) or across (all)."""
+    """Loop-free arcs a walk may take: along (out), against (in) or across (all) the edges.
+
+    Repeated edges are one arc with their number in ``m``: they are that many ways to step.
+    """
+    arcs = graph.edges.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m"))
     if not graph.directed or mode == "all":
-        return simple_links(graph, hub_arcs)
-    arcs = graph.edges.where("src <> dst").select("src", "dst").distinct()
-    if mode == "in":
-        arcs = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        arcs = both_ways(arcs, "m").groupBy("src", "dst").agg(F.sum("m").alias("m"))
+    elif mode == "in":
+        arcs = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "m")
     return prepare(arcs, hub_arcs)
