@@ -33,7 +33,6 @@ def _dependencies(links: Links, back: Links, batch: DataFrame, symmetric: bool)
         below = here.join(delta.select("s", "vid", "delta"), ["s", "vid"], "left").select(
             "s", "vid", ((1 + F.coalesce("delta", F.lit(0.0))) / F.col("sigma")).alias("c")
         )
-        below = cut(below)
     return vertex, arcs
 
 

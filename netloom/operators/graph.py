@@ -27,14 +27,18 @@ def build_graph(
     directed: bool = False,
     order_by: str | None = None,
     missing: str = "error",
+    scan: bool = False,
 ) -> Graph:
     """Number vertices densely and translate edge ends to the numbers.
 
     The first two edge columns are source and target, the first vertex column is the name;
     all other columns stay as attributes. Vertices follow ``order_by`` (default: the name).
     Without a vertex table the distinct edge ends are the vertices. An end missing from
-    the vertex table is an error, or its edge is dropped, or the vertex is added.
+    the vertex table is an error, or its edge is dropped, or the vertex is added. Edges are
+    read twice, so they are written out first unless they are a plain ``scan``.
     """
+    if not scan:
+        edges = cut(edges)
     source, target, *attrs = edges.columns
     ends = edges.select(F.explode(F.array(f"`{source}`", f"`{target}`")).alias("name")).distinct()
     if vertices is None:

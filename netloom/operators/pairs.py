@@ -12,12 +12,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.runtime import cut
+
 TILE_ROWS = 10_000
 MAX_GRID = 3
 SLACK = 1 + 1e-9
@@ -223,11 +225,12 @@ def tiled_join(
         .groupBy(*key)
         .agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r"))
     )
-    hot = sizes.where((F.col("_l") > 0) & (F.col("_r") > 0) & (F.greatest("_l", "_r") > tile_rows)).select(
+    hot = cut(sizes.where((F.col("_l") > 0) & (F.col("_r") > 0) & (F.greatest("_l", "_r") > tile_rows)).select(
         *key,
         F.ceil(F.col("_l") / tile_rows).alias("_ls"),
         F.ceil(F.col("_r") / tile_rows).alias("_rs"),
-    )
+    ))
+    stripes = not hot.isEmpty()
 
     def striped(side: DataFrame, own: str, other: str, mine: str, theirs: str, seed: int) -> DataFrame:
         return (
@@ -237,18 +240,18 @@ def tiled_join(
             .drop("_ls", "_rs")
         )
 
-    a = striped(left, "_ls", "_rs", "_i", "_j", 1).select(
-        *(F.col(k).alias(f"_a{n}") for n, k in enumerate(key)), F.struct(*left.columns).alias("a"), F.col("_i").alias("_ai"), F.col("_j").alias("_aj")
-    )
-    b = striped(right, "_rs", "_ls", "_j", "_i", 2).select(
-        *(F.col(k).alias(f"_b{n}") for n, k in enumerate(key)), F.struct(*right.columns).alias("b"), F.col("_i").alias("_bi"), F.col("_j").alias("_bj")
-    )
-    same = _all(
-        [F.col(f"_a{n}") == F.col(f"_b{n}") for n in range(len(key))]
-        + [F.col("_ai") == F.col("_bi"), F.col("_aj") == F.col("_bj")]
-    )
+    def packed(side: DataFrame, tag: str) -> DataFrame:
+        extra = [F.col(c).alias(f"_{tag}{c}") for c in ("_i", "_j")] if stripes else []
+        keys = [F.col(k).alias(f"_{tag}{n}") for n, k in enumerate(key)]
+        return side.select(*keys, *extra, F.struct(*(c for c in side.columns if c not in ("_i", "_j"))).alias(tag))
+
+    if stripes:
+        left = striped(left, "_ls", "_rs", "_i", "_j", 1)
+        right = striped(right, "_rs", "_ls", "_j", "_i", 2)
+    names = [str(n) for n in range(len(key))] + (["_i", "_j"] if stripes else [])
+    same = _all([F.col(f"_a{n}") == F.col(f"_b{n}") for n in names])
     # repeated rows make size estimates too low to trust for a broadcast
-    return a.hint("merge").join(b, same & condition).select("a", "b")
+    return packed(left, "a").hint("merge").join(packed(right, "b"), same & condition).select("a", "b")
 
 
 def _grid(prep: _Prepared, limit: int = MAX_GRID) -> tuple[DataFrame, list[str], float]:
@@ -305,6 +308,7 @@ def similarity_edges(
         raise ValueError(f"unknown distance {metric!r}; one of {METRICS}")
     bound = math.nextafter(max_dist, math.inf) if inclusive and math.isfinite(max_dist) else max_dist
     prep = _prepare(df, id_col, cols, metric, bound, p)
+    prep = replace(prep, rows=cut(prep.rows))  # read several times below: id and coordinates only
     x = [F.col(f"a.x{i}") for i in range(prep.dims)]
     y = [F.col(f"b.x{i}") for i in range(prep.dims)]
     dist = distance(metric, x, y, p)

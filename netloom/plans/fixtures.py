@@ -99,7 +99,7 @@ def _supply(spark: SparkSession, folder: str) -> Graph:
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("target"),
         F.col("l_quantity").alias("weight"),
     )
-    return build_graph(edges)
+    return build_graph(edges, scan=True)
 
 
 contact = _once("contact", _contact)

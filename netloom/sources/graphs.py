@@ -25,7 +25,7 @@ def import_graph(
         columns = raw.columns
         numbered = add_row_id(raw)
         vertices = numbered.select(*(f"`{c}`" for c in columns), ROW_ID)
-    graph = build_graph(edges, vertices, directed, order_by=ROW_ID if vertices is not None else None)
+    graph = build_graph(edges, vertices, directed, order_by=ROW_ID if vertices is not None else None, scan=True)
     if vertices is not None:
         graph = Graph(graph.vertices.drop(ROW_ID), graph.edges, directed)
     relation = read_delimited(spark, relation_path, encoding) if relation_path else None
