@@ -7,6 +7,7 @@ next round's look, so a round is one job, and the best state seen is what counts
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from netloom.operators.graph import Graph
 from netloom.runtime import cut, shuffle_width
 
 MAX_ROUNDS = 40
-PATIENCE = 4
+PATIENCE = 3
 EPSILON = 1e-9
 
 
@@ -51,7 +52,7 @@ def _look(level: Level, goal: Objective, member: DataFrame, salt: int, heat: flo
     """
     mine = level.nodes.select("vid", F.col(goal.mass).cast("double").alias("m")).join(member, "vid")
     totals = mine.groupBy("community").agg(F.sum("m").alias("tot"))
-    state = cut(mine.join(totals, "community"))
+    state = mine.join(totals, "community")
     heard = level.links.send(state.select("vid", "community", "tot")).select(
         F.col("dst").alias("vid"),
         "community",
@@ -237,37 +238,31 @@ def _map_look(level: Level, member: DataFrame, salt: int) -> tuple[DataFrame, fl
     Lengths leave out the vertex term, which no move changes.
     """
     two_m = F.lit(level.total)
-    mine = cut(level.nodes.select("vid", F.col("mass").alias("m")).join(member, "vid"))
-    heard = (
+    mine = level.nodes.select("vid", F.col("mass").alias("m")).join(member, "vid")
+    told = (
         level.links.send(mine.select("vid", "community"))
         .groupBy(F.col("dst").alias("vid"), "community")
         .agg(F.sum("w").alias("w"))
     )
     home = mine.select("vid", "m", F.col("community").alias("here"))
-    options = cut(heard.join(home, "vid"))
-    inside = options.where("community = here").select("vid", F.col("w").alias("w_here"))
-    # what leaves a vertex altogether is its arc weight, without contracted inner weight
-    out = options.groupBy("vid").agg(F.sum("w").alias("out"))
-    people = cut(
-        mine.join(inside, "vid", "left").join(out, "vid", "left").select(
-            "vid", "m", "community", F.coalesce("w_here", F.lit(0.0)).alias("w_here"), F.coalesce("out", F.lit(0.0)).alias("out")
-        )
+    # a row per vertex and adjacent community; isolated vertices have none and never move
+    options = cut(told.join(home, "vid"))
+    people = options.groupBy("vid", "m", "here").agg(
+        F.sum(F.when(F.col("community") == F.col("here"), F.col("w")).otherwise(0.0)).alias("w_here"),
+        F.sum("w").alias("out"),  # inner weight of a contracted vertex never leaves it
     )
-    modules = cut(
-        people.groupBy("community").agg(
-            (F.sum("m") / two_m).alias("p"), (F.sum(F.col("out") - F.col("w_here")) / two_m).alias("q")
-        )
+    modules = people.groupBy("here").agg(
+        (F.sum("m") / two_m).alias("p"), (F.sum(F.col("out") - F.col("w_here")) / two_m).alias("q")
     )
     sums = modules.agg(
         F.sum("q").alias("q"), F.sum(_plogp(F.col("q"))).alias("a"), F.sum(_plogp(F.col("q") + F.col("p"))).alias("b")
     ).first()
     total_q = sums["q"] or 0.0
-    length = modules.sparkSession.range(1).select(_plogp(F.lit(total_q))).first()[0] - 2 * (sums["a"] or 0) + (sums["b"] or 0)
-    leave = modules.select(F.col("community").alias("here"), F.col("p").alias("p_a"), F.col("q").alias("q_a"))
-    join = modules.select("community", F.col("p").alias("p_b"), F.col("q").alias("q_b"))
+    length = (total_q * math.log2(total_q) if total_q > 0 else 0.0) - 2 * (sums["a"] or 0) + (sums["b"] or 0)
+    leave = modules.select("here", F.col("p").alias("p_a"), F.col("q").alias("q_a"))
+    join = modules.select(F.col("here").alias("community"), F.col("p").alias("p_b"), F.col("q").alias("q_b"))
     moves = (
         options.where("community <> here")
-        .select("vid", "community", "w", "here", "m")
         .join(people.select("vid", "w_here", "out"), "vid")
         .join(leave, "here")
         .join(join, "community")
@@ -291,8 +286,7 @@ def _map_look(level: Level, member: DataFrame, salt: int) -> tuple[DataFrame, fl
         .groupBy("vid")
         .agg(F.max(F.struct("saves", F.xxhash64("community", F.lit(salt)).alias("tie"), "community")).alias("best"))
     )
-    looked = people.select("vid", "community").join(best, "vid", "left")
-    return cut(looked), length
+    return cut(member.join(best, "vid", "left")), length
 
 
 def infomap(graph: Graph, seed: int = 0, weight: str | None = None) -> DataFrame:

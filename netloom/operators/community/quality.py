@@ -6,20 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.operators.graph import Graph, simplify
-from netloom.operators.links import both_ways, prepare
 
 
 def modularity(graph: Graph, membership: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of ``membership(vid, community)`` on the simple undirected view."""
-    links = prepare(both_ways(simplify(graph)))
-    told = links.send(membership).groupBy(F.col("dst").alias("vid"), F.col("community").alias("theirs")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ends = told.join(membership, "vid")
-    per = ends.groupBy("community").agg(
-        F.sum(F.when(F.col("theirs") == F.col("community"), F.col("n")).otherwise(0)).alias("inside"),
-        F.sum("n").alias("total"),
+    mine, theirs = (membership.select("vid", "community").toDF(v, c) for v, c in (("src", "_a"), ("dst", "_b")))
+    same = (F.col("_a") == F.col("_b")).cast("int").alias("same")
+    ends = simplify(graph).join(mine, "src").join(theirs, "dst").select(
+        F.explode(F.array("_a", "_b")).alias("community"), same
     )
+    per = ends.groupBy("community").agg(F.sum("same").alias("inside"), F.count(F.lit(1)).alias("total"))
     m2 = F.sum("total").cast("double")
     return per.agg(
         F.coalesce(

@@ -34,7 +34,7 @@ def connected_components(graph: Graph, max_rounds: int = 200) -> DataFrame:
 def _hook(links, state: DataFrame) -> tuple[DataFrame, int]:
     # parents that are roots need no lookup, so in later rounds the right side is tiny
     above = state.where("vid <> parent").select(F.col("vid").alias("parent"), F.col("parent").alias("grand"))
-    now = cut(state.join(above, "parent", "left").select("vid", "parent", F.coalesce("grand", "parent").alias("grand")))
+    now = state.join(above, "parent", "left").select("vid", "parent", F.coalesce("grand", "parent").alias("grand"))
     seen = links.send(now.select("vid", "grand")).groupBy(F.col("dst").alias("vid")).agg(F.min("grand").alias("low"))
     offered = now.join(seen, "vid", "left")
     updates = offered.select(

@@ -23,7 +23,6 @@ def build_session(app: str = "netloom", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -51,9 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and forget how it was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from the files.
+
+    The lineage ends there, any executor can read it, and the planner sees the real size; a
+    checkpointed frame would keep its plan's size estimate, which multiplies at every
+    join and grows without bound in a loop.
+    """
+    path = scratch_path(df.sparkSession, "state")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK) -> int:
@@ -64,15 +69,20 @@ def tasks_for(spark: SparkSession, rows: int, rows_per_task: int = ROWS_PER_TASK
 
 @contextmanager
 def shuffle_width(spark: SparkSession, rows: int) -> Iterator[int]:
-    """Size shuffles to the data while a loop runs, then restore the caller's setting."""
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
+    """Settings for a loop over ``rows`` rows; the caller's are restored afterwards.
+
+    Shuffles are sized to the data.
+    """
     width = tasks_for(spark, rows)
-    spark.conf.set(key, str(width))
+    wanted = {"spark.sql.shuffle.partitions": str(width)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield width
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def dense_index(df: DataFrame, name: str, *order: str) -> DataFrame:
