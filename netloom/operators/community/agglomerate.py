@@ -129,7 +129,7 @@ def walktrap(
 ) -> DataFrame:
     """Merge neighbours whose random walks end alike, cut at best modularity (Pons and Latapy 2005).
 
-    A round merges the nearer half of the mutually nearest pairs (and others whose nearest is a
+    A round merges the nearer three quarters of the mutually nearest pairs (and others whose nearest is a
     centre), so each round is one level of the dendrogram. Exact walk ends take up to V × V
     rows; ``sketch`` bounds them for large graphs.
     """
@@ -166,7 +166,7 @@ def _level_modularity(level: Level) -> float:
 
 def _near_groups(level: Level, spots: DataFrame) -> DataFrame:
     norms = spots.groupBy("vid").agg(F.sum(F.col("x") * F.col("x")).alias("norm"))
-    about = cut(level.nodes.select("vid", "mass", F.col("size").cast("double").alias("s")).join(norms, "vid"))
+    about = level.nodes.select("vid", "mass", F.col("size").cast("double").alias("s")).join(norms, "vid")
     pairs = level.links.arcs.where("src < dst").select("src", "dst")
     left = spots.select(F.col("vid").alias("src"), "k", F.col("x").alias("xa"))
     right = spots.select(F.col("vid").alias("dst"), "k", F.col("x").alias("xb"))
@@ -191,7 +191,7 @@ def _near_groups(level: Level, spots: DataFrame) -> DataFrame:
             "a", "centre", "score", (F.col("a") == F.col("partner")).alias("sure")
         )
     )
-    middle = tails.where("sure").agg(F.percentile_approx("score", 0.5, 1000)).first()[0]
+    middle = tails.where("sure").agg(F.percentile_approx("score", 0.25, 1000)).first()[0]
     merges = tails.where(F.col("score") >= middle).select(F.col("a").alias("vid"), F.col("centre").alias("community"))
     return cut(
         level.nodes.select("vid").join(merges, "vid", "left").select("vid", F.coalesce("community", "vid").alias("community"))

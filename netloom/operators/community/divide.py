@@ -17,8 +17,8 @@ from netloom.operators.links import prepare
 from netloom.runtime import cut, shuffle_width
 
 EPSILON = 1e-9
-STEPS = 4
-CYCLES = 12
+STEPS = 6
+CYCLES = 4
 
 
 def _ritz(products: pd.DataFrame) -> pd.DataFrame:
@@ -86,9 +86,9 @@ def _leading_vectors(level, state: DataFrame, seed: int) -> DataFrame:
             products.groupBy("community").applyInPandas(_ritz, "community long, value double, weights array<double>")
         )
         mixed = sum((F.col(c) * F.col("weights")[i] for i, c in enumerate(basis)), F.lit(0.0))
-        current = cut(walk.join(solved, "community").select("vid", "community", "mass", mixed.alias("x"), "value"))
+        current = walk.join(solved, "community").select("vid", "community", "mass", mixed.alias("x"))
         value = solved.agg(F.sum("value")).first()[0]
-        if last is not None and abs(value - last) <= 1e-7 * max(1.0, abs(value)):
+        if last is not None and abs(value - last) <= 1e-4 * max(1.0, abs(value)):
             break
         last = value
     links.release()

@@ -46,7 +46,7 @@ def base_level(graph: Graph, weight: str | None = None) -> Level:
 
 def _level(arcs: DataFrame, nodes: DataFrame, inner: float) -> Level:
     receivers = nodes.select(F.col("vid").alias("dst"), F.col("mass").alias("m_dst"), F.col("size").alias("s_dst"))
-    links = prepare(arcs.join(receivers, "dst").select("src", "dst", "w", "m_dst", "s_dst"))
+    links = prepare(arcs.join(receivers, "dst").select("src", "dst", "w", "m_dst", "s_dst"), settled=True)
     total = nodes.agg(F.sum("mass")).first()[0] or 0.0
     return Level(nodes, links, inner, total)
 

@@ -43,10 +43,14 @@ class Links:
         self.arcs.unpersist()
 
 
-def prepare(arcs: DataFrame, hub_arcs: int = HUB_ARCS) -> Links:
-    """Arrange ``(src, dst, …)`` rows for :meth:`Links.send`."""
+def prepare(arcs: DataFrame, hub_arcs: int = HUB_ARCS, settled: bool = False) -> Links:
+    """Arrange ``(src, dst, …)`` rows for :meth:`Links.send`.
+
+    The rows are written out first, unless they are ``settled``: cheap to derive again.
+    """
     spark = arcs.sparkSession
-    arcs = cut(arcs)
+    if not settled:
+        arcs = cut(arcs)
     degrees = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     total, top = degrees.agg(F.sum("n"), F.max("n")).first()
     total, top = total or 0, top or 0
