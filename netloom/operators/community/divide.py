@@ -18,7 +18,7 @@ from netloom.runtime import cut, shuffle_width
 
 EPSILON = 1e-9
 STEPS = 6
-CYCLES = 4
+CYCLES = 3
 
 
 def _ritz(products: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +88,7 @@ def _leading_vectors(level, state: DataFrame, seed: int) -> DataFrame:
         mixed = sum((F.col(c) * F.col("weights")[i] for i, c in enumerate(basis)), F.lit(0.0))
         current = walk.join(solved, "community").select("vid", "community", "mass", mixed.alias("x"))
         value = solved.agg(F.sum("value")).first()[0]
-        if last is not None and abs(value - last) <= 1e-4 * max(1.0, abs(value)):
+        if last is not None and abs(value - last) <= 1e-3 * max(1.0, abs(value)):
             break
         last = value
     links.release()

@@ -34,7 +34,13 @@ OPEN_METRICS = ("russellrao", "yule")
 METRICS = GRID_METRICS + COUNT_METRICS + OPEN_METRICS
 
 
+WIDE = 16
+
+
 def _sum(parts: Sequence[Column]) -> Column:
+    """Sum as generated arithmetic; wide rows fold an array, as the planner is slow on long sums."""
+    if len(parts) > WIDE:
+        return F.aggregate(F.array(*parts), F.lit(0.0), lambda total, part: total + part)
     total = parts[0]
     for part in parts[1:]:
         total = total + part
@@ -120,11 +126,9 @@ def _prepare(df: DataFrame, id_col: str, cols: Sequence[str], metric: str, max_d
     names = [f"x{i}" for i in range(d)]
     value = [F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols, names)]
     rows = df.select(F.col(f"`{id_col}`").alias("id"), *value)
-    whole = F.lit(True)
-    for n in names:  # a missing coordinate makes every distance of the row undefined
-        whole = whole & F.col(n).isNotNull() & ~F.isnan(n)
-    rows = rows.where(whole)
     x = [F.col(n) for n in names]
+    # a missing coordinate makes every distance of the row undefined
+    rows = rows.where(~F.exists(F.array(*x), lambda v: v.isNull() | F.isnan(v)))
 
     def replaced(new: Sequence[Column]) -> DataFrame:
         return rows.select("id", *(c.alias(n) for c, n in zip(new, names))).where(
@@ -142,12 +146,12 @@ def _prepare(df: DataFrame, id_col: str, cols: Sequence[str], metric: str, max_d
         rows = replaced(_whitened(rows, names))
         return _Prepared(rows, d, x, max_dist)
     if metric in ("cosine", "correlation"):
-        base = x
-        if metric == "correlation":
-            mean = _sum(x) / d
-            base = [c - mean for c in x]
-        norm = F.sqrt(_sum([c * c for c in base]))
-        rows = replaced([F.try_divide(c, norm) for c in base])
+        # mean and length are columns of their own, so wide rows do not repeat their sums
+        mean = _sum(x) / d if metric == "correlation" else F.lit(0.0)
+        rows = rows.withColumn("_mean", mean)
+        base = [c - F.col("_mean") for c in x] if metric == "correlation" else x
+        rows = rows.withColumn("_norm", F.sqrt(_sum([c * c for c in base])))
+        rows = rows.where("_norm > 0").select("id", *((c / F.col("_norm")).alias(n) for c, n in zip(base, names)))
         return _Prepared(rows, d, x, math.sqrt(2 * max(max_dist, 0.0)))
     if metric == "jensenshannon":
         total = _sum(x)

@@ -208,15 +208,3 @@ def _(spark, folder):
     out = nearest_neighbours(_part_z(spark, folder), "p_partkey", ["p_size", "p_retailprice"], 3)
     return out.withColumn("dist", F.round("dist", 5))
 
-
-@query(
-    "dist_nearest_embeddings",
-    """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-       d AS (SELECT a.id AS source, b.id AS target, 1 - list_cosine_similarity(a.v, b.v) AS dist FROM e a JOIN e b ON a.id <> b.id)
-       SELECT source, target, round(dist, 5) AS dist, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY dist, target) AS INTEGER) AS rank FROM d) WHERE rank <= 5""",
-)
-def _(spark, folder):
-    df = table(spark, folder, "embeddings")
-    wide = df.select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)))
-    out = nearest_neighbours(wide, "vec_id", [f"e{i}" for i in range(64)], 5, "cosine")
-    return out.withColumn("dist", F.round("dist", 5))
