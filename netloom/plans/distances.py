@@ -197,14 +197,18 @@ def _(spark, folder):
     return _edges(table(spark, folder, "supplier"), "s_suppkey", ["s_acctbal"], "cityblock", 200.0, inclusive=True)
 
 
+# whole numbers, so that equal distances are equal in any engine
+WHOLE = "(SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, round(p_retailprice * 10) AS y FROM part)"
+
+
 @query(
     "dist_nearest_neighbours",
-    f"""SELECT source, target, dist, rank FROM (SELECT a.id AS source, b.id AS target,
-        round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 5) AS dist,
-        CAST(row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS INTEGER) AS rank
-        FROM {PART_Z} a JOIN {PART_Z} b ON a.id <> b.id) WHERE rank <= 3""",
+    f"""SELECT source, target, round(dist, 5) AS dist, rank FROM (SELECT source, target, dist,
+        CAST(row_number() OVER (PARTITION BY source ORDER BY dist, target) AS INTEGER) AS rank
+        FROM (SELECT a.id AS source, b.id AS target, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist
+              FROM {WHOLE} a JOIN {WHOLE} b ON a.id <> b.id)) WHERE rank <= 3""",
 )
 def _(spark, folder):
-    out = nearest_neighbours(_part_z(spark, folder), "p_partkey", ["p_size", "p_retailprice"], 3)
+    whole = table(spark, folder, "part").select("p_partkey", "p_size", F.round(F.col("p_retailprice") * 10).alias("price"))
+    out = nearest_neighbours(whole, "p_partkey", ["p_size", "price"], 3)
     return out.withColumn("dist", F.round("dist", 5))
-
