@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from netloom.llm import quality_rules as qr
 from netloom.llm.common import table
+from netloom.llm.exact_dedup import exact_dedup
+from netloom.llm.near_dedup import near_dedup
 
 QUERIES: dict = {}
 
@@ -21,3 +23,19 @@ def _(spark, folder):
     docs = table(spark, folder, "documents")
     ratios = qr.fit_ratios(docs, qr.trusted_texts(docs, table(spark, folder, "labels")))
     return qr.quality_rules(docs.select("doc_id", "text"), ratios).drop("text")
+
+
+@query(
+    "op7_exact_dedup",
+    """WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    keyed AS (SELECT doc_id, sha256(t) AS text_sha256 FROM low),
+    grouped AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM keyed GROUP BY 1)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM keyed JOIN grouped USING (text_sha256)""",
+)
+def _(spark, folder):
+    return exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op4_near_dedup")
+def _(spark, folder):
+    return near_dedup(table(spark, folder, "documents"), size=4)
