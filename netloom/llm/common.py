@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.plans.registry import table  # noqa: F401
 from netloom.runtime import cut, scratch_path  # noqa: F401
@@ -21,6 +22,11 @@ def words_of(text: str | Column) -> Column:
     return F.array_remove(F.split(F.coalesce(column, F.lit("")), SPACES), "")
 
 
+def with_fields(schema: T.StructType, ddl: str) -> T.StructType:
+    """A new schema with further fields."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFrame:
     """Join every row with the one ``lookup`` row of its key, whatever share of the rows a key has.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import cut, spread_join
+from netloom.llm.common import cut, spread_join, with_fields
 
 KEYS_PER_SHARD = 50_000
 SLOTS = 4
@@ -127,7 +127,7 @@ def _lowered(text: str | None) -> bytes:
 def digests(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``digest`` and ``n_bytes`` of the normalised text; null counts as empty."""
     own = docs.drop("digest", "n_bytes")
-    schema = own.schema.add("digest", "binary").add("n_bytes", "long")
+    schema = with_fields(own.schema, "digest binary, n_bytes long")
 
     def run(batches):
         for batch in batches:

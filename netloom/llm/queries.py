@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from netloom.llm import quality_rules as qr
 from netloom.llm.common import table
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
+from netloom.llm.piece_codec import encode_pieces
+from netloom.llm.repair_ids import token_files
+from netloom.llm.token_counts import token_counts
 
 QUERIES: dict = {}
 
@@ -39,3 +44,20 @@ def _(spark, folder):
 @query("op4_near_dedup")
 def _(spark, folder):
     return near_dedup(table(spark, folder, "documents"), size=4)
+
+
+@query("op1_token_counts")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_tables=False)
+
+
+@query("op2_token_files")
+def _(spark, folder):
+    return token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_piece_codec")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
