@@ -12,7 +12,10 @@ from pyarrow import fs
 
 
 def _place(url: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(url if "://" in url else f"file://{url}")
+    """The file system and path of a folder; local folders come as /x, file:/x or file:///x."""
+    if url.startswith(("/", "file:")):
+        return fs.LocalFileSystem(), "/" + url.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(url)
 
 
 def write_file(folder: str, suffix: str, data: bytes) -> str:
