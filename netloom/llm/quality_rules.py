@@ -20,6 +20,8 @@ BUCKETS = 8192
 UNIT = 1_000_000
 #: Documents whose mean log ratio lies below are rejected.
 THRESHOLD = -0.05
+#: The trusted multinomial is fitted on at most this many labelled documents; the raw one on all documents.
+TRUSTED = 20_000
 
 
 def _bucket(hashed: Column, buckets: int) -> Column:
@@ -121,7 +123,11 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
 OUTPUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept")
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts whose document has a label of good quality; null ids match nothing."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi")
+def trusted_texts(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
+    """Whole texts of at most ``limit`` documents labelled good, those whose ids hash lowest.
+
+    The bound keeps the ids fit for a broadcast, so no text is shuffled to find them. Null ids match nothing.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
