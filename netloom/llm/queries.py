@@ -5,12 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 
 from netloom.llm import quality_rules as qr
+from netloom.llm import secret_scan
 from netloom.llm.common import table
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
 from netloom.llm.piece_codec import encode_pieces
 from netloom.llm.repair_ids import token_files
 from netloom.llm.token_counts import token_counts
+from netloom.llm.warc_archive import archive
 
 QUERIES: dict = {}
 
@@ -61,3 +63,21 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(
+    "op6_warc_archive",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    big AS (SELECT html, max(page_id) AS first_id FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+    SELECT page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS payload_digest,
+      CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+    FROM p LEFT JOIN big ON p.html = big.html""",
+)
+def _(spark, folder):
+    return archive(table(spark, folder, "pages"))
+
+
+@query("op10_secret_scan", secret_scan.SQL)
+def _(spark, folder):
+    return secret_scan.secret_scan(table(spark, folder, "documents"))
