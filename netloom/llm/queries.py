@@ -11,6 +11,7 @@ from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
 from netloom.llm.piece_codec import encode_pieces
 from netloom.llm.repair_ids import token_files
+from netloom.llm.source_mix import mix_sources
 from netloom.llm.token_counts import token_counts
 from netloom.llm.warc_archive import archive
 
@@ -81,3 +82,9 @@ def _(spark, folder):
 @query("op10_secret_scan", secret_scan.SQL)
 def _(spark, folder):
     return secret_scan.secret_scan(table(spark, folder, "documents"))
+
+
+@query("op5_source_mix")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    return mix_sources(docs).drop("text")
