@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from netloom.llm import quality_rules as qr
-from netloom.llm import secret_scan
+from netloom.llm import secret_scan, weak_quality
 from netloom.llm.common import table
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
@@ -88,3 +88,9 @@ def _(spark, folder):
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     return mix_sources(docs).drop("text")
+
+
+@query("op3_weak_quality")
+def _(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return weak_quality.weak_quality(docs, weak_quality.fit(docs))
