@@ -1,22 +1,58 @@
-"""The corpus pipeline: rules, exact copies, near copies, mixing, ids; part of the ``llm`` subpackage."""
+"""The corpus pipeline: rules, exact copies, near copies, mixing, ids; part of the ``llm`` subpackage.
+
+Every stage takes the documents its predecessor kept. All but the last return the columns of ``documents``; the
+last returns piece ids in place of the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import quality_rules as qr
 from netloom.llm.common import cut, table
+from netloom.llm.exact_dedup import drop_copies
+from netloom.llm.near_dedup import drop_near_copies
+from netloom.llm.piece_codec import encode_pieces
+from netloom.llm.source_mix import mix_sources
 
 #: SQL has no way to state near copies, raking and piece ids; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the n-gram verdict."""
     ratios = qr.fit_ratios(docs, qr.trusted_texts(docs, table(spark, sf_dir, "labels")))
     return qr.quality_rules(docs, ratios).where("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", rules)]
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, but for the case of A-Z, the one with the largest id."""
+    return drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, similarity 0.8."""
+    return drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn so that sources, languages and topics have their target shares of the tokens."""
+    return mix_sources(docs).where("sampled").select(*docs.columns)
+
+
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, with proof that they decode to it."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("piece_ids", piece_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
