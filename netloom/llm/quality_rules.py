@@ -111,12 +111,14 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.when(F.col("n_words") > 0, (F.col("_one") + F.col("_two")) / n_grams / UNIT).alias("score"),
         (F.col("_one") + F.col("_two") >= F.round(F.lit(threshold * UNIT)).cast("long") * n_grams).alias("_fits"),
+        # a filter on the verdict must not be pushed below this point, where it would repeat all of the above many times over
+        (F.spark_partition_id() >= 0).alias("_here"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        judged.withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & F.col("_fits"))
-        .drop("_fits")
+        judged.withColumn("base_failed", failed & F.col("_here"))
+        .withColumn("kept", ~F.col("base_failed") & F.col("_fits") & F.col("_here"))
+        .drop("_fits", "_here")
     )
 
 
