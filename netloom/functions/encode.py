@@ -70,8 +70,9 @@ def edge_width(df: DataFrame, column: str) -> Column:
 
 
 def label(df: DataFrame, column: str = "", vid: str = "vid") -> Column:
-    """A chosen attribute, else the name, else the number."""
-    chosen = column if column in df.columns else "name" if "name" in df.columns else vid
+    """A chosen attribute; the name if none is chosen; the number if the choice or the name is not there."""
+    wanted = column or "name"
+    chosen = wanted if wanted in df.columns else vid
     return F.col(f"`{chosen}`").cast("string")
 
 

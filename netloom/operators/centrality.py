@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators.graph import Graph
 from netloom.operators.links import Links, both_ways, prepare, walk_links
-from netloom.operators.traverse import STATE_ROWS, levels, source_batches, union_all
+from netloom.operators.traverse import STATE_ROWS, levels, search_rows, source_batches, union_all
 from netloom.runtime import cut, shuffle_width
 
 
@@ -56,14 +56,16 @@ def _accumulate(graph: Graph, pivots: int | None, seed: int, state_rows: int, ed
     parts = []
     key = ["v", "w"] if edges else ["vid"]
     value = "flow" if edges else "delta"
-    with shuffle_width(graph.edges.sparkSession, links.n_arcs):
-        for batch in source_batches(graph, state_rows, sources):
-            vertex, arcs = _dependencies(links, back, batch, not graph.directed)
-            chosen = arcs if edges else vertex
-            if chosen:
-                parts.append(cut(union_all(chosen).groupBy(*key).agg(F.sum(value).alias(value))))
-    links.release()
-    back.release()
+    try:
+        with shuffle_width(graph.edges.sparkSession, search_rows(graph, links, state_rows, sources)):
+            for batch in source_batches(graph, state_rows, sources):
+                vertex, arcs = _dependencies(links, back, batch, not graph.directed)
+                chosen = arcs if edges else vertex
+                if chosen:
+                    parts.append(cut(union_all(chosen).groupBy(*key).agg(F.sum(value).alias(value))))
+    finally:
+        links.release()
+        back.release()
     if not parts:
         schema = "v long, w long, flow double" if edges else "vid long, delta double"
         return graph.edges.sparkSession.createDataFrame([], schema), factor

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -11,10 +12,10 @@ from pyspark.sql import types as T
 
 from netloom.functions.names import ROW_ID
 from netloom.functions.quantiles import exact_quantiles
-from netloom.runtime import dense_index
+from netloom.functions.times import DAY, wall_micros
+from netloom.runtime import cut, dense_index
 
 BLOCK_ROWS = 1_000_000
-MAX_ONE_HOT = 10_000
 
 
 def _col(name: str) -> Column:
@@ -44,39 +45,60 @@ def drop_missing(
     return df.na.drop(how=how, thresh=thresh, subset=[f"`{c}`" for c in df.columns if c != row_id])
 
 
+def _value(df: DataFrame, name: str) -> Column:
+    """The column with NaN read as missing."""
+    kind = df.schema[name].dataType
+    return F.nanvl(_col(name), F.lit(None)) if isinstance(kind, (T.DoubleType, T.FloatType)) else _col(name)
+
+
+def _gaps(df: DataFrame, names: Sequence[str], *more: Column):
+    """One pass: the missing values of each column, as ``n0`` …, and further aggregates."""
+    return df.agg(*(F.count_if(_value(df, c).isNull()).alias(f"n{i}") for i, c in enumerate(names)), *more).first()
+
+
 def _fill(df: DataFrame, values: dict[str, float]) -> DataFrame:
     return df.select(
         *(
-            F.coalesce(_col(c).cast("double"), F.lit(values[c])).alias(c) if c in values else _col(c)
+            F.coalesce(_value(df, c).cast("double"), F.lit(values[c])).alias(c) if c in values else _col(c)
             for c in df.columns
         )
     )
 
 
 def fill_mean(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Missing numbers, NaN included, become the mean; columns without gaps keep their type."""
     names = numeric_columns(df, row_id)
     if not names:
         return df
-    means = df.agg(*(F.avg(_col(c)).alias(c) for c in names)).first()
-    return _fill(df, {c: means[c] for c in names if means[c] is not None})
+    seen = _gaps(df, names, *(F.avg(_value(df, c)).alias(f"m{i}") for i, c in enumerate(names)))
+    return _fill(df, {c: float(seen[f"m{i}"]) for i, c in enumerate(names) if seen[f"n{i}"] and seen[f"m{i}"] is not None})
 
 
 def fill_median(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
+    """Missing numbers, NaN included, become the median; columns without gaps keep their type."""
     names = numeric_columns(df, row_id)
     if not names:
         return df
-    medians = exact_quantiles(df, names, [0.5]).collect()  # one row per column
+    seen = _gaps(df, names)
+    open_ = [c for i, c in enumerate(names) if seen[f"n{i}"]]
+    if not open_:
+        return df
+    medians = exact_quantiles(df, open_, [0.5]).collect()  # one row per column
     return _fill(df, {r["column"]: r["quantile"] for r in medians})
 
 
 def fill_forward(df: DataFrame, row_id: str = ROW_ID, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Carry the last present value down in row order; leading gaps stay.
+    """Carry the last present value down in row order; leading gaps stay, NaN counts as missing.
 
-    Inside blocks of ``block_rows`` consecutive ids a window does the work; the value each
-    block inherits comes from a running ``last`` over one row per block.
+    Rows are range-partitioned by id, however dense or sparse the ids are. Inside a range of about
+    ``block_rows`` rows a window does the work; the value each range inherits comes from a
+    running ``last`` over one row per range.
     """
     names = [c for c in df.columns if c != row_id]
-    blocked = df.withColumn("_block", F.floor(_col(row_id) / F.lit(block_rows)))
+    df = df.select(*(_col(c) if c == row_id else _value(df, c).alias(c) for c in df.columns))
+    # range bounds are sampled, so the ranges are written out once
+    ranges = max(1, math.ceil(df.count() / block_rows))
+    blocked = cut(df.repartitionByRange(ranges, _col(row_id)).withColumn("_block", F.spark_partition_id()))
     ends = blocked.groupBy("_block").agg(
         *(F.max_by(_col(c), F.when(_col(c).isNotNull(), _col(row_id))).alias(c) for c in names)
     )
@@ -146,24 +168,35 @@ def scale_z(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_values: int = MAX_ONE_HOT) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], max_values: int | None = None) -> DataFrame:
     """Replace each column by sorted ``column_value`` 0/1 columns at the end.
 
-    The values become column names, so they must reach the driver; more than
-    ``max_values`` of them is refused rather than cut.
+    The values become column names, so they must reach the driver; one job finds those of all columns.
+    Where a column has too many values for that, ``one_hot_long`` gives the same facts as rows; ``max_values``
+    lets a caller refuse such a column before its values are fetched.
     """
-    encoded = []
-    for name in columns:
-        found = df.select(_col(name).alias("v")).where("v is not null").distinct().limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"{name} has more than {max_values} values; one-hot would add as many columns")
-        encoded += [
-            F.when(_col(name) == F.lit(v), 1).otherwise(0).alias(f"{name}_{v}")
-            for v in sorted(r["v"] for r in found)
-        ]
+    if not columns:
+        return df
+    if max_values is not None:
+        counts = df.agg(*(F.count_distinct(_col(c)).alias(f"n{i}") for i, c in enumerate(columns))).first()
+        for i, name in enumerate(columns):
+            if counts[f"n{i}"] > max_values:
+                raise ValueError(f"{name} has more than {max_values} values; one-hot would add as many columns")
+    sets = df.agg(*(F.collect_set(_col(c)).alias(f"v{i}") for i, c in enumerate(columns))).first()
+    encoded = [
+        F.when(_col(name) == F.lit(v), 1).otherwise(0).alias(f"{name}_{v}")
+        for i, name in enumerate(columns)
+        for v in sorted(sets[f"v{i}"])
+    ]
     return df.select(*(_col(c) for c in df.columns if c not in columns), *encoded)
 
 
+def one_hot_long(df: DataFrame, columns: Sequence[str], row_id: str = ROW_ID) -> DataFrame:
+    """``(row_id, column, value)``: the ones of ``one_hot`` as rows, for any number of values."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), _col(c).cast("string").alias("value")) for c in columns)))
+    return df.select(_col(row_id).alias(row_id), cells.alias("_cell")).select(row_id, "_cell.*").where("value is not null")
+
+
 def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace each column by the 0-based rank of its value among the sorted distinct ones."""
     for name in columns:
@@ -181,15 +214,17 @@ def elapsed(
 ) -> DataFrame:
     """Time from each value to ``date``: whole days (floored), or seconds.
 
-    Seconds are the part within the day (0 … 86399) unless ``total`` is set.
+    Seconds are the part within the day (0 … 86399) unless ``total`` is set. Times are wall-clock
+    times: a clock change between the two adds or takes no hour.
     """
-    until = F.unix_micros(F.to_timestamp(F.lit(date)))
+
+    until = wall_micros(F.lit(date))
 
     def one(name: str) -> Column:
-        micros = until - F.unix_micros(_col(name).cast("string").cast("timestamp"))
-        seconds = F.floor(micros / F.lit(1_000_000))
+        gap = until - wall_micros(_col(name).cast("string"))
+        seconds = F.floor(gap / F.lit(1_000_000))
         if unit == "days":
-            return F.floor(micros / F.lit(86_400_000_000))
+            return F.floor(gap / F.lit(DAY))
         return seconds if total else F.pmod(seconds, F.lit(86_400))
 
     return df.select(*(one(c).alias(c) if c in columns else _col(c) for c in df.columns))
@@ -215,7 +250,11 @@ class CleaningPlan:
 def clean(df: DataFrame, plan: CleaningPlan, row_id: str = ROW_ID) -> DataFrame:
     if plan.drop_duplicates:
         df = drop_duplicates(df, row_id)
+        if plan.outlier_columns:
+            df = cut(df)  # each outlier column takes statistics of the rows left
     df = drop_outliers(df, plan.outlier_columns)
+    if plan.drop_duplicates or plan.outlier_columns:
+        df = cut(df)  # the steps below read their input for values, means and scales
     if plan.one_hot_columns:
         df = one_hot(df, plan.one_hot_columns)
     if plan.label_columns:

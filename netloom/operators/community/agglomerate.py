@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from netloom.operators.community.levels import Level, base_level, contract, follow, own
 from netloom.operators.components import relabel
 from netloom.operators.graph import Graph
+from netloom.functions.quantiles import exact_quantiles
 from netloom.operators.links import prepare
+from netloom.operators.traverse import STATE_ROWS
 from netloom.runtime import cut, shuffle_width
 
 EPSILON = 1e-12
@@ -87,7 +89,8 @@ def _gaining_groups(pointers: DataFrame, rate: float) -> DataFrame:
             "a", "centre", "score", F.col("m_a").alias("m"), "m_partner", (F.col("a") == F.col("partner")).alias("sure")
         )
     )
-    crowd = tails.where("not sure").groupBy("centre").agg(F.sum("m").alias("crowd"))
+    # written out, so that the join can split a centre that everybody points to
+    crowd = cut(tails.where("not sure").groupBy("centre").agg(F.sum("m").alias("crowd")))
     # a joiner must outweigh the partner and, by halves, all other joiners
     worth = F.col("score") - rate * F.col("m") * (F.col("m_partner") + (F.col("crowd") - F.col("m")) / 2)
     return cut(
@@ -136,7 +139,8 @@ def walktrap(
     level = base_level(graph, weight)
     member = cut(own(level.nodes))
     best, best_quality = member, -math.inf
-    with shuffle_width(graph.edges.sparkSession, level.links.n_arcs):
+    ends = level.nodes.count() * (sketch or level.nodes.count())
+    with shuffle_width(graph.edges.sparkSession, max(level.links.n_arcs, min(ends, STATE_ROWS))):
         spots = _walks(level, steps, sketch, seed)
         while level.total:
             quality = _level_modularity(level)
@@ -148,7 +152,7 @@ def walktrap(
             member = follow(member, step)
             sizes = level.nodes.select("vid", F.col("size").cast("double").alias("s"))
             joined = step.join(sizes, "vid")
-            whole = joined.groupBy("community").agg(F.sum("s").alias("whole"))
+            whole = cut(joined.groupBy("community").agg(F.sum("s").alias("whole")))
             spots = cut(
                 spots.join(joined.join(whole, "community"), "vid")
                 .groupBy(F.col("community").alias("vid"), "k")
@@ -191,8 +195,9 @@ def _near_groups(level: Level, spots: DataFrame) -> DataFrame:
             "a", "centre", "score", (F.col("a") == F.col("partner")).alias("sure")
         )
     )
-    middle = tails.where("sure").agg(F.percentile_approx("score", 0.25, 1000)).first()[0]
-    merges = tails.where(F.col("score") >= middle).select(F.col("a").alias("vid"), F.col("centre").alias("community"))
+    # an exact quantile, rounded, so that a repeat merges the same pairs
+    quartile = exact_quantiles(tails.where("sure"), ["score"], [0.25]).first()
+    merges = tails.where(F.round("score", 9) >= F.round(F.lit(quartile["quantile"] if quartile else 0.0), 9)).select(F.col("a").alias("vid"), F.col("centre").alias("community"))
     return cut(
         level.nodes.select("vid").join(merges, "vid", "left").select("vid", F.coalesce("community", "vid").alias("community"))
     )

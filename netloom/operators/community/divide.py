@@ -14,11 +14,12 @@ from netloom.operators.community.quality import modularity
 from netloom.operators.components import connected_components, relabel
 from netloom.operators.graph import Graph, simplify
 from netloom.operators.links import prepare
-from netloom.runtime import cut, shuffle_width
+from netloom.runtime import cut, dense_index, shuffle_width
 
 EPSILON = 1e-9
 STEPS = 6
-CYCLES = 3
+MAX_CYCLES = 500
+SETTLED = 1e-6
 
 
 def _ritz(products: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +68,7 @@ def _leading_vectors(level, state: DataFrame, seed: int) -> DataFrame:
     current = drag.select("vid", "community", "mass", (coin("vid", F.lit(seed)) - 0.5).alias("x"))
     width = 2 * STEPS
     last = None
-    for _ in range(CYCLES):
+    for _ in range(MAX_CYCLES):
         walk = current.select("vid", "community", "mass", F.col("x").alias("v0"), (F.col("mass") / reach).alias("u0"))
         for i in range(STEPS):
             keep = [F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in ["community", "mass"] + [f"{t}{j}" for t in "vu" for j in range(i + 1)]]
@@ -87,15 +88,18 @@ def _leading_vectors(level, state: DataFrame, seed: int) -> DataFrame:
         )
         mixed = sum((F.col(c) * F.col("weights")[i] for i, c in enumerate(basis)), F.lit(0.0))
         current = walk.join(solved, "community").select("vid", "community", "mass", mixed.alias("x"))
-        value = solved.agg(F.sum("value")).first()[0]
-        if last is not None and abs(value - last) <= 1e-3 * max(1.0, abs(value)):
-            break
-        last = value
-    links.release()
-    return current
-
-
-def leading_eigenvector(graph: Graph, seed: int = 0, max_splits: int = 60, weight: str | None = None) -> DataFrame:
+        # every community must have settled, however small its share of the total is
+        if last is not None:
+            was = last.select("community", F.col("value").alias("was"))
+            moving = F.abs(F.col("value") - F.col("was")) > SETTLED * F.greatest(F.lit(1.0), F.abs("value"))
+            if solved.join(was, "community").where(moving).isEmpty():
+                links.release()
+                return current
+        last = solved
+    raise RuntimeError(f"leading vectors did not settle in {MAX_CYCLES} cycles")
+
+
+def leading_eigenvector(graph: Graph, seed: int = 0, weight: str | None = None) -> DataFrame:
     """Split communities by the sign of their leading modularity vector (Newman 2006).
 
     All communities that may still split are worked on together, keyed by community; one stops
@@ -110,7 +114,8 @@ def leading_eigenvector(graph: Graph, seed: int = 0, max_splits: int = 60, weigh
         # isolated vertices belong to nobody
         alone = level.nodes.where("mass = 0").select("vid", (-1 - F.col("vid")).alias("community"))
         closed = [alone]
-        for turn in range(max_splits):
+        turn, following = 0, 1
+        while True:
             sides = _leading_vectors(level, open_part, seed + turn)
             sided = cut(sides.withColumn("side", F.when(F.col("x") > 0, 1).otherwise(0)))
             gains = _split_gain(level, sided)
@@ -118,13 +123,14 @@ def leading_eigenvector(graph: Graph, seed: int = 0, max_splits: int = 60, weigh
             closed.append(cut(sided.join(good, "community", "left_anti").select("vid", "community")))
             if good.isEmpty():
                 break
+            # halves get numbers not used before
+            numbers = cut(dense_index(good, "_n", "community"))
             open_part = cut(
-                sided.join(good, "community", "left_semi").select(
-                    "vid", "mass", (F.col("community") * 2 + 1 + F.col("side")).alias("community")
+                sided.join(numbers, "community").select(
+                    "vid", "mass", (F.col("_n") * 2 + following + F.col("side")).alias("community")
                 )
             )
-        else:
-            closed.append(open_part.select("vid", "community"))
+            turn, following = turn + 1, following + 2 * numbers.count()
     level.links.release()
     member = closed[0]
     for part in closed[1:]:
@@ -153,17 +159,16 @@ def _split_gain(level, sided: DataFrame) -> DataFrame:
 
 
 def edge_removal(
-    graph: Graph, batch: int = 1, patience: int | None = None, pivots: int | None = None
+    graph: Graph, batch: int = 1, pivots: int | None = None
 ) -> DataFrame:
     """Remove the edges most shortest paths use and keep the best components (Girvan and Newman 2002).
 
-    ``batch`` edges go per round (1 is the original); only components that lost an edge are
-    measured again. ``patience`` stops after that many rounds without a better modularity,
-    otherwise edges are removed to the last.
+    ``batch`` edges go per round (1 is the original), down to the last edge; only components that lost an
+    edge are measured again.
     """
     pairs = cut(simplify(graph))
     member = cut(connected_components(graph).withColumnRenamed("component", "community"))
-    best, best_quality, stale = member, modularity(graph, member).first()[0], 0
+    best, best_quality = member, modularity(graph, member).first()[0]
     scores = None
     while not pairs.isEmpty():
         if scores is None:
@@ -184,11 +189,7 @@ def edge_removal(
         )
         quality = modularity(graph, member).first()[0]
         if quality > best_quality + EPSILON:
-            best, best_quality, stale = member, quality, 0
-        else:
-            stale += 1
-            if patience is not None and stale >= patience:
-                break
+            best, best_quality = member, quality
     return relabel(best)
 
 

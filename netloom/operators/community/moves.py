@@ -19,8 +19,10 @@ from netloom.operators.components import relabel
 from netloom.operators.graph import Graph
 from netloom.runtime import cut, shuffle_width
 
-MAX_ROUNDS = 40
+# far beyond what settling takes; reaching it is an error
+MAX_ROUNDS = 10_000
 PATIENCE = 3
+IDLE = 3
 EPSILON = 1e-9
 
 
@@ -51,7 +53,8 @@ def _look(level: Level, goal: Objective, member: DataFrame, salt: int, heat: flo
     vertex's options meet in two groupings that combine map-side, without further joins.
     """
     mine = level.nodes.select("vid", F.col(goal.mass).cast("double").alias("m")).join(member, "vid")
-    totals = mine.groupBy("community").agg(F.sum("m").alias("tot"))
+    # written out, so that the join can split a community that holds most vertices
+    totals = cut(mine.groupBy("community").agg(F.sum("m").alias("tot")))
     state = mine.join(totals, "community")
     heard = level.links.send(state.select("vid", "community", "tot")).select(
         F.col("dst").alias("vid"),
@@ -77,14 +80,37 @@ def _look(level: Level, goal: Objective, member: DataFrame, salt: int, heat: flo
     )
 
 
+def _apart(moves: DataFrame) -> DataFrame:
+    """Of ``(vid, a, b, gain)`` the moves that are the best of both communities they touch.
+
+    No two of them share a community, so their gains add up and quality is sure to rise.
+    """
+    touched = moves.select("vid", "gain", F.explode(F.array("a", "b")).alias("c"))
+    best = cut(touched.groupBy("c").agg(F.max(F.struct("gain", F.xxhash64("vid").alias("tie"), "vid")).alias("w")))
+    winner = best.select("c", F.col("w.vid").alias("winner"))
+    return (
+        moves.join(winner.toDF("a", "_wa"), "a").join(winner.toDF("b", "_wb"), "b")
+        .where("_wa = vid and _wb = vid").select("vid", "b")
+    )
+
+
+def _moved(looked: DataFrame, moves: DataFrame) -> DataFrame:
+    """Membership after ``moves(vid, b)``."""
+    return looked.join(moves, "vid", "left").select("vid", F.coalesce("b", F.col("home.community")).alias("community"))
+
+
 def _settle(
     level: Level, goal: Objective, member: DataFrame, seed: int, heats: list[float] | None = None
 ) -> tuple[DataFrame, float, bool]:
-    """Move vertices until nothing improves; returns membership, quality and whether anything moved."""
-    best, best_quality, stale, moved = None, -float("inf"), 0, False
-    rounds = len(heats) if heats else MAX_ROUNDS
-    for turn in range(rounds + (PATIENCE * 2 if heats else 0)):
-        heat = heats[turn] if heats and turn < len(heats) else 0.0
+    """Move vertices until nothing improves; returns membership, quality and whether anything moved.
+
+    Half of the vertices move at once until that stops to pay; from the best state on, only moves
+    that cannot disturb each other are made, so quality rises each round and the loop ends by itself.
+    """
+    best, best_quality, stale, moved, careful = None, -float("inf"), 0, False, False
+    heats = heats or []
+    for turn in range(len(heats) + MAX_ROUNDS):
+        heat = heats[turn] if turn < len(heats) else 0.0
         salt = seed * 1009 + turn
         looked = cut(_look(level, goal, member, salt, heat))
         wants = (F.col("best.rated") > F.col("home.rated") + EPSILON) & (
@@ -102,13 +128,24 @@ def _settle(
             moved = moved or turn > 0
         elif not heat:
             stale += 1
-        if not heat and (not seen["wanting"] or stale >= PATIENCE):
-            break
-        goes = wants & (coin("vid", F.lit(salt), F.lit(7)) < 0.5)
-        member = looked.select(
-            "vid", F.when(goes, F.col("best.community")).otherwise(F.col("home.community")).alias("community")
-        )
-    return best, best_quality, moved
+        if not heat:
+            if not seen["wanting"] and quality >= best_quality - EPSILON:
+                return best, best_quality, moved
+            if not careful and (stale >= PATIENCE or not seen["wanting"]):
+                careful, member = True, best
+                continue
+        if careful:
+            asked = looked.where(wants).select(
+                "vid", F.col("home.community").alias("a"), F.col("best.community").alias("b"),
+                (F.col("best.rated") - F.col("home.rated")).alias("gain"),
+            )
+            member = _moved(looked, _apart(asked))
+        else:
+            goes = wants & (coin("vid", F.lit(salt), F.lit(7)) < 0.5)
+            member = looked.select(
+                "vid", F.when(goes, F.col("best.community")).otherwise(F.col("home.community")).alias("community")
+            )
+    raise RuntimeError(f"moves did not settle in {MAX_ROUNDS} rounds")
 
 
 def _refine(level: Level, goal: Objective, member: DataFrame, seed: int) -> DataFrame:
@@ -119,9 +156,10 @@ def _refine(level: Level, goal: Objective, member: DataFrame, seed: int) -> Data
     """
     nodes = level.nodes.select("vid", F.col(goal.mass).cast("double").alias("m"))
     state = cut(nodes.join(member, "vid").withColumn("part", F.col("vid")))
-    for turn in range(8):
+    idle = 0
+    for turn in range(MAX_ROUNDS):
         salt = seed * 2003 + turn
-        totals = state.groupBy("part").agg(F.sum("m").alias("tot"), F.count(F.lit(1)).alias("n"))
+        totals = cut(state.groupBy("part").agg(F.sum("m").alias("tot"), F.count(F.lit(1)).alias("n")))
         placed = cut(state.join(totals, "part").withColumn("head", (F.col("n") > 1) | (coin("vid", F.lit(salt)) < 0.5)))
         offers = (
             level.links.send(placed.where("head").select("vid", "community", "part", "tot"))
@@ -142,9 +180,11 @@ def _refine(level: Level, goal: Objective, member: DataFrame, seed: int) -> Data
             )
         )
         state = new.drop("went")
-        if turn % 2 and new.where("went").isEmpty():
-            break
-    return state.select("vid", "community", "part")
+        # heads and tails change by hash, so a few rounds in a row must be idle
+        idle = idle + 1 if new.where("went").isEmpty() else 0
+        if idle == IDLE:
+            return state.select("vid", "community", "part")
+    raise RuntimeError(f"refinement did not settle in {MAX_ROUNDS} rounds")
 
 
 def louvain(graph: Graph, resolution: float = 1.0, seed: int = 0, weight: str | None = None) -> DataFrame:
@@ -201,8 +241,8 @@ def spin_glass(
     spins: int = 25,
     gamma: float = 1.0,
     start: float = 1.0,
-    stop: float = 0.05,
-    cooling: float = 0.7,
+    stop: float = 0.01,
+    cooling: float = 0.99,
     seed: int = 0,
     weight: str | None = None,
 ) -> DataFrame:
@@ -247,12 +287,16 @@ def _map_look(level: Level, member: DataFrame, salt: int) -> tuple[DataFrame, fl
     home = mine.select("vid", "m", F.col("community").alias("here"))
     # a row per vertex and adjacent community; isolated vertices have none and never move
     options = cut(told.join(home, "vid"))
-    people = options.groupBy("vid", "m", "here").agg(
+    reach = options.groupBy("vid").agg(
         F.sum(F.when(F.col("community") == F.col("here"), F.col("w")).otherwise(0.0)).alias("w_here"),
         F.sum("w").alias("out"),  # inner weight of a contracted vertex never leaves it
     )
-    modules = people.groupBy("here").agg(
-        (F.sum("m") / two_m).alias("p"), (F.sum(F.col("out") - F.col("w_here")) / two_m).alias("q")
+    # vertices without arcs are modules too, or lengths of two levels could not be compared
+    people = home.join(reach, "vid", "left").na.fill(0.0, ["w_here", "out"])
+    modules = cut(
+        people.groupBy("here").agg(
+            (F.sum("m") / two_m).alias("p"), (F.sum(F.col("out") - F.col("w_here")) / two_m).alias("q")
+        )
     )
     sums = modules.agg(
         F.sum("q").alias("q"), F.sum(_plogp(F.col("q"))).alias("a"), F.sum(_plogp(F.col("q") + F.col("p"))).alias("b")
@@ -309,16 +353,35 @@ def infomap(graph: Graph, seed: int = 0, weight: str | None = None) -> DataFrame
 
 
 def _shorten(level: Level, seed: int) -> tuple[DataFrame, float]:
-    current, best, shortest, stale = own(level.nodes), None, float("inf"), 0
+    """Parallel moves as in ``_settle``.
+
+    Moves that share no module still meet in the total of exits, so should a set of them lengthen the code, the
+    single best move is made instead, which is sure to shorten it.
+    """
+    current, best, shortest, stale, careful, single = own(level.nodes), None, float("inf"), 0, False, False
     for turn in range(MAX_ROUNDS):
         salt = seed * 1009 + turn
         looked, length = _map_look(level, current, salt)
         if length < shortest - EPSILON:
-            best, shortest, stale = looked.select("vid", "community"), length, 0
+            best, shortest, stale, single = looked.select("vid", "community"), length, 0, False
         else:
             stale += 1
-        if stale >= PATIENCE or looked.where("best is not null").isEmpty():
-            break
-        goes = F.col("best").isNotNull() & (coin("vid", F.lit(salt), F.lit(7)) < 0.5)
-        current = looked.select("vid", F.when(goes, F.col("best.community")).otherwise(F.col("community")).alias("community"))
-    return best, shortest
+        wanting = not looked.where("best is not null").isEmpty()
+        if not wanting and length <= shortest + EPSILON:
+            return best, shortest
+        if careful and length > shortest + EPSILON:
+            current, single = best, True
+            continue
+        if not careful and (stale >= PATIENCE or not wanting):
+            careful, current = True, best
+            continue
+        if careful:
+            asked = looked.where("best is not null").select(
+                "vid", F.col("community").alias("a"), F.col("best.community").alias("b"), F.col("best.saves").alias("gain")
+            )
+            goes = asked.orderBy(F.desc("gain"), "vid").limit(1).select("vid", "b") if single else _apart(asked)
+            current = looked.join(goes, "vid", "left").select("vid", F.coalesce("b", "community").alias("community"))
+        else:
+            goes = F.col("best").isNotNull() & (coin("vid", F.lit(salt), F.lit(7)) < 0.5)
+            current = looked.select("vid", F.when(goes, F.col("best.community")).otherwise(F.col("community")).alias("community"))
+    raise RuntimeError(f"moves did not settle in {MAX_ROUNDS} rounds")

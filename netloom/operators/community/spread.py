@@ -12,11 +12,11 @@ from netloom.operators.links import simple_links
 from netloom.runtime import cut, shuffle_width
 
 
-def label_propagation(graph: Graph, seed: int = 0, max_rounds: int = 100) -> DataFrame:
+def label_propagation(graph: Graph, seed: int = 0, max_rounds: int = 10_000) -> DataFrame:
     """Every vertex takes the label most of its neighbours hold (Raghavan et al. 2007).
 
     A hash lets half the vertices update per round, which breaks two-cycles; a vertex keeps its
-    label while that is among the most frequent, and the loop ends when all do.
+    label while that is among the most frequent, and the loop ends when all do; not to settle is an error.
     """
     links = simple_links(graph)
     state = cut(graph.vertices.select("vid", F.col("vid").alias("community")))
@@ -38,5 +38,7 @@ def label_propagation(graph: Graph, seed: int = 0, max_rounds: int = 100) -> Dat
                 break
             goes = wants & (coin("vid", F.lit(seed), F.lit(turn)) < 0.5)
             state = looked.select("vid", F.when(goes, F.col("best.community")).otherwise(F.col("home")).alias("community"))
+        else:
+            raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
     links.release()
     return relabel(state)

@@ -34,18 +34,26 @@ def build_graph(
     The first two edge columns are source and target, the first vertex column is the name;
     all other columns stay as attributes. Vertices follow ``order_by`` (default: the name).
     Without a vertex table the distinct edge ends are the vertices. An end missing from
-    the vertex table is an error, or its edge is dropped, or the vertex is added. Edges are
-    read twice, so they are written out first unless they are a plain ``scan``.
+    the vertex table is an error, or its edge is dropped, or the vertex is added. A null end names no
+    vertex: it is an error too, or its edge is dropped. A repeated vertex id is always an error.
+    Edges are read twice, so they are written out first unless they are a plain ``scan``.
     """
     if not scan:
         edges = cut(edges)
     source, target, *attrs = edges.columns
+    lacking = F.col(f"`{source}`").isNull() | F.col(f"`{target}`").isNull()
+    if missing == "error" and edges.where(lacking).head(1):
+        raise ValueError("an edge has a null end")
+    edges = edges.where(~lacking)
     ends = edges.select(F.explode(F.array(f"`{source}`", f"`{target}`")).alias("name")).distinct()
     if vertices is None:
         table = ends
     else:
         key = vertices.columns[0]
         table = vertices.withColumnRenamed(key, "name") if key != "name" else vertices
+        twice = table.groupBy("name").count().where("count > 1").head(1)
+        if twice:
+            raise ValueError(f"vertex id {twice[0]['name']!r} is repeated")
         if missing == "add":
             table = table.unionByName(ends.join(table, "name", "left_anti"), allowMissingColumns=True)
     numbered = cut(dense_index(table, "vid", order_by if order_by in table.columns else "name"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -18,18 +20,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.names import backtick_brackets, straight_quotes
 from netloom.runtime import cut
 
 TILE_ROWS = 10_000
 MAX_GRID = 3
-SLACK = 1 + 1e-9
+SLACK = 1 + 1e-6
+FINEST = 2**30  # rounding of a cell number is then far below the slack
 
 # Distance names.
 GRID_METRICS = (
     "euclidean", "seuclidean", "sqeuclidean", "cityblock", "chebyshev", "minkowski", "cosine",
     "correlation", "mahalanobis", "braycurtis", "canberra", "jensenshannon",
 )
-COUNT_METRICS = ("hamming", "jaccard", "dice", "rogerstanimoto", "sokalsneath")
+COUNT_METRICS = ("hamming", "jaccard", "jaccard_boolean", "dice", "rogerstanimoto", "sokalsneath")
 OPEN_METRICS = ("russellrao", "yule")
 METRICS = GRID_METRICS + COUNT_METRICS + OPEN_METRICS
 
@@ -94,6 +98,8 @@ def distance(metric: str, x: Sequence[Column], y: Sequence[Column], p: float = 2
     tf = _sum([_flag((a != 0) & (b == 0)) for a, b in pairs])
     ft = _sum([_flag((a == 0) & (b != 0)) for a, b in pairs])
     differ = tf + ft
+    if metric == "jaccard_boolean":
+        return F.coalesce(F.try_divide(differ, tt + differ), F.lit(0.0))
     if metric == "dice":
         return F.try_divide(differ, 2 * tt + differ)
     if metric == "rogerstanimoto":
@@ -200,7 +206,7 @@ def _whitened(rows: DataFrame, names: Sequence[str]) -> list[Column]:
 
 def _most_mismatches(metric: str, d: int, bound: float) -> int | None:
     """Largest number of unequal coordinates a pair closer than ``bound`` can have."""
-    if metric in ("hamming", "jaccard"):
+    if metric in ("hamming", "jaccard", "jaccard_boolean"):
         most = bound * d
     elif bound >= 1:
         return None
@@ -259,17 +265,27 @@ def tiled_join(
 
 
 def _grid(prep: _Prepared, limit: int = MAX_GRID) -> tuple[DataFrame, list[str], float]:
-    """Add cell columns on the widest-spread coordinates; none if the bound spans the data."""
-    width = prep.width * SLACK
-    if not prep.grid or not math.isfinite(width) or width <= 0:
+    """Add cell columns on the widest-spread coordinates; none if the bound spans the data.
+
+    Cells are counted from the smallest value and never finer than ``FINEST`` to the span, so they stay
+    exact for bounds of any smallness, zero included.
+    """
+    width = max(prep.width, 0.0) * SLACK
+    if not prep.grid or not math.isfinite(width):
         return prep.rows, [], width
-    spans = prep.rows.agg(*(F.max(c) - F.min(c) for c in prep.grid)).first()
-    cells = sorted(
-        ((s / width, i) for i, s in enumerate(spans) if s is not None and s / width > 2), reverse=True
-    )[:limit]
-    names = [f"c{i}" for i in range(len(cells))]
+    ends = prep.rows.agg(*(f(c) for c in prep.grid for f in (F.min, F.max))).first()
+    cells = []
+    for i in range(len(prep.grid)):
+        low, high = ends[2 * i], ends[2 * i + 1]
+        if low is None or not math.isfinite(high - low) or high == low:
+            continue
+        step = max(width, (high - low) / FINEST)
+        if (high - low) / step > 2:
+            cells.append(((high - low) / step, i, low, step))
+    cells = sorted(cells, reverse=True)[:limit]
+    names = [f"c{n}" for n in range(len(cells))]
     rows = prep.rows.select(
-        "*", *(F.floor(prep.grid[i] / width).alias(n) for n, (_, i) in zip(names, cells))
+        "*", *(F.floor((prep.grid[i] - F.lit(low)) / F.lit(step)).alias(n) for n, (_, i, low, step) in zip(names, cells))
     )
     return rows, names, width
 
@@ -323,6 +339,8 @@ def similarity_edges(
         rows, cells, _ = _grid(prep)
         key = cells or ["c0"]
         if not cells:
+            if math.isfinite(max_dist) and not rows.isEmpty():
+                warnings.warn(f"a {metric} bound of {max_dist} rules out no pair beforehand: all pairs are compared", stacklevel=2)
             rows = rows.withColumn("c0", F.lit(0))
         left = _neighbour_cells(rows, cells, half=True)
         once = ~F.col("a.own") | (F.col("a.id") < F.col("b.id"))
@@ -355,3 +373,25 @@ def _equal_block_join(
     first = F.coalesce(*(F.when(t, F.lit(n)) for n, t in enumerate(agree)))
     once = (F.col("a.id") < F.col("b.id")) & (F.col("a.block") == first)
     return tiled_join(keyed, keyed, ["block", "content"], once & near, tile_rows)
+
+
+_UPPER = re.compile(r"^\s*`?dist`?\s*(<=?)\s*([0-9.eE+-]+)\s*$|^\s*([0-9.eE+-]+)\s*(>=?)\s*`?dist`?\s*$")
+
+
+def similarity_where(
+    df: DataFrame, id_col: str, cols: Sequence[str], metric: str, predicate: str, p: float = 2.0
+) -> DataFrame:
+    """``(source, target, dist)`` of the pairs that satisfy a predicate on ``dist``.
+
+    Upper bounds that the whole predicate demands (``dist < 0.3 and …``) limit the join; what else it
+    says is filtered afterwards. Brackets and typographic quotes are taken as in row filters. A
+    predicate without such a bound asks for all pairs.
+    """
+    text = backtick_brackets(straight_quotes(predicate))
+    bound = math.inf
+    if not re.search(r"\b(or|not|case|between)\b", text, re.IGNORECASE):
+        for part in re.split(r"\band\b", text, flags=re.IGNORECASE):
+            found = _UPPER.match(part.strip().strip("()"))
+            if found:
+                bound = min(bound, float(found[2] or found[3]))
+    return similarity_edges(df, id_col, cols, metric, bound, p, inclusive=True).where(text)

@@ -32,6 +32,12 @@ def source_batches(graph: Graph, state_rows: int = STATE_ROWS, sources: DataFram
         yield sources.where(F.pmod(F.xxhash64("s"), F.lit(batches)) == i)
 
 
+def search_rows(graph: Graph, links: Links, state_rows: int = STATE_ROWS, sources: DataFrame | None = None) -> int:
+    """Rows a search shuffles: the arcs, or the (source, vertex) pairs of a batch where those are more."""
+    n = (graph.vertices if sources is None else sources).count()
+    return max(links.n_arcs, min(n * graph.vertices.count(), state_rows))
+
+
 def levels(links: Links, sources: DataFrame, symmetric: bool, carry: str | None = None) -> list[DataFrame]:
     """Frontiers ``(s, vid, d)`` of a search from every source at once, one per hop.
 
@@ -69,7 +75,7 @@ def hop_distances(
     symmetric = not graph.directed or mode == "all"
     spark = graph.edges.sparkSession
     try:
-        with shuffle_width(spark, links.n_arcs):
+        with shuffle_width(spark, search_rows(graph, links, state_rows, sources)):
             for batch in source_batches(graph, state_rows, sources):
                 yield union_all(levels(links, batch, symmetric))
     finally:
@@ -102,6 +108,32 @@ def path_measures(histogram: DataFrame) -> DataFrame:
     )
 
 
+def neighbourhood_function(graph: Graph, mode: str = "out", precision: int = 12) -> DataFrame:
+    """``(hops, pairs)``: an estimate of the ordered pairs, own pairs included, within so many hops.
+
+    Every vertex keeps a sketch of the vertices it reaches, and a round unites the sketches across the arcs
+    (Palmer et al. 2002, Boldi et al. 2011), so the state is one sketch per vertex instead of all pairs.
+    With ``precision`` bits a sketch holds 2 ** precision registers and its standard error is about
+    0.83 / sqrt(2 ** precision), 1.3 % at 12. Ends when no sketch reaches further.
+    """
+    links = walk_links(graph, "in" if mode == "out" else "out" if mode == "in" else mode)
+    spark = graph.edges.sparkSession
+    state = cut(graph.vertices.groupBy("vid").agg(F.hll_sketch_agg(F.col("vid").cast("bigint"), precision).alias("seen")))
+    rows = []
+    try:
+        with shuffle_width(spark, links.n_arcs):
+            while True:
+                total = state.agg(F.sum(F.hll_sketch_estimate("seen"))).first()[0] or 0
+                if rows and total <= rows[-1][1]:
+                    break
+                rows.append((len(rows), total))
+                heard = links.send(state).select(F.col("dst").alias("vid"), "seen")
+                state = cut(heard.unionByName(state).groupBy("vid").agg(F.hll_union_agg("seen", True).alias("seen")))
+    finally:
+        links.release()
+    return spark.createDataFrame(rows, "hops int, pairs long")  # one row per hop
+
+
 def closeness(graph: Graph, per_component: bool = True, **kw) -> DataFrame:
     """``(vid, closeness)`` ignoring direction: reached / total distance; isolated → −1.
 

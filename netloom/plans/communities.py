@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netloom.operators.community import detect, quality
+from netloom.operators.graph import build_graph
 from netloom.plans import fixtures as fx
-from netloom.plans.registry import query
+from netloom.plans.registry import query, table
 
 
 def _register(name: str, algorithm: str, graph, **options) -> None:
@@ -24,8 +25,69 @@ _register("walktrap", "WalkTrap", fx.balance)
 _register("walktrap_sketch", "WalkTrap", fx.balance, sketch=32)
 _register("infomap", "InfoMap", fx.balance)
 _register("leading_eigenvector", "LeadingEigenvector", fx.contact)
-_register("edge_betweenness", "EdgeBetweenness", fx.balance, batch=30, patience=2)
-_register("spin_glass", "SpinGlass", fx.contact)
+_register("edge_betweenness", "EdgeBetweenness", fx.balance, batch=30)
+_register("spin_glass", "SpinGlass", fx.contact, cooling=0.8, stop=0.05)
+
+
+def _planted_nations(spark, folder, group):
+    """Nations joined with all others of their group, and the leaders of the groups in a ring."""
+    nations = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey").withColumn("g", group)
+    a, b = (nations.select(F.col("n_nationkey").alias(c), "g") for c in ("source", "target"))
+    inside = a.join(b, "g").where("source < target").select("source", "target")
+    heads = nations.groupBy("g").agg(F.min("n_nationkey").alias("head"))
+    following = heads.select((F.col("g") - 1).alias("g"), F.col("head").alias("next"))
+    ring = heads.join(following, "g").select(F.col("head").alias("source"), F.col("next").alias("target"))
+    return build_graph(inside.unionByName(ring), nations.drop("g"))
+
+
+def _regions(spark, folder):
+    return _planted_nations(spark, folder, F.col("n_regionkey"))
+
+
+#: Groups of 3, 5, 7 and 10 nations: no two eigenvalues are equal.
+_STEPS = "CASE WHEN n_nationkey < 3 THEN 0 WHEN n_nationkey < 8 THEN 1 WHEN n_nationkey < 15 THEN 2 ELSE 3 END"
+
+
+def _unequal(spark, folder):
+    return _planted_nations(spark, folder, F.expr(_STEPS))
+
+
+def _blocks(spark, folder):
+    """Customers joined with all others of their ten consecutive keys: many components, edges linear in rows."""
+    ids = table(spark, folder, "customer").select("c_custkey", F.floor((F.col("c_custkey") - 1) / 10).alias("g"))
+    a, b = (ids.select(F.col("c_custkey").alias(c), "g") for c in ("source", "target"))
+    return build_graph(a.join(b, "g").where("source < target").select("source", "target"), ids.select("c_custkey"))
+
+
+def _planted_sql(rows: str, key: str, group: str) -> str:
+    return f"""SELECT {key} AS name, dense_rank() OVER (ORDER BY least_key) - 1 AS community FROM
+        (SELECT {key}, min({key}) OVER (PARTITION BY {group}) AS least_key FROM {rows})"""
+
+
+def _register_planted(name: str, algorithm: str, graph, sql: str, **options) -> None:
+    @query(f"community_{name}", sql)
+    def _(spark, folder):
+        found = graph(spark, folder)
+        member = detect(found, algorithm, **options)
+        return member.join(found.vertices.select("vid", "name"), "vid").select("name", "community")
+
+
+_NATIONS = _planted_sql("nation", "n_nationkey", "n_regionkey")
+for _name, _algorithm, _options in (
+    ("label_propagation", "LabelPropagation", {}),
+    ("louvain", "MultiLevel", {}),
+    ("leiden", "Leiden", {}),
+    ("fast_greedy", "FastGreedy", {}),
+    ("walktrap", "WalkTrap", {}),
+    ("infomap", "InfoMap", {}),
+    ("edge_betweenness", "EdgeBetweenness", {"batch": 5}),
+    ("spin_glass", "SpinGlass", {"cooling": 0.8, "stop": 0.05}),
+):
+    _register_planted(f"planted_{_name}", _algorithm, _regions, _NATIONS, **_options)
+_register_planted("planted_leading_eigenvector", "LeadingEigenvector", _unequal, _planted_sql("nation", "n_nationkey", _STEPS))
+_BLOCKS = _planted_sql("customer", "c_custkey", "(c_custkey - 1) // 10")
+for _name, _algorithm in (("louvain", "MultiLevel"), ("leiden", "Leiden"), ("fast_greedy", "FastGreedy"), ("infomap", "InfoMap"), ("label_propagation", "LabelPropagation")):
+    _register_planted(f"blocks_{_name}", _algorithm, _blocks, _BLOCKS)
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import clean as cl
 from netloom.operators.nearest import nearest_neighbours
-from netloom.operators.pairs import similarity_edges
+from netloom.operators.pairs import similarity_edges, similarity_where
 from netloom.plans.registry import query, table
 
 Z = """(SELECT {k} AS id, ({a} - (SELECT avg({a}) FROM {t})) / (SELECT stddev_pop({a}) FROM {t}) AS x,
@@ -177,6 +177,7 @@ def _register6(metric: str, dist: str, bound: float) -> None:
 
 _register6("hamming", f"(({_DIFF}) / 6)", 0.4)
 _register6("jaccard", f"coalesce(({_DIFF}) / nullif({_ANY}, 0), 0)", 0.5)
+_register6("jaccard_boolean", f"coalesce({_U} / nullif(1.0 * {_TT} + {_U}, 0), 0)", 0.4)
 _register6("dice", f"({_U} / nullif(2.0 * {_TT} + {_U}, 0))", 0.2)
 _register6("rogerstanimoto", f"(2.0 * {_U} / (6 + {_U}))", 0.4)
 _register6("sokalsneath", f"(2.0 * {_U} / nullif({_TT} + 2 * {_U}, 0))", 0.4)
@@ -212,3 +213,29 @@ def _(spark, folder):
     whole = table(spark, folder, "part").select("p_partkey", "p_size", F.round(F.col("p_retailprice") * 10).alias("price"))
     out = nearest_neighbours(whole, "p_partkey", ["p_size", "price"], 3)
     return out.withColumn("dist", F.round("dist", 5))
+
+
+def _register_where(name: str, predicate: str, sql: str) -> None:
+    @query(
+        f"dist_where_{name}",
+        f"""SELECT source, target, round(dist, 5) AS dist FROM (SELECT a.id AS source, b.id AS target,
+            sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist FROM {WHOLE} a JOIN {WHOLE} b ON a.id < b.id) WHERE {sql}""",
+    )
+    def _(spark, folder):
+        whole = table(spark, folder, "part").select("p_partkey", "p_size", F.round(F.col("p_retailprice") * 10).alias("price"))
+        return similarity_where(whole, "p_partkey", ["p_size", "price"], "euclidean", predicate).withColumn("dist", F.round("dist", 5))
+
+
+_register_where("below", "dist<3", "dist < 3")
+_register_where("between", "[dist] >= 2 and [dist] <= 4", "dist >= 2 AND dist <= 4")
+_register_where("quoted", "5 > dist and dist > 1 and ‘a’ = 'a'", "dist < 5 AND dist > 1")
+
+
+@query(
+    "dist_exact_copies",
+    """SELECT a.p_partkey AS source, b.p_partkey AS target, CAST(0 AS DOUBLE) AS dist FROM part a JOIN part b
+       ON a.p_partkey < b.p_partkey AND a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice""",
+)
+def _(spark, folder):
+    """A bound of zero, taken inclusively, finds equal rows."""
+    return similarity_edges(table(spark, folder, "part"), "p_partkey", ["p_size", "p_retailprice"], "euclidean", 0.0, inclusive=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.functions.times import wall_micros
 from netloom.operators.clean import label_encode
 from netloom.operators.graph import Graph, build_graph
 from netloom.operators.pairs import similarity_edges
@@ -12,8 +13,10 @@ from netloom.plans.registry import table
 
 _BUILT: dict[tuple, Graph] = {}
 
-GAP_SECONDS = 60.0
-BALANCE_GAP = 200.0
+# Bounds narrow with the rows, so that edges grow as the rows and not as their square: a minute at 10,000 events,
+# a difference of 200 at 100 suppliers.
+GAP_MICROS = 600_000_000_000
+BALANCE_GAP = 20_000.0
 
 
 def _once(kind: str, make):
@@ -27,20 +30,21 @@ def _once(kind: str, make):
 
 
 def _close_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of events of one type less than a minute apart, with user and time of both.
+    """Pairs of events of one type less than the gap apart, with user and time of both.
 
-    Time and a widely spaced type code form a point; the largest coordinate difference is
-    below a minute exactly when the types agree and the times are close.
+    Time and a widely spaced type code form a point of whole numbers; the largest coordinate difference is
+    below the gap exactly when the types agree and the times are close.
     """
     events = table(spark, folder, "events").select(
-        "event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+        "event_id", "user_id", "event_type", wall_micros(F.col("ts")).alias("us")
     )
+    gap = GAP_MICROS // max(1, events.count())
     points = label_encode(events, ["event_type"]).select(
         "event_id",
-        ((F.col("us") - F.lit(1704067200000000)) / F.lit(1e6)).alias("t"),
-        (F.col("event_type") * 1000).alias("k"),
+        (F.col("us") - F.lit(1704067200000000)).cast("double").alias("t"),
+        (F.col("event_type") * (2 * gap + 1)).cast("double").alias("k"),
     )
-    near = similarity_edges(points, "event_id", ["t", "k"], "chebyshev", GAP_SECONDS)
+    near = similarity_edges(points, "event_id", ["t", "k"], "chebyshev", float(gap))
     who = events.select("event_id", "user_id", "us")
     return near.join(who.toDF("source", "user_a", "us_a"), "source").join(
         who.toDF("target", "user_b", "us_b"), "target"
@@ -48,7 +52,6 @@ def _close_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _contact(spark: SparkSession, folder: str) -> Graph:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     pairs = (
         _close_events(spark, folder)
         .where("user_a <> user_b")
@@ -59,7 +62,6 @@ def _contact(spark: SparkSession, folder: str) -> Graph:
 
 
 def _follow(spark: SparkSession, folder: str) -> Graph:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     first_a = F.col("us_a") < F.col("us_b")
     pairs = (
         _close_events(spark, folder)
@@ -75,7 +77,7 @@ def _follow(spark: SparkSession, folder: str) -> Graph:
 
 def _balance(spark: SparkSession, folder: str) -> Graph:
     suppliers = table(spark, folder, "supplier")
-    edges = similarity_edges(suppliers, "s_suppkey", ["s_acctbal"], "cityblock", BALANCE_GAP)
+    edges = similarity_edges(suppliers, "s_suppkey", ["s_acctbal"], "cityblock", BALANCE_GAP / max(1, suppliers.count()))
     return build_graph(edges, suppliers.select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"))
 
 
@@ -111,7 +113,7 @@ supply = _once("supply", _supply)
 
 # The same graphs in SQL, each as CTEs ``node(vid, name)`` and ``edge(src, dst, …)``.
 _CLOSE = """a JOIN events b ON a.user_id <> b.user_id AND a.event_type = b.event_type
-   AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < 60000000"""
+   AND abs(epoch_us(a.ts) - epoch_us(b.ts)) < (SELECT 600000000000 // count(*) FROM events)"""
 _FROM_ENDS = """node AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS vid FROM
    (SELECT s AS name FROM raw UNION SELECT t FROM raw)),
  edge AS (SELECT x.vid AS src, y.vid AS dst FROM raw JOIN node x ON raw.s = x.name JOIN node y ON raw.t = y.name)"""
@@ -119,7 +121,7 @@ CONTACT_SQL = f"raw AS (SELECT DISTINCT a.user_id AS s, b.user_id AS t FROM even
 FOLLOW_SQL = f"raw AS (SELECT DISTINCT a.user_id AS s, b.user_id AS t FROM events {_CLOSE} WHERE a.ts < b.ts), {_FROM_ENDS}"
 BALANCE_SQL = """node AS (SELECT s_suppkey AS vid, s_suppkey AS name, s_name, s_nationkey, s_acctbal FROM supplier),
  edge AS (SELECT a.s_suppkey AS src, b.s_suppkey AS dst, abs(a.s_acctbal - b.s_acctbal) AS dist FROM supplier a
-  JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 200)"""
+  JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < (SELECT 20000::DOUBLE / count(*) FROM supplier))"""
 TRADE_SQL = """node AS (SELECT n_nationkey AS vid, n_nationkey AS name, n_name AS label, n_regionkey FROM nation),
  edge AS (SELECT s_nationkey AS src, c_nationkey AS dst, l_quantity AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""

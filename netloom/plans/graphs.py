@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def _round(df: DataFrame, digits: int, *names: str) -> DataFrame:
 PART_GRAPH_SQL = """z AS (SELECT p_partkey AS id, (p_size - (SELECT avg(p_size) FROM part)) / (SELECT stddev_pop(p_size) FROM part) AS x,
    (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part) AS y FROM part),
  node AS (SELECT p_partkey AS vid FROM part),
- edge AS (SELECT a.id AS src, b.id AS dst FROM z a JOIN z b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 0.5)"""
+ edge AS (SELECT a.id AS src, b.id AS dst FROM z a JOIN z b ON a.id < b.id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < (SELECT sqrt(500::DOUBLE / count(*)) FROM part))"""
 SIZE_SQL = """deg AS (SELECT vid, count(e) AS degree FROM node LEFT JOIN (SELECT src AS e FROM edge UNION ALL SELECT dst FROM edge) ON vid = e GROUP BY vid),
  size AS (SELECT count(*) AS vertices, CAST(sum(degree) // 2 AS BIGINT) AS edges, round(avg(degree), 4) AS avg_degree, max(degree) AS max_degree FROM deg)"""
 SIZE_COLS = "vertices, edges, avg_degree, max_degree"
@@ -40,7 +42,9 @@ SIZE_COLS = "vertices, edges, avg_degree, max_degree"
 def flagship(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
     scaled = cl.scale_z(parts, ["p_size", "p_retailprice"])
-    edges = similarity_edges(scaled, "p_partkey", ["p_size", "p_retailprice"], "euclidean", 0.5)
+    # the radius shrinks with the density, so a part keeps about as many neighbours at any scale
+    radius = math.sqrt(500 / max(1, parts.count()))
+    edges = similarity_edges(scaled, "p_partkey", ["p_size", "p_retailprice"], "euclidean", radius)
     return metrics.size_measures(gb.build_graph(edges, parts))
 
 

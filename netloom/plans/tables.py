@@ -275,7 +275,6 @@ def _(spark, folder):
        AS o_orderdate FROM orders""",
 )
 def _(spark, folder):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return cl.elapsed(table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate"], "1999-06-30 12:00:00")
 
 
@@ -285,7 +284,6 @@ def _(spark, folder):
        (SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '2024-01-15 06:30:00') - epoch_us(ts)) / 1000000) AS BIGINT) AS s FROM events)""",
 )
 def _(spark, folder):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return cl.elapsed(table(spark, folder, "events").select("event_id", "ts"), ["ts"], "2024-01-15 06:30:00", unit="seconds")
 
 
@@ -298,7 +296,7 @@ def _(spark, folder):
         SELECT row_id, round((bal - (SELECT avg(bal) FROM f)) / (SELECT stddev_pop(bal) FROM f), 5) AS bal, round(nat, 5) AS nat,
         """
     + ", ".join(
-        f"CASE WHEN seg = '{v}' THEN 1.0 ELSE 0.0 END::DOUBLE AS seg_{v}"
+        f"CASE WHEN seg = '{v}' THEN 1 ELSE 0 END AS seg_{v}"
         for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
     )
     + " FROM f",

@@ -12,7 +12,7 @@ MISSING_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
-INTEGER_TEXT = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 DECIMAL_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 BOOLEAN_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
 STANDARD_ENCODINGS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
@@ -45,16 +45,19 @@ def _present(name: str) -> Column:
 
 
 def settle_types(raw: DataFrame) -> DataFrame:
-    """Text columns → bigint, double, boolean or string: the narrowest that fits every value.
+    """Text columns → bigint, decimal, double, boolean or string: the narrowest that fits every value.
 
-    One aggregation over the file decides for all columns; dates stay text.
+    One aggregation over the file decides for all columns; dates stay text. Whole numbers beyond
+    bigint become decimals of 38 digits, beyond those text, so no digit is lost.
     """
     checks = []
     for i, name in enumerate(raw.columns):
         text = _present(name)
         checks += [
             F.count(text).alias(f"n{i}"),
-            F.count_if(text.rlike(INTEGER_TEXT)).alias(f"i{i}"),
+            F.count_if(text.rlike(INTEGER_TEXT)).alias(f"w{i}"),
+            F.count_if(text.rlike(INTEGER_TEXT) & F.trim(text).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.count_if(text.rlike(INTEGER_TEXT) & F.trim(text).try_cast("decimal(38,0)").isNotNull()).alias(f"l{i}"),
             F.count_if(text.rlike(DECIMAL_TEXT)).alias(f"d{i}"),
             F.count_if(text.rlike(BOOLEAN_TEXT)).alias(f"b{i}"),
         ]
@@ -66,6 +69,8 @@ def settle_types(raw: DataFrame) -> DataFrame:
         n = found[f"n{i}"]
         if n and found[f"i{i}"] == n:
             return F.trim(_present(name)).cast("bigint")
+        if n and found[f"w{i}"] == n:
+            return F.trim(_present(name)).cast("decimal(38,0)") if found[f"l{i}"] == n else _present(name)
         if found[f"d{i}"] == n:  # an all-missing column is numeric
             return F.trim(_present(name)).cast("double")
         if found[f"b{i}"] == n:

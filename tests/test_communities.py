@@ -11,7 +11,7 @@ from netloom.operators.graph import build_graph
 RING = [(5 * c + i, 5 * c + j) for c in range(4) for i, j in itertools.combinations(range(5), 2)]
 RING += [(5 * c, (5 * c + 6) % 20) for c in range(4)]
 RING += [(20, 21), (21, 22), (20, 22)]
-OPTIONS = {"EdgeBetweenness": {"batch": 4, "patience": 1}}
+OPTIONS = {"EdgeBetweenness": {"batch": 4}, "SpinGlass": {"cooling": 0.8, "stop": 0.05}}
 
 
 @pytest.fixture(scope="module")

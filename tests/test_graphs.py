@@ -118,3 +118,20 @@ def test_overlay_rejects_unknown_target(spark):
     bad = spark.createDataFrame([(0, 99)], "a long, b long")
     with pytest.raises(ValueError):
         gb.overlay([a, b], [None, bad])
+
+
+def test_repeated_and_null_ids_are_refused(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", None)], "s string, t string")
+    with pytest.raises(ValueError, match="null end"):
+        gb.build_graph(edges)
+    graph = gb.build_graph(edges, missing="drop")
+    assert graph.vertices.count() == 2 and graph.edges.count() == 1
+    twice = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
+    with pytest.raises(ValueError, match="repeated"):
+        gb.build_graph(edges.na.drop(), twice)
+
+
+def test_neighbourhood_function_of_a_path(spark):
+    path = gb.build_graph(spark.createDataFrame([(i, i + 1) for i in range(9)], "s long, t long"))
+    got = {r["hops"]: r["pairs"] for r in traverse.neighbourhood_function(path).collect()}
+    assert got == {h: 10 + 2 * sum(10 - k for k in range(1, h + 1)) for h in range(10)}

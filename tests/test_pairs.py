@@ -51,3 +51,17 @@ def test_nearest_with_copies(spark):
         ranked = sorted((np.linalg.norm(p - q), j) for j, q in enumerate(POINTS) if j != i)[:k]
         mine = sorted((r["rank"], r["target"], r["dist"]) for r in out if r["source"] == i)
         assert [t for _, t, _ in mine] == [j for _, j in ranked]
+
+
+def test_tiny_bounds_on_large_values(spark):
+    df = spark.createDataFrame([(0, 1e9), (1, 1e9), (2, 1e9 + 1e-6), (3, -5.0)], "id long, x double")
+    for bound, inclusive in ((0.0, True), (1e-10, False)):
+        rows = similarity_edges(df, "id", ["x"], "euclidean", bound, inclusive=inclusive).collect()
+        assert [(r["source"], r["target"], r["dist"]) for r in rows] == [(0, 1, 0.0)]
+    assert similarity_edges(df, "id", ["x"], "euclidean", 0.0).count() == 0
+
+
+def test_a_bound_that_spans_the_data_is_announced(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0)], "id long, x double")
+    with pytest.warns(UserWarning, match="100.0"):
+        assert similarity_edges(df, "id", ["x"], "euclidean", 100.0).count() == 1

@@ -80,3 +80,46 @@ def test_quantiles_with_heavy_repeats(spark):
 
     for row in exact_quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.77, 1.0]).collect():
         assert row["quantile"] == pytest.approx(np.quantile(values, row["prob"]))
+
+
+def test_long_ids_keep_their_digits(spark, tmp_path):
+    path = tmp_path / "ids.csv"
+    path.write_text("a,b,c\n1234567890123456789,12345678901234567890,1" + "0" * 45 + "\n1234567890123456790,2,3\n")
+    df = io.read_delimited(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)", "string"]
+    assert sorted(r["a"] for r in df.collect()) == [1234567890123456789, 1234567890123456790]
+
+
+def test_fills_treat_nan_as_missing_and_leave_whole_columns_alone(spark):
+    rows = [(0, 1.0, 5, 1), (1, float("nan"), 6, None), (2, None, 7, 2), (3, 3.0, 8, 4)]
+    df = spark.createDataFrame(rows, "row_id long, x double, n int, m int")
+    for fill, x, m in ((cl.fill_mean, 2.0, 7 / 3), (cl.fill_median, 2.0, 2.0)):
+        out = fill(df)
+        assert [t for _, t in out.dtypes] == ["bigint", "double", "int", "double"]
+        got = {r["row_id"]: (r["x"], r["m"]) for r in out.collect()}
+        assert got[1] == pytest.approx((x, m)) and got[2][0] == x and got[0] == (1.0, 1.0)
+    forward = {r["row_id"]: r["x"] for r in cl.fill_forward(df).collect()}
+    assert forward == {0: 1.0, 1: 1.0, 2: 1.0, 3: 3.0}
+
+
+def test_forward_fill_with_sparse_ids(spark):
+    rows = [(i * 10**12, i if i % 7 == 0 else None) for i in range(500)]
+    out = cl.fill_forward(spark.createDataFrame(rows, "row_id long, x int"), block_rows=40)
+    assert {r["row_id"] // 10**12: r["x"] for r in out.collect()} == {i: i - i % 7 for i in range(500)}
+
+
+def test_elapsed_time_ignores_clock_changes(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(0, "2024-03-09 12:00:00"), (1, "2024-03-10 11:59:59.5")], "row_id long, t string")
+        days = cl.elapsed(df, ["t"], "2024-03-10 12:00:00").collect()
+        seconds = cl.elapsed(df, ["t"], "2024-03-10 12:00:00", "seconds", total=True).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [r["t"] for r in days] == [1, 0] and [r["t"] for r in seconds] == [86_400, 0]
+
+
+def test_one_hot_as_rows(spark):
+    df = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "row_id long, c string")
+    assert sorted(tuple(r) for r in cl.one_hot_long(df, ["c"]).collect()) == [(0, "c", "a"), (2, "c", "b")]
