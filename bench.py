@@ -26,6 +26,11 @@ HEADLINE = (
     "centrality_pagerank_multigraph",
     "path_shortest",
     "community_label_propagation",
+    "community_louvain",
+    "centrality_pagerank",
+    "centrality_closeness",
+    "dist_nearest_neighbours",
+    "community_blocks_louvain",
 )
 
 

@@ -44,7 +44,7 @@ def _pivots(graph: Graph, pivots: int | None, seed: int) -> tuple[DataFrame | No
     if pivots >= total:
         return None, 1.0
     chosen = cut(
-        graph.vertices.select(F.col("vid").alias("s")).orderBy(F.xxhash64("s", F.lit(seed)), "s").limit(pivots)
+        graph.vertices.select(F.col("vid").alias("s")).orderBy(F.md5(F.concat_ws(":", "s", F.lit(seed))), "s").limit(pivots)
     )
     return chosen, total / pivots
 

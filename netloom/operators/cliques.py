@@ -13,8 +13,6 @@ from netloom.operators.links import simple_links
 from netloom.operators.metrics import forward_pairs
 from netloom.runtime import cut, shuffle_width
 
-MAX_AHEAD = 20_000
-
 
 def core_numbers(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     """``(vid, core)`` of the simple undirected view.
@@ -55,33 +53,58 @@ def core_numbers(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     )
 
 
-def _grow(candidates: set, neighbours: dict, size: int, best: int) -> int:
-    """Largest clique through ``candidates``, given ``size`` vertices already taken."""
-    best = max(best, size)
-    while candidates and size + len(candidates) > best:
-        pivot = max(candidates, key=lambda v: (len(neighbours[v] & candidates), v))
-        best = _grow(candidates & neighbours[pivot], neighbours, size + 1, best)
-        candidates = candidates - {pivot}
+def _coloured(members: int, adjacent: list[int]) -> list[tuple[int, int]]:
+    """Members with a greedy colour each, lowest first: no clique among the first ones has more vertices than colours."""
+    out, colour = [], 0
+    while members:
+        colour += 1
+        rest = members
+        while rest:
+            v = (rest & -rest).bit_length() - 1
+            out.append((v, colour))
+            members ^= 1 << v
+            rest &= ~(adjacent[v] | 1 << v)
+    return out
+
+
+def largest_clique(adjacent: list[int], floor: int = 0) -> int:
+    """Size of the largest clique above ``floor``, else ``floor``; neighbours are bit masks.
+
+    Branch and bound with colours as the bound (Tomita and Seki 2003) on a stack of its own, so no depth is too deep.
+    """
+    best = floor
+    everyone = (1 << len(adjacent)) - 1
+    stack = [(everyone, _coloured(everyone, adjacent), 0)]
+    while stack:
+        members, order, size = stack.pop()
+        if not order or size + order[-1][1] <= best:
+            continue
+        v = order.pop()[0]
+        stack.append((members & ~(1 << v), order, size))
+        inside = members & adjacent[v]
+        best = max(best, size + 1)
+        if inside:
+            stack.append((inside, _coloured(inside, adjacent), size + 1))
     return best
 
 
 def _largest_near(group: pd.DataFrame) -> pd.DataFrame:
-    neighbours = {v: set() for v in group["v"]}
-    for v, shared in zip(group["v"], group["shared"]):
-        neighbours[v].update(shared)
-        for w in shared:
-            neighbours.setdefault(w, set()).add(v)
-    size = _grow(set(neighbours), neighbours, 1, int(group["floor"].iloc[0]))
-    return pd.DataFrame({"size": [size]})
+    pairs = [(v, w) for v, shared in zip(group["v"], group["shared"]) for w in shared]
+    number = {v: i for i, v in enumerate(sorted({*group["v"], *(w for _, w in pairs)}))}
+    adjacent = [0] * len(number)
+    for v, w in pairs:
+        adjacent[number[v]] |= 1 << number[w]
+        adjacent[number[w]] |= 1 << number[v]
+    return pd.DataFrame({"size": [1 + largest_clique(adjacent, int(group["floor"].iloc[0]) - 1)]})
 
 
-def clique_number(graph: Graph, max_ahead: int = MAX_AHEAD) -> int:
+def clique_number(graph: Graph, max_ahead: int | None = None) -> int:
     """Size of the largest clique.
 
     Each clique is found at its first vertex in degree order, inside the neighbours further
     up the order: at most √(2E) of them per task group, hubs included. Vertices whose core
-    number cannot beat a clique already known are dropped first. A neighbourhood above
-    ``max_ahead`` is refused, never cut.
+    number cannot beat a clique already known are dropped first. A caller may have neighbourhoods
+    above ``max_ahead`` refused.
     """
     if graph.vertices.isEmpty():
         return 0
@@ -107,10 +130,10 @@ def _core_part(graph: Graph, cores: DataFrame, least: int) -> Graph:
     return Graph(keep, cut(edges), False)
 
 
-def _search(part: Graph, known: int, max_ahead: int) -> int:
+def _search(part: Graph, known: int, max_ahead: int | None) -> int:
     pairs = cut(forward_pairs(part))
     widest = pairs.agg(F.max(F.size("ahead_u"))).first()[0] or 0
-    if widest > max_ahead:
+    if max_ahead is not None and widest > max_ahead:
         raise ValueError(f"a vertex has {widest} neighbours up the order; raise max_ahead to search it")
     groups = pairs.where(F.size("ahead_u") >= known).select(
         "u", "v", F.array_intersect("ahead_u", "ahead_v").alias("shared"), F.lit(known).alias("floor")

@@ -19,7 +19,7 @@ from netloom.runtime import cut, dense_index, shuffle_width
 EPSILON = 1e-9
 STEPS = 6
 MAX_CYCLES = 500
-SETTLED = 1e-6
+SETTLED = 1e-4
 
 
 def _ritz(products: pd.DataFrame) -> pd.DataFrame:

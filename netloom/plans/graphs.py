@@ -319,7 +319,15 @@ def _(spark, folder):
     return _round(centrality.edge_betweenness(fx.balance(spark, folder)), 4, "betweenness")
 
 
-@query("centrality_betweenness_pivots")
+@query(
+    "centrality_betweenness_pivots",
+    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, {COUNTS_SQL},
+        chosen AS (SELECT vid AS p FROM node ORDER BY md5(vid || ':7'), vid LIMIT 64),
+        bc AS (SELECT a.v AS vid, sum(a.n * b.n / c.n) AS b FROM cnt a JOIN chosen ON a.s = p JOIN cnt b ON a.v = b.s
+          JOIN cnt c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.v)
+        SELECT vid, round(coalesce(b * 0.5 * greatest(1, (SELECT count(*) FROM node) / 64.0), 0), 5)::DOUBLE AS betweenness
+        FROM node LEFT JOIN bc USING (vid)""",
+)
 def _(spark, folder):
     return centrality.betweenness(fx.contact(spark, folder), pivots=64, seed=7)
 
@@ -363,6 +371,20 @@ def _(spark, folder):
     return components.connected_components(fx.balance(spark, folder))
 
 
+@query(
+    "measure_neighbourhood_function",
+    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, sizes AS (SELECT DISTINCT d AS hops FROM hop)
+        SELECT hops::INTEGER AS hops, true AS close FROM sizes""",
+)
+def _(spark, folder):
+    """Per number of hops, whether the estimate lies within 5 % of the exact count."""
+    graph = fx.contact(spark, folder)
+    exact = traverse.hop_histogram(graph).unionByName(graph.vertices.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("d"), "n"))
+    guess = traverse.neighbourhood_function(graph)
+    sums = guess.join(exact, F.col("d") <= F.col("hops")).groupBy("hops", "pairs").agg(F.sum("n").alias("n"))  # a few hops
+    return sums.select("hops", (F.abs(F.col("pairs") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+
+
 # ---- paths --------------------------------------------------------------------------
 
 

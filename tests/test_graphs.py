@@ -1,6 +1,7 @@
 """Hand-worked graphs with known answers."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,17 @@ def test_neighbourhood_function_of_a_path(spark):
     path = gb.build_graph(spark.createDataFrame([(i, i + 1) for i in range(9)], "s long, t long"))
     got = {r["hops"]: r["pairs"] for r in traverse.neighbourhood_function(path).collect()}
     assert got == {h: 10 + 2 * sum(10 - k for k in range(1, h + 1)) for h in range(10)}
+
+
+def test_clique_search_is_deep_and_exact():
+    assert cliques.largest_clique([((1 << 1500) - 1) & ~(1 << v) for v in range(1500)]) == 1500
+    draw = random.Random(3)
+    for n in (1, 6, 12):
+        for _ in range(20):
+            near = [set() for _ in range(n)]
+            for a, b in itertools.combinations(range(n), 2):
+                if draw.random() < 0.6:
+                    near[a].add(b), near[b].add(a)
+            most = max(k for k in range(1, n + 1) if any(all(b in near[a] for a, b in itertools.combinations(c, 2)) for c in itertools.combinations(range(n), k)))
+            assert cliques.largest_clique([sum(1 << w for w in x) for x in near]) == most
+    assert cliques.largest_clique([0, 0], floor=4) == 4
