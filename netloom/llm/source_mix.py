@@ -42,11 +42,6 @@ def topic_of(text: str | Column) -> Column:
     return out.otherwise("prose")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, marked for a broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def tempered(cells: DataFrame, dimension: str, power: float = TEMPERATURE) -> DataFrame:
     """Target share of every value of a dimension: its share of the tokens to a power, scaled to one."""
     sums = cut(cells.groupBy(dimension).agg(F.sum("tokens").alias("n")).where("n > 0").select(dimension, F.pow(F.col("n").cast("double"), power).alias("x")))
@@ -62,22 +57,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> tuple[DataFrame, fl
     the factor, then above 1 + ``TOLERANCE``, says how far the marginals are off.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    state = cut(cells.withColumn("weight", F.col("tokens") / F.lit(float(total))))
-    fixed = {d: _small(cut(t)) for d, t in targets.items()}
+    state = cells.withColumn("weight", F.col("tokens") / F.lit(float(total)))
+    # every value once, with its target; factors have a row per value, so their number is known from here on
+    shares = {d: cut(cells.select(d).distinct().join(t, d, "left").na.fill(0.0, ["share"])) for d, t in targets.items()}
+    small = {d: s.count() <= BROADCAST_ROWS for d, s in shares.items()}
+    names = list(cells.columns)
     off, before = 1.0, float("inf")
     for _ in range(MOST_SWEEPS):
-        worst = []
-        for dimension, target in fixed.items():
+        for i, (dimension, target) in enumerate(shares.items()):
             sums = state.groupBy(dimension).agg(F.sum("weight").alias("_sum"))
-            factors = sums.join(target, dimension, "left").select(
-                dimension, F.when(F.col("_sum") > 0, F.coalesce("share", F.lit(0.0)) / F.col("_sum")).otherwise(0.0).alias("_factor")
-            )
-            factors = cut(factors)
-            seen = factors.where("_factor > 0").agg(F.max(F.greatest("_factor", 1 / F.col("_factor")))).first()[0]
-            worst.append(seen or 1.0)
-            state = state.join(_small(factors), dimension).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
-        state = cut(state)
-        off = max(worst)
+            factor = F.when(F.col("_sum") > 0, F.col("share") / F.col("_sum")).otherwise(0.0)
+            factors = sums.join(F.broadcast(target) if small[dimension] else target, dimension).select(dimension, factor.alias(f"_f{i}"))
+            state = state.join(F.broadcast(factors) if small[dimension] else factors, dimension)
+            state = state.withColumn("weight", F.col("weight") * F.col(f"_f{i}"))
+        state = cut(state)  # one job a sweep: three sums, three joins, one small table
+        found = [F.col(f"_f{i}") for i in range(len(shares))]
+        worst = state.agg(*(F.max(F.when(f > 0, F.greatest(f, 1 / f))) for f in found)).first()
+        state = state.select(*names, "weight")
+        off = max((x for x in worst if x), default=1.0)
         if off <= 1 + TOLERANCE or off > 1 + (before - 1) * 0.999:
             break
         before = off
