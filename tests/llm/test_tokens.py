@@ -64,7 +64,7 @@ def test_grammar_round_trip_and_random_access():
     draw = random.Random(8)
     documents_ = [array("I", [draw.randrange(6) for _ in range(draw.randrange(1, 400))]) for _ in range(300)]
     documents_ += [array("I", [1]), array("I", [7] * 3000), array("I", [70_000, 1])]
-    data = ri.to_bytes([None, *range(1, len(documents_))], documents_, 10)
+    data = ri.to_bytes([None, *range(1, len(documents_))], [x.tobytes() for x in documents_], 10)
     shard = ri.ShardReader(data)
     assert len(shard.rules) > 10 and len(data) < 4 * sum(map(len, documents_))
     assert shard.doc_ids[:2] == [None, 1]
