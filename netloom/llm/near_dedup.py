@@ -10,7 +10,7 @@ meet in the deepest nodes.
 
 Groups of near copies never get small by branching. Before pairs are formed, members of a node are held
 against one leader of the node and joined with it where they are similar; afterwards only pairs that
-are not yet in one component are formed. Candidates pass a sketch of 128 minwise bytes, and those
+are not yet in one component, and were not compared before, are formed. Candidates pass a sketch of 128 minwise bytes, and those
 left are confirmed on their full sets.
 """
 
@@ -119,11 +119,12 @@ def _likely(batches):
         yield batch.select(["a", "b"]).append_column("equal", pa.array(equal, pa.int32())).filter(pa.array(equal >= SKETCH_FLOOR))
 
 
-def likely_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, equal)``: the pairs whose sketches do not rule them out."""
-    sketches = sets.select("rep", "sketch")
-    both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    return cut(both.mapInArrow(_likely, "a long, b long, equal int"))
+def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(a, b, equal)``: the pairs that neither the sizes of their sets nor their sketches rule out."""
+    sketches = sets.select("rep", "sketch", "n_shingles")
+    both = pairs.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
+    alike = both.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    return cut(alike.mapInArrow(_likely, "a long, b long, equal int"))
 
 
 def _confirmed(size: int, similarity: int):
@@ -174,8 +175,10 @@ def merge(comps: DataFrame, links: DataFrame) -> DataFrame:
     pointers to the roots; a link within one component is dropped. At least half of the
     components with a link to another one lose their root each round.
     """
+    if links.isEmpty():
+        return comps
     while True:
-        across = _across(links, comps).select("ca", "cb").distinct()
+        across = _across(links, comps).select("ca", "cb")
         across = cut(across.select(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).distinct())
         if not across.head(1):
             return comps
@@ -194,7 +197,7 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
     """``(rep, comp)`` for one representative row of every distinct non-empty set of a profile."""
     first = sets.where("n_shingles > 0").groupBy("digest").agg(F.min("_row").alias("rep"))
-    reps = cut(sets.join(first.select(F.col("rep").alias("_row")), "_row").select(F.col("_row").alias("rep"), "keys", "sketch"))
+    reps = cut(sets.join(first.select(F.col("rep").alias("_row")), "_row").select(F.col("_row").alias("rep"), "keys", "sketch", "n_shingles"))
     comps = cut(reps.select("rep", F.col("rep").alias("comp")))
 
     def branch(members: DataFrame, level: int) -> DataFrame:
@@ -202,31 +205,54 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
         token = F.get("keys", F.col("tree") * LEVELS + level)
         return members.select("tree", F.xxhash64("node", "tree", token).alias("node"), "rep")
 
+    tested: list[DataFrame] = []
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        """``pairs``, each once and in order of its ends, without those that were confirmed or refuted before."""
+        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for done in tested:
+            ends = ends.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        return ends
+
     trees = reps.select("rep", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     members = branch(trees.withColumn("node", F.lit(0).cast("long")), 0)
     for level in range(LEVELS):
         # sets that share a child with no other are done
         members = cut(members)
-        counted = cut(members.groupBy("node").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1"))
+        counted = cut(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         held = cut(spread_join(members, counted, "node", "n"))
+        # the leader of a node is the member that stands in the fullest nodes: the text that the others vary
+        full = held.groupBy("rep").agg(F.sum("n").alias("score"))
+        ranked = held.join(full, "rep").groupBy("node").agg(F.max(F.struct("score", (-F.col("rep")).alias("rest"))).alias("_l"), F.max("n").alias("n"))
+        leaders = cut(ranked.select("node", "n", (-F.col("_l.rest")).alias("leader")))
+        stars = spread_join(held.drop("n"), leaders, "node", "n").where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b"))
         # with leaders: first the likeliest one of each set, then those that still join components
-        stars = likely_pairs(_across(held.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), comps).select("a", "b"), reps)
-        best = stars.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
-        comps = merge(comps, confirm(cut(best), sets, size, similarity))
-        more = cut(_across(stars, comps).select("a", "b"))
-        if more.head(1):
-            comps = merge(comps, confirm(more, sets, size, similarity))
+        stars = likely_pairs(untested(_across(stars.distinct(), comps)), reps, similarity)
+        if level == 0 and not stars.isEmpty():
+            both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+            ends = stars.select("equal", both.alias("e")).select("equal", "e.*").groupBy("x").agg(F.max_by("y", F.struct("equal", -F.col("y"))).alias("y"))
+            best = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+            comps = merge(comps, confirm(best, sets, size, similarity))
+            tested.append(best)
+            stars = cut(untested(_across(stars.select("a", "b"), comps)))
+        if not stars.isEmpty():
+            comps = merge(comps, confirm(stars.select("a", "b"), sets, size, similarity))
+            tested.append(stars.select("a", "b"))
         # nodes that still hold several components
-        placed = cut(held.drop("leader").join(comps, "rep"))
+        placed = cut(held.join(comps, "rep"))
         mixed = placed.groupBy("node").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count("*").alias("n")).where("_a <> _b")
-        placed = cut(spread_join(placed.drop("n"), cut(mixed.select("node", "n")), "node", "n"))
+        mixed = cut(mixed.select("node", "n"))
+        if mixed.isEmpty():
+            break
+        placed = cut(spread_join(placed.drop("n"), mixed, "node", "n"))
         last = level + 1 == LEVELS
         few = placed.select("node", "rep", "comp") if last else placed.where(F.col("n") <= LEAF).select("node", "rep", "comp")
         other = few.toDF("node", "b", "cb")
         pairs = few.toDF("node", "a", "ca").join(other, "node").where("a < b and ca <> cb").select("a", "b").distinct()
-        likely = likely_pairs(pairs, reps)
-        if likely.head(1):
+        likely = likely_pairs(untested(pairs), reps, similarity)
+        if not likely.isEmpty():
             comps = merge(comps, confirm(likely, sets, size, similarity))
+            tested.append(likely.select("a", "b"))
         large = placed.where(F.col("n") > LEAF)
         if last or not large.head(1):
             break
