@@ -102,11 +102,12 @@ class PieceModel:
         known = self.words.get(text)
         if known is not None:
             return known
-        blocks = (text[i : i + BLOCK] for i in range(0, len(text), BLOCK))
-        out = array("i", [i for part in self.stream(blocks) for i in part])
-        if len(text) <= WORD:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
+        if len(text) > WORD:
+            blocks = (text[i : i + BLOCK] for i in range(0, len(text), BLOCK))
+            return array("i", [i for part in self.stream(blocks) for i in part])
+        # all paths meet at the end of a stretch, so a short one needs no earlier meeting
+        out = array("i", self._trace(self.bpe.last_pieces(text), len(text)))
+        if len(self.words) < MEMORY:  # frequent stretches come early
             self.words[text] = out
         return out
 
