@@ -24,40 +24,44 @@ from tokenizers import Tokenizer
 
 from netloom.llm.common import cut, scratch_path
 from netloom.llm.files import read_file, write_file
-from netloom.llm.prefix_bpe import MEMORY
 from netloom.runtime import running_total
 
 MAGIC = b"RPAIR001"
 #: Ids per shard: the memory of one task, and the unit of random access.
 SHARD_IDS = 1_000_000
 #: A pair is worth a rule from this many places in a shard on.
-LEAST_COUNT = 24
-CELLS = 1 << 20
+LEAST_COUNT = 32
+CELL_BITS = 20
+#: Bounds on a worker's memory: remembered words, words encoded in one call, documents split at a time.
+REMEMBERED = 400_000
+AT_ONCE = 5_000
+DOCS_AT_ONCE = 128
 
 
 class WordEncoder:
-    """Ids of a text by the tokenizers library. Spaces and newlines separate words for good, so words are remembered."""
+    """Ids of a text by the tokenizers library. Spaces and newlines separate words for good, so words are remembered.
+
+    Ids come as the bytes of little-endian unsigned 32-bit integers.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
 
-    def encode_batch(self, texts: list[str | None]) -> list[array]:
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        # once the memory is full, words that are new live for this call only; frequent ones came early
         known = self.words
-        if len(known) > MEMORY:
-            known.clear()
-        new = list({w for words in split for w in words} - known.keys())
-        for w, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = array("I", found.ids)
-        out = []
-        for words in split:
-            ids = array("I")
-            for w in words:
-                ids.extend(known[w])
-            out.append(ids)
-        return out
+        new = [w for w in set().union(*split) if w not in known]
+        rare = {} if len(known) >= REMEMBERED else known
+        for start in range(0, len(new), AT_ONCE):
+            part = new[start : start + AT_ONCE]
+            for w, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                rare[w] = array("I", found.ids).tobytes()
+        if rare is known:
+            return [b"".join(map(known.__getitem__, words)) for words in split]
+        return [b"".join([x if (x := known.get(w)) is not None else rare[w] for w in words]) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -66,53 +70,47 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys that occur ``least`` times or more, and their counts; all keys are counted."""
-    cells = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-    possible = np.bincount(cells, minlength=CELLS) >= least  # a frequent key makes its cell frequent
-    found, counts = np.unique(keys[possible[cells]], return_counts=True)
-    often = counts >= least
-    return found[often], counts[often]
-
-
 def compress(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST_COUNT):
     """``(symbols, ends, rules, lengths)`` of a shard; ``ends`` are the documents' ends in the symbols.
 
-    Of overlapping places in a run the first, third and so on are replaced. A round takes the pairs with at
-    least half the largest count, so frequent pairs come before those they would break.
+    A round counts all adjacent pairs, first in hashed cells, then exactly where a cell is full enough, and replaces
+    those with at least a sixteenth of the fullest cell, so frequent pairs go before those they would break. Of
+    overlapping places in a run the first, third and so on are replaced.
     """
     seq = symbols.astype(np.uint32)
     final = np.zeros(len(seq), bool)
     final[ends[ends > 0] - 1] = True
-    rules, lengths = [], []
+    rules, lengths, n_rules = [], [], 0
     size_of = np.ones(terminals, np.int64)
-    most = None
+    limit = None
     while len(seq) > 1:
-        inner = np.flatnonzero(~final[:-1])
-        keys = (seq[inner].astype(np.uint64) << np.uint64(32)) | seq[inner + 1]
-        found, counts = _frequent(keys, least if most is None else max(least, most // 2))
-        if not len(found):
-            if most is None or most <= least:
+        cells = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CELL_BITS)
+        counts = np.bincount(cells, minlength=1 << CELL_BITS)
+        wanted = max(least, int(counts.max()) // 16)
+        limit = wanted if limit is None else min(limit, wanted)
+        places = np.flatnonzero((counts >= limit)[cells] & ~final[:-1])  # a frequent pair makes its cell frequent
+        keys = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
+        found, number, often = np.unique(keys, return_inverse=True, return_counts=True)
+        chosen = often >= limit
+        if not chosen.any():
+            if limit == least:
                 break
-            most = most // 2 if most // 2 > least else least
+            limit = max(least, limit // 4)
             continue
-        most = int(counts.max())
-        chosen = found[counts >= max(least, most // 8)]
-        at = np.searchsorted(chosen, keys)
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == keys
-        places, rule = inner[hit], at[hit]
+        hit = chosen[number]
+        places, rule = places[hit], (np.cumsum(chosen) - 1)[number[hit]]
+        found = found[chosen]
+        index = np.arange(len(places))
         opens = np.ones(len(places), bool)
         opens[1:] = np.diff(places) != 1
-        first = np.maximum.accumulate(np.where(opens, np.arange(len(places)), 0))
-        odd = (np.arange(len(places)) - first) % 2 == 0
+        odd = (index - np.maximum.accumulate(np.where(opens, index, 0))) % 2 == 0
         places, rule = places[odd], rule[odd]
-        left, right = (chosen >> np.uint64(32)).astype(np.uint32), (chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        base = terminals + sum(map(len, lengths))
+        left, right = (found >> np.uint64(32)).astype(np.uint32), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         rules.append(np.stack([left, right], axis=1))
         lengths.append(size_of[left] + size_of[right])
         size_of = np.concatenate([size_of, lengths[-1]])
-        seq[places] = (base + rule).astype(np.uint32)
+        seq[places] = (terminals + n_rules + rule).astype(np.uint32)
+        n_rules += len(found)
         final[places] |= final[places + 1]
         stays = np.ones(len(seq), bool)
         stays[places + 1] = False
@@ -124,10 +122,10 @@ def compress(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int =
     return seq, new_ends, rules.astype(np.uint32), lengths.astype(np.uint32)
 
 
-def to_bytes(doc_ids: list[int | None], documents: list[array], terminals: int) -> bytes:
-    """A shard file; every document must have at least one id."""
-    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
-    flat = np.frombuffer(b"".join(x.tobytes() for x in documents), np.uint32)
+def to_bytes(doc_ids: list[int | None], documents: list[bytes], terminals: int) -> bytes:
+    """A shard file of documents given as bytes of 32-bit ids; every document must have at least one id."""
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents)) // 4
+    flat = np.frombuffer(b"".join(documents), "<u4")
     terminals = max(terminals, int(flat.max()) + 1)
     seq, ends, rules, lengths = compress(flat, np.cumsum(sizes), terminals)
     width = 3 if terminals + len(rules) < 1 << 24 else 4
@@ -208,6 +206,7 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) ->
     def run(batches):
         encoder = word_encoder(vocabulary)
         ids, documents, n_ids, part, place = [], [], 0, 0, 0
+        end = array("I", [end_id]).tobytes()
 
         def shard() -> pa.RecordBatch:
             data = to_bytes(ids, documents, encoder.size)
@@ -219,15 +218,16 @@ def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1) ->
         for batch in batches:
             if batch.num_rows:
                 place = batch.column("place")[0].as_py()
-            keys = batch.column("doc_id").to_pylist()
-            for key, found in zip(keys, encoder.encode_batch(batch.column("text").to_pylist()), strict=True):
-                found.append(end_id)
-                ids.append(key)
-                documents.append(found)
-                n_ids += len(found)
-                if n_ids >= SHARD_IDS:
-                    yield shard()
-                    ids, documents, n_ids, part = [], [], 0, part + 1
+            for start in range(0, batch.num_rows, DOCS_AT_ONCE):
+                some = batch.slice(start, DOCS_AT_ONCE)
+                keys = some.column("doc_id").to_pylist()
+                for key, found in zip(keys, encoder.encode_batch(some.column("text").to_pylist()), strict=True):
+                    ids.append(key)
+                    documents.append(found + end)
+                    n_ids += len(found) // 4 + 1
+                    if n_ids >= SHARD_IDS:
+                        yield shard()
+                        ids, documents, n_ids, part = [], [], 0, part + 1
         if ids:
             yield shard()
 
@@ -244,8 +244,9 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = ShardReader(read_file(folder, name))
-                checks = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(shard.n_docs)]
-                starts = start + np.cumsum(shard.sizes) - shard.sizes
+                flat, ends = memoryview(shard.expand(shard.symbols).astype("<u4")), np.cumsum(shard.sizes)
+                checks = [zlib.crc32(flat[a:b]) for a, b in zip(ends - shard.sizes, ends, strict=True)]
+                starts = start + ends - shard.sizes
                 columns = shard.doc_ids, starts, shard.sizes, checks
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
