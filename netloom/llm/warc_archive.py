@@ -30,6 +30,7 @@ SAMPLE_BYTES = 4096
 DICTIONARY_BYTES = 65_536
 #: A file is closed once it has this many bytes of payload before compression.
 FILE_BYTES = 32_000_000
+BROADCAST_ROWS = 500_000
 DICTIONARY_FRAME = 0x184D2A5D
 _PAGES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the fixed name space for addresses
 
@@ -170,9 +171,9 @@ def _with_originals(rows: DataFrame) -> DataFrame:
 
 
 def _dictionary(rows: DataFrame) -> bytes:
-    sample = rows.select("page_id", "_row", F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("x"))
-    chosen = sample.orderBy(F.xxhash64("page_id"), "_row").limit(SAMPLE_PAGES).select("x")
-    return train([bytes(r["x"]) for r in chosen.collect()])  # SAMPLE_PAGES pieces at most
+    chosen = rows.select("page_id", "_row").orderBy(F.xxhash64("page_id"), "_row").limit(SAMPLE_PAGES).select("_row")
+    sample = rows.select("_row", F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("x")).join(F.broadcast(chosen), "_row")
+    return train([bytes(r["x"]) for r in sorted(sample.collect())])  # SAMPLE_PAGES pieces at most
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
@@ -184,7 +185,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = _numbered(pages)
     dictionary = _dictionary(rows)
     revisits = _with_originals(rows)
-    # written rows are read per file split; only the few columns of revisits are joined to them
+    # a checked number of revisits, three numbers each, goes to the pages; more of them meet in a shuffle
+    revisits = cut(revisits)
+    if revisits.count() <= BROADCAST_ROWS:
+        revisits = F.broadcast(revisits)
     full = rows.select("_row", "page_id", "url", "html", "payload_digest").join(revisits, "_row", "left")
 
     def run(batches):
