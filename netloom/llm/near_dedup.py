@@ -5,8 +5,9 @@ child named by its smallest token under that tree's and level's own hash order,
 to stay together. A node of few sets is compared exhaustively, larger ones branch on. Independent
 trees are repeated until the chance that a similar pair never meets is negligible: a pair at the
 threshold s shares the first child of a tree with chance s, so ``TREES`` trees miss it with
-chance (1 - s) ** TREES, about 7e-12, and s ** LEVELS takes the place of s for pairs that only
-meet in the deepest nodes.
+chance (1 - s) ** TREES, about 7e-12. Where that child is large, the pair must share the children of
+further levels too, with chance s ** (level + 1); members of large nodes therefore get as many more
+trees at every level as keep the chance of a miss at ``MISS`` (``trees_at``: 16, 21, 29 and 40 at s = 0.8).
 
 Groups of near copies never get small by branching. Before pairs are formed, members of a node are held
 against one leader of the node and joined with it where they are similar; afterwards only pairs that
@@ -17,6 +18,7 @@ left are confirmed on their full sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from netloom.llm.common import cut, spread_join
 
 SHINGLE = 5
 SIMILARITY = 80
+#: Trees of every set; members of large nodes get more of them.
 TREES = 16
 LEVELS = 4
+#: The chance with which a pair at the threshold may fail to meet in the nodes of one level.
+MISS = 1e-9
 #: Nodes of up to this many sets are compared exhaustively.
 LEAF = 32
 SKETCH = 128
@@ -68,19 +73,46 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(_mix(total))
 
 
-def _minima(tokens: np.ndarray) -> np.ndarray:
-    """The smallest of the tokens under each of ``SKETCH`` hash orders."""
-    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+def trees_at(level: int, similarity: int) -> int:
+    """Trees whose nodes of ``level`` all miss a pair at the threshold with a chance of ``MISS`` at most."""
+    apart = 1 - (similarity / 100) ** (level + 1)
+    return max(TREES, math.ceil(math.log(MISS) / math.log(apart))) if apart else TREES
+
+
+def _minima(tokens: np.ndarray, orders: np.ndarray = _ODD) -> np.ndarray:
+    """The smallest of the tokens under each of the hash orders."""
+    out = np.full(orders.shape[1], np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(tokens), BLOCK):
         part = tokens[start : start + BLOCK]
-        for k in range(SKETCH):
-            x = part * _ODD[0, k]
+        for k in range(len(out)):
+            x = part * orders[0, k]
             x ^= x >> np.uint64(32)
-            x *= _ODD[1, k]
+            x *= orders[1, k]
             out[k] = min(out[k], x.min())
     return out
 
 
+def _more_keys(size: int, trees: int):
+    orders = np.random.default_rng(20_180_423).integers(0, 2**63, ((trees - TREES) * LEVELS, 2), dtype=np.uint64).T * np.uint64(2) + np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            keys = [
+                held + (_minima(shingle_set(text, size), orders) >> np.uint64(1)).astype(np.int64).tolist()
+                for text, held in zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+
+    return run
+
+
+def more_keys(crowd: DataFrame, sets: DataFrame, size: int, trees: int) -> DataFrame:
+    """``(rep, keys)``: the tokens that the reps of ``crowd`` select in ``trees`` trees, those of the profile first."""
+    wanted = F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd
+    texts = sets.select(F.col("_row").alias("rep"), "text", "keys").join(wanted, "rep", "left_semi")
+    return cut(texts.mapInArrow(_more_keys(size, trees), "rep long, keys array<long>"))
+
+
 def _profile(size: int):
     def run(batches):
         for batch in batches:
@@ -201,9 +233,16 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
     comps = cut(reps.select("rep", F.col("rep").alias("comp")))
 
     def branch(members: DataFrame, level: int) -> DataFrame:
-        """Children of the nodes in ``members`` (tree, node, rep) by the tokens selected at ``level``."""
+        """Children of the nodes in ``members`` (tree, node, rep, keys) by the tokens selected at ``level``."""
         token = F.get("keys", F.col("tree") * LEVELS + level)
-        return members.select("tree", F.xxhash64("node", "tree", token).alias("node"), "rep")
+        return members.select("tree", F.xxhash64("node", "tree", token).alias("node"), "rep", "keys")
+
+    def planted(rows: DataFrame, start: int, end: int, level: int) -> DataFrame:
+        """The nodes of ``level`` in which ``rows`` (rep, keys) stand in the trees from ``start`` up to ``end``."""
+        out = rows.withColumn("tree", F.explode(F.sequence(F.lit(start), F.lit(end - 1)))).withColumn("node", F.lit(0).cast("long"))
+        for above in range(level + 1):
+            out = branch(out, above)
+        return out
 
     tested: list[DataFrame] = []
 
@@ -214,11 +253,20 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
             ends = ends.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         return ends
 
-    trees = reps.select("rep", "keys", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    members = branch(trees.withColumn("node", F.lit(0).cast("long")), 0)
+    keyed, n_keyed, n_trees = reps.select("rep", "keys"), TREES, TREES
+    crowd = reps.select("rep")
+    members = planted(keyed, 0, TREES, 0)
     for level in range(LEVELS):
+        needed = trees_at(level, similarity)
+        if needed > n_trees:
+            # whatever pair is still open lies in the crowd; its deeper nodes are shared more rarely
+            if needed > n_keyed:
+                n_keyed = trees_at(LEVELS - 1, similarity)
+                keyed = more_keys(crowd, sets, size, n_keyed)
+            members = members.unionByName(planted(keyed.join(crowd, "rep", "left_semi"), n_trees, needed, level))
+            n_trees = needed
         # sets that share a child with no other are done
-        members = cut(members)
+        members = cut(members.drop("keys"))
         counted = cut(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
         held = cut(spread_join(members, counted, "node", "n"))
         # the leader of a node is the member that stands in the fullest nodes: the text that the others vary
@@ -256,7 +304,8 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
         large = placed.where(F.col("n") > LEAF)
         if last or not large.head(1):
             break
-        members = branch(large.select("tree", "node", "rep").join(reps.select("rep", "keys"), "rep"), level + 1)
+        crowd = cut(large.select("rep").distinct())
+        members = branch(large.select("tree", "node", "rep").join(keyed, "rep"), level + 1)
     return comps
 
 

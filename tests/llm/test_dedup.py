@@ -115,3 +115,20 @@ def test_near_dedup_matches_brute_force_on_the_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert {r["doc_id"]: r["component_id"] for r in nd.near_dedup(docs, 4).collect()} == components(texts, 4, 80)
+
+
+def test_near_dedup_finds_a_pair_at_the_threshold_behind_a_frequent_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(403))
+    text = lambda n, tail: " ".join([passage, *(f"t{n}w{i}" for i in range(tail))])
+    # 400 shingles of 500 in common; no tree of the first sixteen keeps these two together for four levels
+    texts = {n: text(n, 50) for n in (70, 226)}
+    texts |= {n: text(n, 51) for n in range(1000, 1120)}  # 400 of 501 and 502: linked with nothing
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup(docs, 4).collect()}
+    assert got == {n: 70 if n == 226 else n for n in texts}
+
+
+@pytest.mark.parametrize("level", range(nd.LEVELS))
+def test_near_dedup_plants_enough_trees_at_every_level(level):
+    assert (1 - 0.8 ** (level + 1)) ** nd.trees_at(level, 80) <= 1e-9
+    assert nd.trees_at(level, 100) == nd.TREES
