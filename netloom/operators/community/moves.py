@@ -46,15 +46,23 @@ def objective(level: Level, name: str, resolution: float) -> Objective:
     raise ValueError("objective is modularity or CPM")
 
 
-def _look(level: Level, goal: Objective, member: DataFrame, salt: int, heat: float = 0.0) -> DataFrame:
+def _look(
+    level: Level, goal: Objective, member: DataFrame, salt: int, heat: float = 0.0, spins: int | None = None
+) -> DataFrame:
     """Per vertex: its community, its weight inside, and the best community to be in.
 
     The receiver's mass travels on the arc and the community's total with the sender, so a
-    vertex's options meet in two groupings that combine map-side, without further joins.
+    vertex's options meet in two groupings that combine map-side, without further joins. With ``spins``
+    the communities 0 … spins−1 are offered to every vertex, whether a neighbour or anybody is in them or not.
     """
     mine = level.nodes.select("vid", F.col(goal.mass).cast("double").alias("m")).join(member, "vid")
-    # written out, so that the join can split a community that holds most vertices
-    totals = cut(mine.groupBy("community").agg(F.sum("m").alias("tot")))
+    totals = mine.groupBy("community").agg(F.sum("m").alias("tot"))
+    if spins:
+        every = mine.sparkSession.range(spins).select(F.col("id").alias("community"))
+        totals = F.broadcast(every.join(totals, "community", "left").na.fill(0.0, ["tot"]))
+    else:
+        # written out, so that the join can split a community that holds most vertices
+        totals = cut(totals)
     state = mine.join(totals, "community")
     heard = level.links.send(state.select("vid", "community", "tot")).select(
         F.col("dst").alias("vid"),
@@ -65,7 +73,11 @@ def _look(level: Level, goal: Objective, member: DataFrame, salt: int, heat: flo
         F.lit(0).alias("here"),
     )
     stay = state.select("vid", "community", F.lit(0.0).alias("w"), "m", "tot", F.lit(1).alias("here"))
-    options = heard.unionByName(stay).groupBy("vid", "community").agg(
+    offers = heard.unionByName(stay)
+    if spins:
+        anywhere = mine.select("vid", "m").crossJoin(totals)
+        offers = offers.unionByName(anywhere.select("vid", "community", F.lit(0.0).alias("w"), "m", "tot", F.lit(0).alias("here")))
+    options = offers.groupBy("vid", "community").agg(
         F.sum("w").alias("w"), F.max("m").alias("m"), F.max("tot").alias("tot"), F.max("here").alias("here")
     )
     rest = F.col("tot") - F.col("here") * F.col("m")
@@ -100,7 +112,7 @@ def _moved(looked: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _settle(
-    level: Level, goal: Objective, member: DataFrame, seed: int, heats: list[float] | None = None
+    level: Level, goal: Objective, member: DataFrame, seed: int, heats: list[float] | None = None, spins: int | None = None
 ) -> tuple[DataFrame, float, bool]:
     """Move vertices until nothing improves; returns membership, quality and whether anything moved.
 
@@ -112,7 +124,7 @@ def _settle(
     for turn in range(len(heats) + MAX_ROUNDS):
         heat = heats[turn] if turn < len(heats) else 0.0
         salt = seed * 1009 + turn
-        looked = cut(_look(level, goal, member, salt, heat))
+        looked = cut(_look(level, goal, member, salt, heat, spins))
         wants = (F.col("best.rated") > F.col("home.rated") + EPSILON) & (
             F.col("best.community") != F.col("home.community")
         )
@@ -248,7 +260,7 @@ def spin_glass(
 ) -> DataFrame:
     """Potts-model annealing (Reichardt and Bornholdt 2006) with all components at once.
 
-    Spins start at random; a vertex takes a neighbour's spin with the heat-bath probability of
+    Spins start at random; a vertex takes any of the spins with the heat-bath probability of
     the energy it saves, half the vertices per step, as the temperature falls. Each
     connected piece of a final spin is a community, so disconnected graphs work.
     """
@@ -262,7 +274,7 @@ def spin_glass(
         "vid", F.pmod(F.xxhash64("vid", F.lit(seed)), F.lit(spins)).alias("community")
     )
     with shuffle_width(graph.edges.sparkSession, level.links.n_arcs):
-        found, _, _ = _settle(level, goal, spun, seed, heats)
+        found, _, _ = _settle(level, goal, spun, seed, heats, spins)
         found = cut(found)
     level.links.release()
     return relabel(split_disconnected(graph, found))

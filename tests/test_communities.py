@@ -6,6 +6,7 @@ import pytest
 
 from netloom.operators.community import ALGORITHMS, detect, quality
 from netloom.operators.graph import build_graph
+from netloom.plans import ENTRIES, communities
 
 # four complete groups of five in a ring, and a separate triangle
 RING = [(5 * c + i, 5 * c + j) for c in range(4) for i, j in itertools.combinations(range(5), 2)]
@@ -30,3 +31,24 @@ def test_planted_groups(spark, ring, name):
     if name != "LeadingEigenvector":  # equal eigenvalues leave its cut open
         assert groups == [list(range(5 * c, 5 * c + 5)) for c in range(4)] + [[20, 21, 22]]
     assert quality.modularity(ring, member).first()[0] > 0.3
+
+
+def test_spin_glass_offers_spins_that_no_neighbour_has(spark):
+    # at this rate every vertex is best off alone, and there are five spins to spare
+    pairs = list(itertools.combinations(range(20), 2))
+    graph = build_graph(spark.createDataFrame(pairs, "source long, target long"))
+    member = detect(graph, "SpinGlass", gamma=50.0, start=0.001)
+    assert member.select("community").distinct().count() == 20
+
+
+@pytest.mark.parametrize("name", ["community_spin_glass", "community_planted_spin_glass"])
+def test_spin_glass_queries_run_the_whole_schedule(spark, monkeypatch, name):
+    asked = []
+
+    def noted(graph, algorithm, **options):
+        asked.append((algorithm, options))
+        return graph.vertices.selectExpr("vid", "0 as community")
+
+    monkeypatch.setattr(communities, "detect", noted)
+    ENTRIES[name].run(spark, "/root/testdata/sf0.001")
+    assert asked == [("SpinGlass", {})]
