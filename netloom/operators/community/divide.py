@@ -13,8 +13,8 @@ from netloom.operators.community.levels import base_level, coin, own
 from netloom.operators.community.quality import modularity
 from netloom.operators.components import connected_components, relabel
 from netloom.operators.graph import Graph, simplify
-from netloom.operators.links import prepare
-from netloom.runtime import cut, dense_index, shuffle_width
+from netloom.operators.links import both_ways, prepare
+from netloom.runtime import cut, dense_index, running_total, scratch_path, shuffle_width
 
 EPSILON = 1e-9
 STEPS = 6
@@ -166,6 +166,8 @@ def edge_removal(
     ``batch`` edges go per round (1 is the original), down to the last edge; only components that lost an
     edge are measured again.
     """
+    if batch == 1:
+        return _one_by_one(graph, pivots)
     pairs = cut(simplify(graph))
     member = cut(connected_components(graph).withColumnRenamed("component", "community"))
     best, best_quality = member, modularity(graph, member).first()[0]
@@ -193,6 +195,81 @@ def edge_removal(
     return relabel(best)
 
 
+def _one_by_one(graph: Graph, pivots: int | None) -> DataFrame:
+    """One edge after the other, with every component's next removal made in the same round.
+
+    Components do not touch each other, so each loses its edges in the same order whatever the others do. When
+    the removal of all edges by turns would get to one follows from its ``path``: the
+    removals before it in its component that were held back longest (the later ones of lower betweenness), up to itself. Removals
+    happen in the order of their paths. Modularity only changes where a component splits, and is
+    summed up over the splits in that order; the best moment decides which components are returned.
+    """
+    spark = graph.edges.sparkSession
+    pairs = cut(simplify(graph))
+    m = pairs.count()
+    step = F.struct((-F.col("betweenness")).alias("held"), "src", "dst")
+    none = F.array().cast("array<struct<held:double,src:bigint,dst:bigint>>")
+    member = cut(connected_components(graph).select("vid", F.col("component").alias("community"), none.alias("path")))
+    if not m:
+        return relabel(member.select("vid", "community"))
+    # every vertex's communities and the removals that made them
+    history = scratch_path(spark, "history")
+    member.write.parquet(history)
+    degree = cut(both_ways(pairs).groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("d")))
+
+    def shares(members: DataFrame, by: str) -> DataFrame:
+        """``(community, by, q)``: what communities add to modularity; edges between two of them count for none."""
+        ends = all_pairs.join(members.select(F.col("vid").alias("src"), F.col("community").alias("_a")), "src").join(
+            members.select(F.col("vid").alias("dst"), F.col("community").alias("_b")), "dst"
+        )
+        inner = ends.where("_a = _b").groupBy(F.col("_a").alias("community")).agg(F.count(F.lit(1)).alias("inner"))
+        mass = members.join(degree, "vid").groupBy("community", by).agg(F.sum("d").alias("d"))
+        return mass.join(inner, "community", "left").select(
+            "community", by, (F.coalesce("inner", F.lit(0)) / F.lit(float(m)) - (F.col("d") / F.lit(2.0 * m)) ** 2).alias("q")
+        )
+
+    all_pairs, splits, any_split = pairs, scratch_path(spark, "splits"), False
+    people = graph.vertices
+    while not pairs.isEmpty():
+        scores = cut(_scores(graph, pairs, pivots, people))
+        placed = scores.join(member.select(F.col("vid").alias("src"), "community"), "src")
+        top = cut(placed.groupBy("community").agg(F.min(step).alias("top")))
+        gone = top.select("top.src", "top.dst")
+        pairs = cut(pairs.join(gone, ["src", "dst"], "left_anti"))
+        # components without edges are done
+        hit = cut(
+            member.join(top, "community").select(
+                "vid", "community", F.expr("concat(filter(path, x -> x > top), array(top))").alias("path")
+            )
+        )
+        piece = Graph(hit.select("vid"), pairs, False)
+        found = connected_components(piece)
+        member = cut(hit.withColumnRenamed("community", "was").join(found, "vid").withColumnRenamed("component", "community"))
+        parts = member.groupBy("was").agg(F.count_distinct("community").alias("n")).where("n > 1").select("was")
+        changed = cut(member.join(parts, "was"))
+        if not changed.isEmpty():
+            changed.select("vid", "community", "path").write.mode("append").parquet(history)
+            before = shares(changed.select("vid", F.col("was").alias("community"), "path"), "path").select("path", (-F.col("q")).alias("q"))
+            after = shares(changed, "path").select("path", "q")
+            before.unionByName(after).groupBy("path").agg(F.sum("q").alias("gain")).write.mode("append").parquet(splits)
+            any_split = True
+        member = people = member.select("vid", "community", "path")
+    told = spark.read.schema(member.schema).parquet(history)
+    best = None
+    if any_split:
+        gains = spark.read.parquet(splits)
+        summed = running_total(gains, "path", "gain").select("path", F.round("upto", 9).alias("upto"))
+        # of equal moments the first
+        top = summed.groupBy("upto").agg(F.min("path").alias("path")).orderBy(F.desc("upto")).first()
+        best = top["path"] if top["upto"] > EPSILON else None
+    if best is None:
+        told = told.where(F.size("path") == 0)
+    else:
+        moment = spark.createDataFrame([(best,)], "moment array<struct<held:double,src:bigint,dst:bigint>>")
+        told = told.crossJoin(F.broadcast(moment)).where("path <= moment")
+    return relabel(told.groupBy("vid").agg(F.max_by("community", "path").alias("community")))
+
+
 def _scores(graph: Graph, pairs: DataFrame, pivots: int | None, vertices: DataFrame | None = None) -> DataFrame:
     people = (vertices if vertices is not None else graph.vertices).select("vid")
     return edge_betweenness(Graph(people, pairs, False), pivots).select(

@@ -25,7 +25,7 @@ _register("walktrap", "WalkTrap", fx.balance)
 _register("walktrap_sketch", "WalkTrap", fx.balance, sketch=32)
 _register("infomap", "InfoMap", fx.balance)
 _register("leading_eigenvector", "LeadingEigenvector", fx.contact)
-_register("edge_betweenness", "EdgeBetweenness", fx.balance, batch=30)
+_register("edge_betweenness", "EdgeBetweenness", fx.balance)
 _register("spin_glass", "SpinGlass", fx.contact)
 
 
@@ -80,7 +80,7 @@ for _name, _algorithm, _options in (
     ("fast_greedy", "FastGreedy", {}),
     ("walktrap", "WalkTrap", {}),
     ("infomap", "InfoMap", {}),
-    ("edge_betweenness", "EdgeBetweenness", {"batch": 5}),
+    ("edge_betweenness", "EdgeBetweenness", {}),
     ("spin_glass", "SpinGlass", {}),
 ):
     _register_planted(f"planted_{_name}", _algorithm, _regions, _NATIONS, **_options)

@@ -52,3 +52,69 @@ def test_spin_glass_queries_run_the_whole_schedule(spark, monkeypatch, name):
     monkeypatch.setattr(communities, "detect", noted)
     ENTRIES[name].run(spark, "/root/testdata/sf0.001")
     assert asked == [("SpinGlass", {})]
+
+
+def _apart(edges, vertices):
+    """Components, as sorted lists."""
+    of = {v: v for v in vertices}
+    for _ in vertices:
+        for a, b in edges:
+            of[a] = of[b] = min(of[a], of[b])
+    return sorted(sorted(v for v in of if of[v] == c) for c in set(of.values()))
+
+
+def _shares(edges, vertices):
+    """Shortest paths through every edge, over all pairs of vertices."""
+    near = {v: [b if a == v else a for a, b in edges if v in (a, b)] for v in vertices}
+    share = dict.fromkeys(edges, 0.0)
+    for s, t in itertools.combinations(vertices, 2):
+        paths = [[s]]
+        while paths and not any(p[-1] == t for p in paths):
+            paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p] if len(paths[0]) <= len(vertices) else []
+        paths = [p for p in paths if p[-1] == t]
+        for p in paths:
+            for a, b in itertools.pairwise(p):
+                share[min(a, b), max(a, b)] += 1 / len(paths)
+    return share
+
+
+def _girvan_newman(edges, vertices):
+    """The best components while single edges go, the most used first."""
+    def quality(parts):
+        degree = {v: sum(v in e for e in edges) for v in vertices}
+        inner = lambda p: sum(a in p and b in p for a, b in edges)
+        return sum(inner(p) / len(edges) - (sum(degree[v] for v in p) / 2 / len(edges)) ** 2 for p in parts)
+
+    left, best = list(edges), _apart(edges, vertices)
+    while left:
+        share = _shares(left, vertices)
+        left.remove(min(left, key=lambda e: (-round(share[e], 9), e)))
+        parts = _apart(left, vertices)
+        if quality(parts) > quality(best) + 1e-9:
+            best = parts
+    return best
+
+
+# two triangles with a bridge; a path with a triangle at its end; a separate edge
+SMALL = [(0, 1), (0, 2), (1, 2), (2, 3), (3, 4), (3, 5), (4, 5), (6, 7), (7, 8), (8, 9), (9, 10), (8, 10), (11, 12)]
+
+
+def test_edge_betweenness_removes_one_edge_at_a_time(spark):
+    graph = build_graph(spark.createDataFrame(SMALL, "source long, target long"))
+    member = {r["vid"]: r["community"] for r in detect(graph, "EdgeBetweenness").collect()}
+    name = {r["vid"]: r["name"] for r in graph.vertices.collect()}
+    groups = sorted(sorted(int(name[v]) for v in member if member[v] == c) for c in set(member.values()))
+    assert groups == _girvan_newman(SMALL, range(13))
+
+
+@pytest.mark.parametrize("name", ["community_edge_betweenness", "community_planted_edge_betweenness"])
+def test_edge_betweenness_queries_remove_one_edge_at_a_time(spark, monkeypatch, name):
+    asked = []
+
+    def noted(graph, algorithm, **options):
+        asked.append((algorithm, options.get("batch", 1)))
+        return graph.vertices.selectExpr("vid", "0 as community")
+
+    monkeypatch.setattr(communities, "detect", noted)
+    ENTRIES[name].run(spark, "/root/testdata/sf0.001")
+    assert asked == [("EdgeBetweenness", 1)]
