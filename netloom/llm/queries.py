@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from netloom.llm import quality_rules as qr
-from netloom.llm import secret_scan, target_resample, weak_quality
+from netloom.llm import collocations, secret_scan, target_resample, weak_quality
 from netloom.llm.common import table
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
@@ -100,3 +100,8 @@ def _(spark, folder):
 def _(spark, folder):
     drawn = target_resample.importance_resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), carry=["doc_id"])
     return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_collocations", collocations.SQL)
+def _(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
