@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from netloom.llm import quality_rules as qr
-from netloom.llm import collocations, secret_scan, target_resample, weak_quality
+from netloom.llm import collocations, page_templates, secret_scan, target_resample, weak_quality
 from netloom.llm.common import table
 from netloom.llm.exact_dedup import exact_dedup
 from netloom.llm.near_dedup import near_dedup
@@ -105,3 +105,8 @@ def _(spark, folder):
 @query("op13_collocations", collocations.SQL)
 def _(spark, folder):
     return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query("op12_page_templates", page_templates.SQL)
+def _(spark, folder):
+    return page_templates.main_text(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
