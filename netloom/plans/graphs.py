@@ -237,7 +237,7 @@ def _(spark, folder):
     return traverse.distances_from(fx.follow(spark, folder), 0)
 
 
-WINDOW_CLIQUE = "SELECT max(n) FROM (SELECT count(*) AS n FROM supplier a JOIN supplier b ON b.s_acctbal >= a.s_acctbal AND abs(a.s_acctbal - b.s_acctbal) < 200 GROUP BY a.s_suppkey)"
+WINDOW_CLIQUE = "SELECT max(n) FROM (SELECT count(*) AS n FROM supplier a JOIN supplier b ON b.s_acctbal >= a.s_acctbal AND abs(a.s_acctbal - b.s_acctbal) < (SELECT 20000::DOUBLE / count(*) FROM supplier) GROUP BY a.s_suppkey)"
 
 
 @query("measure_clique_number", f"SELECT ({WINDOW_CLIQUE})::BIGINT AS clique_number")
@@ -527,7 +527,7 @@ def _(spark, folder):
     "export_chart_overlay",
     f"""WITH {OVERLAY_SQL} SELECT CASE WHEN layer < 0 THEN 'dashed' ELSE 'solid' END AS kind, arrow, count(*) AS n FROM (
         SELECT 0 AS layer, true AS arrow FROM lineitem UNION ALL
-        SELECT 1, false FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < 200 UNION ALL
+        SELECT 1, false FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey AND abs(a.s_acctbal - b.s_acctbal) < (SELECT 20000::DOUBLE / count(*) FROM supplier) UNION ALL
         SELECT 2, false FROM edge UNION ALL SELECT -1, false FROM supplier UNION ALL
         SELECT -1, false FROM orders JOIN node ON name = o_custkey) GROUP BY 1, 2""",
 )
