@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.operators import clean as cl
 from netloom.operators.nearest import nearest_neighbours
 from netloom.operators.pairs import similarity_edges, similarity_where
+from netloom.operators.sets import set_edges
 from netloom.plans.registry import query, table
 
 Z = """(SELECT {k} AS id, ({a} - (SELECT avg({a}) FROM {t})) / (SELECT stddev_pop({a}) FROM {t}) AS x,
@@ -239,3 +240,50 @@ _register_where("quoted", "5 > dist and dist > 1 and ‘a’ = 'a'", "dist < 5 A
 def _(spark, folder):
     """A bound of zero, taken inclusively, finds equal rows."""
     return similarity_edges(table(spark, folder, "part"), "p_partkey", ["p_size", "p_retailprice"], "euclidean", 0.0, inclusive=True)
+
+
+# ---- sets ---------------------------------------------------------------------------
+
+ORDER_SETS = "s AS (SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS items FROM lineitem GROUP BY 1)"
+
+
+def _order_sets(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return lines.groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("items"))
+
+
+def _register_sets(name: str, measure: str, bound: float, similarity: str) -> None:
+    sql = f"""WITH {ORDER_SETS}, e AS (SELECT id, items, len(items) AS n, unnest(items) AS item FROM s),
+      met AS (SELECT a.id AS source, b.id AS target, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.item = b.item AND a.id < b.id GROUP BY ALL)
+      SELECT source, target, round(1 - {similarity}, 6) AS dist FROM met WHERE 1 - {similarity} < {bound}"""
+
+    @query(f"sets_{name}", sql)
+    def _(spark, folder):
+        found = set_edges(_order_sets(spark, folder), "l_orderkey", "items", bound, measure)
+        return found.rows().withColumn("dist", F.round("dist", 6))
+
+
+_register_sets("jaccard", "jaccard", 0.55, "c / (na + nb - c)::DOUBLE")
+_register_sets("dice", "dice", 0.35, "2 * c / (na + nb)::DOUBLE")
+_register_sets("cosine", "cosine", 0.35, "c / sqrt((na * nb)::DOUBLE)")
+
+
+@query(
+    "sets_classes",
+    f"""WITH {ORDER_SETS} SELECT id, min(id) OVER (PARTITION BY items) AS class, len(items) AS size FROM s""",
+)
+def _(spark, folder):
+    """Which orders hold the same parts: the membership behind the edges between classes."""
+    return set_edges(_order_sets(spark, folder), "l_orderkey", "items", 0.5).members
+
+
+@query(
+    "sets_class_edges",
+    f"""WITH {ORDER_SETS}, k AS (SELECT min(id) AS id, items, len(items) AS n FROM s GROUP BY items), e AS (SELECT id, n, unnest(items) AS item FROM k),
+      met AS (SELECT a.id AS source, b.id AS target, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.item = b.item AND a.id < b.id GROUP BY ALL)
+      SELECT source, target, round(1 - c / (na + nb - c)::DOUBLE, 6) AS dist FROM met WHERE 2 * c >= na + nb - c""",
+)
+def _(spark, folder):
+    """Links between classes of equal part sets, the bound itself included."""
+    found = set_edges(_order_sets(spark, folder), "l_orderkey", "items", 0.5, inclusive=True)
+    return found.edges.withColumn("dist", F.round("dist", 6))
