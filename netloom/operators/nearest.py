@@ -1,83 +1,238 @@
-"""Nearest-neighbour graphs without a distance bound."""
+"""Nearest-neighbour graphs without a distance bound, exact, in any number of dimensions.
+
+Rows are dealt to the nearest of a bounded number of pivots (Lu et al. 2012). From every cell's radius and its few rows next to the pivot
+follows a distance within which each row of the cell has its neighbours; by the triangle inequality a row is sent only to the cells
+where it can be one. Cells meet block against block, and the best of every block are merged.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import replace
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.operators import pairs as pw
 from netloom.runtime import cut
 
 CELL_ROWS = 2_000
+#: Pivots: the square root of the points, and no more than this; they and their distances travel to every task.
+PIVOTS = 1_024
+_STRAIGHT = ("euclidean", "sqeuclidean", "seuclidean", "mahalanobis", "cosine", "correlation")
 
 
-def nearest_neighbours(
-    df: DataFrame,
-    id_col: str,
-    cols: Sequence[str],
-    k: int,
-    metric: str = "euclidean",
-    cell_rows: int = CELL_ROWS,
-    p: float = 2.0,
-) -> DataFrame:
-    """``(source, target, dist, rank)``: the ``k`` nearest other rows of each row, ties by id. Exact.
+def _cross(metric: str, a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """Distances of all rows of ``a`` and ``b`` in a form that obeys the triangle inequality, nearly exact."""
+    if metric in _STRAIGHT:
+        squares = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
+        return np.sqrt(np.maximum(squares, 0))
+    out = np.zeros((len(a), len(b)))
+    for x, y in zip(a.T, b.T, strict=True):
+        gap = np.abs(x[:, None] - y[None, :])
+        if metric == "chebyshev":
+            np.maximum(out, gap, out=out)
+        elif metric == "jensenshannon":
+            out += _divergence(x[:, None], y[None, :])
+        else:
+            out += gap**p if metric == "minkowski" else gap
+    if metric == "minkowski":
+        return out ** (1 / p)
+    return np.sqrt(np.maximum(out, 0) / 2) if metric == "jensenshannon" else out
 
-    Rows equal in every column are one point that keeps its ``k + 1`` smallest ids, enough
-    for any answer, so a block of copies costs one point. A radius is tried on the points
-    whose answer is still open: points with ``k`` neighbours inside it are done, the rest
-    go on with twice the radius, until it spans the data. The first radius is the largest
-    at which no grid cell holds more than ``cell_rows`` points.
-    """
-    if metric not in pw.GRID_METRICS or metric in ("braycurtis", "canberra"):
-        raise ValueError("nearest neighbours need a distance with a coordinate bound")
-    prep = pw._prepare(df, id_col, cols, metric, 1.0, p)
-    x = [f"x{i}" for i in range(prep.dims)]
-    by_id = Window.partitionBy(*x).orderBy("id")
-    few = prep.rows.withColumn("_n", F.row_number().over(by_id)).where(F.col("_n") <= k + 1)
-    points = few.groupBy(*x).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    points = cut(points.withColumn("id", F.col("ids")[0]))
-    asked = cut(prep.rows.select("id", *x))
-    prep = replace(prep, rows=points)
-    spans = points.agg(*(F.max(c) - F.min(c) for c in prep.grid)).first()
-    reach = max((s for s in spans if s), default=0.0)
-    width = reach or 1.0
-    while reach and _fullest_cell(replace(prep, width=width)) > cell_rows and width > reach * 1e-9:
-        width /= 2
-    found, left = [], points
-    while True:
-        last = width >= reach
-        near = cut(_within(replace(prep, width=width if not last else math.inf), left, metric, width, last, p))
-        # copies of the point itself count, all but one of them
-        counts = near.groupBy("id").agg((F.sum(F.size("ids")) - 1).alias("n"))
-        done = counts.where(F.col("n") >= k).select("id") if not last else left.select("id")
-        found.append(near.join(done, "id", "left_semi"))
-        if last:
-            break
-        left = cut(left.join(done, "id", "left_anti"))
-        if left.isEmpty():
-            break
-        width *= 2
-    answers = found[0]
-    for more in found[1:]:
-        answers = answers.unionByName(more)
-    # per point only the k + 1 best are needed by any of its copies
+
+def _divergence(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    middle = (x + y) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(x > 0, x * np.log(x / middle), 0.0) + np.where(y > 0, y * np.log(y / middle), 0.0)
+
+
+def _exact(metric: str, a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    """The distance itself, row by row."""
+    if metric in ("cosine", "correlation"):
+        return 1 - (a * b).sum(1)
+    gap = np.abs(a - b)
+    if metric == "cityblock":
+        return gap.sum(1)
+    if metric == "chebyshev":
+        return gap.max(1)
+    if metric == "minkowski":
+        return (gap**p).sum(1) ** (1 / p)
+    if metric == "jensenshannon":
+        return np.sqrt(np.maximum(_divergence(a, b).sum(1), 0) / 2)
+    squares = (gap * gap).sum(1)
+    return squares if metric == "sqeuclidean" else np.sqrt(squares)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _best(metric: str, asking: np.ndarray, others: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, other, dist)`` of the ``k`` nearest others of every row; of equal distances the earlier other comes first."""
+    rough = _cross(metric, asking, others, p)
+    last = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(others) else np.full(len(asking), math.inf)
+    largest = math.sqrt(max((asking * asking).sum(1).max(initial=0), (others * others).sum(1).max(initial=0)))
+    rows, cols = np.nonzero(rough**2 <= (last**2 + 1e-12 * largest**2 * asking.shape[1] + 1e-300)[:, None])
+    dist = np.empty(len(rows))
+    for start in range(0, len(rows), 1 << 18):
+        part = slice(start, start + (1 << 18))
+        dist[part] = _exact(metric, asking[rows[part]], others[cols[part]], p)
+    order = np.lexsort((cols, dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows, "left")
+    keep = place < k
+    return rows[keep], cols[keep], dist[keep]
+
+
+class _Cells:
+    """Pivots, the radius of every cell, and the reach within which all its rows have ``k`` points."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray, nearest: list[list[float]], k: int, metric: str, p: float, largest: float):
+        self.pivots, self.radius, self.metric, self.p = pivots, radius, metric, p
+        self.slack = 1e-6 * largest + 1e-9
+        self.apart = _cross(metric, pivots, pivots, p)
+        near = np.array([row + [math.inf] * (k - len(row)) for row in nearest])
+        self.reach = np.empty(len(pivots))
+        for i in range(len(pivots)):
+            bounds = (radius[i] + self.apart[i][:, None] + near).ravel()
+            self.reach[i] = np.partition(bounds, k - 1)[k - 1] if len(bounds) >= k else math.inf
+
+    def own(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        away = _cross(self.metric, vectors, self.pivots, self.p)
+        return away, away.argmin(1)
+
+    def targets(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, cell, own)`` of every cell where a row may be somebody's neighbour, its own included."""
+        away, home = self.own(vectors)
+        at_home = away[np.arange(len(home)), home][:, None]
+        reach = self.reach[None, :] + self.slack
+        may = away <= self.radius[None, :] + reach
+        if self.metric in _STRAIGHT:  # distance to the plane between two pivots
+            apart = np.maximum(self.apart[home], 1e-300)
+            may &= (away**2 - at_home**2) / (2 * apart) <= reach
+        else:
+            may &= (away - at_home) / 2 <= reach
+        may[np.arange(len(home)), home] = True
+        rows, cells = np.nonzero(may)
+        return rows, cells, cells == home[rows]
+
+
+def _cells(points: DataFrame, k: int, metric: str, p: float) -> _Cells:
+    n = points.count()
+    wanted = min(PIVOTS, max(1, math.ceil(math.sqrt(n))))
+    chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()  # at most PIVOTS rows
+    pivots = np.array([r["vec"] for r in chosen], float).reshape(len(chosen), -1)
+    shared = points.sparkSession.sparkContext.broadcast(_Cells(pivots, np.zeros(len(pivots)), [[]] * len(pivots), 1, metric, p, 0.0))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = shared.value
+        near: dict[int, np.ndarray] = {}
+        far, largest = np.zeros(len(cells.pivots)), 0.0
+        for batch in batches:
+            vectors = _vectors(batch.column(0))
+            if not len(vectors):
+                continue
+            away, home = cells.own(vectors)
+            least = away[np.arange(len(home)), home]
+            largest = max(largest, float(np.abs(vectors).max()) * math.sqrt(vectors.shape[1]))
+            np.maximum.at(far, home, least)
+            for cell in np.unique(home):
+                near[cell] = np.sort(np.concatenate([near.get(cell, np.empty(0)), least[home == cell]]))[:k]
+        found = sorted(near)
+        columns = [pa.array(found, pa.int32()), pa.array([far[c] for c in found], pa.float64()), pa.array([near[c].tolist() for c in found], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([largest] * len(found), pa.float64())], names=["cell", "far", "near", "largest"])
+
+    seen = points.select("vec").mapInArrow(measure, "cell int, far double, near array<double>, largest double")
+    ends = seen.groupBy("cell").agg(F.max("far").alias("far"), F.max("largest").alias("largest"))
+    first = Window.partitionBy("cell").orderBy("d")
+    close = seen.select("cell", F.explode("near").alias("d")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
+    near = close.groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
+    radius, nearest, largest = np.zeros(len(pivots)), [[] for _ in pivots], 0.0
+    for r in ends.join(near, "cell").collect():  # a row per pivot
+        radius[r["cell"]], nearest[r["cell"]], largest = r["far"], list(r["near"]), max(largest, r["largest"])
+    return _Cells(pivots, radius, nearest, k, metric, p, largest)
+
+
+def sent_rows(points: DataFrame, k: int, metric: str, p: float = 2.0) -> DataFrame:
+    """``(cell, own, id, vec)``: every point once for its own cell and once for each cell that may need it."""
+    cells = points.sparkSession.sparkContext.broadcast(_cells(points, k, metric, p))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows, to, own = cells.value.targets(_vectors(batch.column(1)))
+            for start in range(0, len(rows), 10_000):
+                part = slice(start, start + 10_000)
+                at = pa.array(rows[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(to[part], pa.int32()), pa.array(own[part], pa.bool_()), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "own", "id", "vec"]
+                )
+
+    given = points.select("id", "vec")
+    fields = [T.StructField("cell", T.IntegerType()), T.StructField("own", T.BooleanType()), *given.schema.fields]
+    return given.mapInArrow(send, T.StructType(fields))
+
+
+def _blocks(sent: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the cells, keyed by cell, block of asking rows and block of rows asked for."""
+    sizes = sent.groupBy("cell").agg(F.count_if("own").alias("a"), F.count(F.lit(1)).alias("b"))  # at most a row per pivot
+    counts = F.broadcast(sizes.select("cell", F.ceil(F.col("a") / rows).alias("_a"), F.ceil(F.col("b") / rows).alias("_b")).where("_a > 0"))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    met = sent.join(counts, "cell")
+    asking = met.where("own").withColumn("i", block("_a")).withColumn("j", every("_b"))
+    others = met.withColumn("j", block("_b")).withColumn("i", every("_a"))
+    # columns of their own for either side: both come from one table
+    return tuple(side.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "i", "j", "id", "vec")]) for tag, side in (("a", asking), ("b", others)))
+
+
+def _k_nearest(points: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:
+    """``(id, target, dist)``: the ``k`` points nearest to each point, itself among them."""
+    asking, others = _blocks(cut(sent_rows(points, k, metric, p)), rows)
+    kind = points.schema["id"].dataType
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["id", "target", "dist"]
+        kinds = left.schema.field("a_id").type
+        if not len(left) or not len(right):
+            return pa.table({"id": pa.array([], kinds), "target": pa.array([], kinds), "dist": pa.array([], pa.float64())})
+        right = right.sort_by("b_id")
+        a, b, dist = _best(metric, _vectors(left["a_vec"].combine_chunks()), _vectors(right["b_vec"].combine_chunks()), k, p)
+        return pa.table([left["a_id"].take(pa.array(a)), right["b_id"].take(pa.array(b)), pa.array(dist)], names=names)
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("target", kind), T.StructField("dist", T.DoubleType())])
+    found = asking.groupBy("a_cell", "a_i", "a_j").cogroup(others.groupBy("b_cell", "b_i", "b_j")).applyInArrow(nearest, schema)
+    best = Window.partitionBy("id").orderBy("dist", "target")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
+
+
+def _neighbours(rows: DataFrame, k: int, metric: str, p: float, block: int) -> DataFrame:
+    """Answer for ``(id, vec)``; rows equal in every coordinate are one point that keeps its ``k + 1`` least ids."""
+    if k < 1:
+        raise ValueError("ask for one neighbour at least")
+    asked = cut(rows)
+    ranked = asked.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("_n") <= k + 1)
+    points = cut(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
+    near = cut(_k_nearest(points, k + 1, metric, p, block))
+    copies = points.select(F.col("id").alias("target"), "ids")
     best = Window.partitionBy("id").orderBy("dist", "target")
     short = (
-        answers.select("id", F.explode("ids").alias("target"), "dist")
+        near.join(copies, "target")
+        .select("id", F.explode("ids").alias("target"), "dist")
         .withColumn("_r", F.row_number().over(best))
-        .where(F.col("_r") <= k + 1)
-        .select("id", "target", "dist")
+        .where(F.col("_r") <= k + 1)  # enough for any copy of the point
+        .select(F.col("id").alias("point"), "target", "dist")
     )
-    keys = points.select(F.col("id").alias("point"), *x)
     rank = Window.partitionBy("source").orderBy("dist", "target")
     return (
-        asked.join(keys, x)
+        asked.join(points.select(F.col("id").alias("point"), "vec"), "vec")
         .select(F.col("id").alias("source"), "point")
-        .join(short.withColumnRenamed("id", "point"), "point")
+        .join(short, "point")
         .where("source <> target")
         .withColumn("rank", F.row_number().over(rank))
         .where(F.col("rank") <= k)
@@ -85,36 +240,39 @@ def nearest_neighbours(
     )
 
 
-def _fullest_cell(prep: pw._Prepared) -> int:
-    rows, cells, _ = pw._grid(prep)
-    if not cells:
-        return 0
-    return rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def _within(prep: pw._Prepared, left: DataFrame, metric: str, radius: float, whole: bool, p: float) -> DataFrame:
-    """``(id, ids, dist)`` for points within ``radius`` of those in ``left``, themselves included."""
-    rows, cells, _ = pw._grid(prep)
-    key = cells or ["c0"]
-    if not cells:
-        rows = rows.withColumn("c0", F.lit(0))
-    open_rows = rows.join(left.select("id"), "id", "left_semi")
-    asking = pw._neighbour_cells(open_rows, cells, half=False)
-    a = [F.col(f"a.x{i}") for i in range(prep.dims)]
-    b = [F.col(f"b.x{i}") for i in range(prep.dims)]
-    dist = pw.distance(metric, a, b, p)
-    bound = _radius_of(metric, radius)
-    near = dist.isNotNull() if whole else dist < bound
-    joined = pw.tiled_join(asking, rows, key, near)
-    return joined.select(F.col("a.id").alias("id"), F.col("b.ids").alias("ids"), dist.alias("dist"))
-
-
-def _radius_of(metric: str, width: float) -> float:
-    """The distance below which coordinates are sure to differ by less than ``width``."""
-    if metric in ("cosine", "correlation"):
-        return width * width / 2
-    if metric == "sqeuclidean":
-        return width * width
-    if metric == "jensenshannon":
-        return width / math.sqrt(2)
-    return width
+def _array(columns: Sequence[Column]) -> Column:
+    return F.array(*[c + F.lit(0.0) for c in columns])  # minus zero is zero
+
+
+def nearest_neighbours(
+    df: DataFrame, id_col: str, cols: Sequence[str], k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, p: float = 2.0
+) -> DataFrame:
+    """``(source, target, dist, rank)``: the ``k`` nearest other rows of each row, ties by id. Exact.
+
+    ``cell_rows`` bounds the rows a task compares at once. Rows with a missing coordinate have no neighbours and are nobody's.
+    """
+    if metric not in pw.GRID_METRICS or metric in ("braycurtis", "canberra"):
+        raise ValueError("nearest neighbours need a distance that obeys the triangle inequality")
+    prep = pw._prepare(df, id_col, cols, metric, 1.0, p)
+    return _neighbours(prep.rows.select("id", _array([F.col(f"x{i}") for i in range(prep.dims)]).alias("vec")), k, metric, p, cell_rows)
+
+
+def vector_rows(df: DataFrame, id_col: str, vector_col: str, metric: str) -> DataFrame:
+    """``(id, vec)`` of the rows whose vector is whole; unit vectors for the cosine distance, where zero vectors have none."""
+    vec = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double") + F.lit(0.0))
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), vec.alias("vec"))
+    rows = rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0) & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v)))
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
+        rows = rows.withColumn("_norm", norm).where("_norm > 0").select("id", F.transform("vec", lambda v: v / F.col("_norm")).alias("vec"))
+    sizes = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"vectors of {sizes[0]} and of {sizes[1]} numbers have no distance")
+    return rows
+
+
+def nearest_vectors(df: DataFrame, id_col: str, vector_col: str, k: int, metric: str = "euclidean", cell_rows: int = CELL_ROWS, p: float = 2.0) -> DataFrame:
+    """As :func:`nearest_neighbours`, for an array column of any length. Null vectors and vectors with a null or NaN have no neighbours."""
+    if metric not in ("euclidean", "sqeuclidean", "cosine", "cityblock", "chebyshev", "minkowski"):
+        raise ValueError(f"no nearest vectors by {metric!r}")
+    return _neighbours(vector_rows(df, id_col, vector_col, metric), k, metric, p, cell_rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import clean as cl
-from netloom.operators.nearest import nearest_neighbours
+from netloom.operators.nearest import nearest_neighbours, nearest_vectors
 from netloom.operators.pairs import similarity_edges, similarity_where
 from netloom.operators.sets import set_edges
 from netloom.plans.registry import query, table
@@ -287,3 +287,24 @@ def _(spark, folder):
     """Links between classes of equal part sets, the bound itself included."""
     found = set_edges(_order_sets(spark, folder), "l_orderkey", "items", 0.5, inclusive=True)
     return found.edges.withColumn("dist", F.round("dist", 6))
+
+
+# ---- vectors --------------------------------------------------------------------------
+
+VECTORS = "v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings)"
+_EUCLIDEAN = "list_distance(a.x, b.x)"
+_COSINE = "(1 - list_cosine_similarity(a.x, b.x))"
+
+
+def _register_nearest(name: str, metric: str, dist: str) -> None:
+    sql = f"""WITH {VECTORS} SELECT source, target, round(dist, 6) AS dist, rank FROM (SELECT source, target, dist,
+      CAST(row_number() OVER (PARTITION BY source ORDER BY dist, target) AS INTEGER) AS rank
+      FROM (SELECT a.id AS source, b.id AS target, {dist} AS dist FROM v a JOIN v b ON a.id <> b.id)) WHERE rank <= 5"""
+
+    @query(f"vectors_nearest_{name}", sql)
+    def _(spark, folder):
+        return nearest_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", 5, metric).withColumn("dist", F.round("dist", 6))
+
+
+_register_nearest("euclidean", "euclidean", _EUCLIDEAN)
+_register_nearest("cosine", "cosine", _COSINE)
