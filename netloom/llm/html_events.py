@@ -6,6 +6,7 @@ tags and a missing end are taken as browsers take them. An element's path is a h
 
 from __future__ import annotations
 
+import functools
 import re
 from typing import NamedTuple
 
@@ -72,8 +73,9 @@ class _Element(NamedTuple):
     link: bool
 
 
+@functools.lru_cache(maxsize=100_000)
 def _element(name: str, attributes: str, parent: _Element) -> _Element:
-    named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(attributes)} if "=" in attributes else {}
+    named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _NAMED.findall(attributes)}
     words = set(_WORD.findall(named.get("class", "") + " " + named.get("id", "")))
     role = named.get("role", "")
     rank = 2 if name == "article" else 1 if name == "main" or role == "main" or named.get("itemprop") == "articlebody" else 0
@@ -96,17 +98,18 @@ def read(html: str | None) -> list[Event]:
     """Events of a page in order; every element that opens also closes."""
     html = html or ""
     out: list[Event] = []
+    make = Event._make
     stack = [_Element("", 1, 0, 0, False)]
 
     def close(size: int) -> None:
         while len(stack) > size:
             e = stack.pop()
-            out.append(Event(CLOSE, e.path, len(stack), e.rank, e.left_out, e.link, e.name in BLOCK, ""))
+            out.append(make((CLOSE, e.path, len(stack), e.rank, e.left_out, e.link, e.name in BLOCK, "")))
 
     def text(start: int, stop: int) -> None:
         if stop > start:
             top = stack[-1]
-            out.append(Event(TEXT, top.path, len(stack), 0, top.left_out, top.link, False, html[start:stop]))
+            out.append(make((TEXT, top.path, len(stack), 0, top.left_out, top.link, False, html[start:stop])))
 
     def close_up(names, fence) -> None:
         for at in range(len(stack) - 1, 0, -1):
@@ -137,9 +140,9 @@ def read(html: str | None) -> list[Event]:
             close_up({"p"}, FENCE)
         if name in CLOSES:
             close_up(*CLOSES[name])
-        element = _element(name, found[3], stack[-1])
-        is_block = name in BLOCK
-        out.append(Event(OPEN, element.path, len(stack), element.rank, element.left_out, element.link, is_block, ""))
+        attributes = found[3]
+        element = _element(name, attributes if _NAMED.search(attributes) else "", stack[-1])
+        out.append(make((OPEN, element.path, len(stack), element.rank, element.left_out, element.link, name in BLOCK, "")))
         stack.append(element)
         if name in VOID:
             close(len(stack) - 1)

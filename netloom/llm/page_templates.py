@@ -51,30 +51,35 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def tokens_of(events: Iterable[Event]) -> Iterator[tuple[int, Event]]:
-    """Tokens of a page in order; blank texts and what is never text are none."""
+def tokens_of(events: Iterable[Event]) -> Iterator[tuple[int, Event, int]]:
+    """Tokens of a page in order, with the characters of texts; blank texts and what is never text are none."""
     for e in events:
-        if e.kind == OPEN:
-            yield _long(e.path), e
-        elif e.kind == CLOSE:
-            yield _long(e.path ^ _CLOSING), e
-        elif e.left_out < 3 and e.text.strip():
-            yield _long(xxhash.xxh64_intdigest(plain(e.text), e.path)), e
-
-
-def text_sizes(events: Iterable[Event]) -> dict[int, int]:
+        kind = e.kind
+        if kind == OPEN:
+            yield _long(e.path), e, 0
+        elif kind == CLOSE:
+            yield _long(e.path ^ _CLOSING), e, 0
+        elif e.left_out < 3:
+            text = plain(e.text)
+            if text:
+                yield _long(xxhash.xxh64_intdigest(text, e.path)), e, len(text)
+
+
+def text_sizes(tokens: Iterable[tuple[int, Event, int]]) -> dict[int, int]:
     """Characters below every path that are neither links nor left out; path 0 is the page."""
-    out, open_ = Counter({0: 0}), [[0, 0]]
-    for e in events:
-        if e.kind == OPEN:
-            open_.append([e.path, 0])
-        elif e.kind == CLOSE:
-            path, size = open_.pop()
-            out[path] += size
-            open_[-1][1] += size
+    out, open_ = Counter({0: 0}), [0]
+    for _, e, size in tokens:
+        kind = e.kind
+        if kind == OPEN:
+            open_.append(0)
+        elif kind == CLOSE:
+            below = open_.pop()
+            if below:
+                out[e.path] += below
+                open_[-1] += below
         elif not (e.left_out or e.link):
-            open_[-1][1] += len(plain(e.text))
-    out[0] += open_[0][1]
+            open_[-1] += size
+    out[0] += open_[0]
     return out
 
 
@@ -108,21 +113,18 @@ def _token_sums(batches):
 
     for batch in batches:
         for host, row, page in zip(*(batch.column(c).to_pylist() for c in ("host", "row", "html")), strict=True):
-            events = read(page) if host else []
-            sizes = text_sizes(events)
+            tokens = list(tokens_of(read(page))) if host else []
+            sizes = text_sizes(tokens)
             add((host, 0, -1, 0, 0), 1, (0, 0), sizes[0])
-            counts, first = Counter(), {}
-            for token, e in tokens_of(events):
-                counts[token] += 1
-                first.setdefault(token, e)
+            first = {token: (e, size) for token, e, size in reversed(tokens)}
             marks: dict[int, tuple[int, int]] = {}
-            for token, n in counts.items():
+            for token, n in Counter(token for token, _, _ in tokens).items():
                 if n not in marks:
                     key = b"%d:%d" % (row, n)
                     marks[n] = (_long(xxhash.xxh64_intdigest(key, 1)), _long(xxhash.xxh64_intdigest(key, 2)))
-                e = first[token]
-                size = sizes[e.path] if e.kind == OPEN else 0 if e.kind == CLOSE or e.left_out or e.link else n * len(plain(e.text))
-                add((host, token, e.kind, e.depth, 0 if e.left_out else e.rank), n, marks[n], size)
+                e, size = first[token]
+                chars = sizes[e.path] if e.kind == OPEN else 0 if e.left_out or e.link else n * size
+                add((host, token, e.kind, e.depth, 0 if e.left_out else e.rank), n, marks[n], chars)
             if len(sums) > HELD:
                 yield flush()
     yield flush()
@@ -160,7 +162,7 @@ def class_places(events: Iterable[Event], class_of: dict[int, int], size_of: dic
     around: dict[int, tuple[int, int]] = {}
     faulty: set[int] = set()
     open_: list[int] = []
-    for token, _ in tokens_of(events):
+    for token, _, _ in tokens_of(events):
         c = class_of.get(token)
         if c is None:
             continue
@@ -279,7 +281,7 @@ def _own_roots(events: list[Event]) -> set[int]:
     for rank in (2, 1):
         if ranked.get(rank):
             return ranked[rank]
-    sizes = text_sizes(events)
+    sizes = text_sizes(tokens_of(events))
     large = [p for p, n in counts.items() if n == 1 and sizes[p] >= MAIN_SHARE * sizes[0] and sizes[p]]
     return {max(large, key=lambda p: (depth[p], p))} if large else set()
 

@@ -100,7 +100,7 @@ def test_events_nest():
 
 def brute_classes(pages):
     """Classes by the vectors themselves, their order by the pages themselves."""
-    seen = [[t for t, _ in pt.tokens_of(read(h))] for h in pages]
+    seen = [[t for t, _, _ in pt.tokens_of(read(h))] for h in pages]
     counts = [Counter(s) for s in seen]
     by_vector = defaultdict(set)
     for t in set().union(*counts):
@@ -136,7 +136,7 @@ def test_classes_against_whole_vectors(spark, make):
 
 def test_overlapping_classes_are_at_fault():
     events = read("<a></a><b></b><i></i>")
-    t = [x for x, _ in pt.tokens_of(events)]
+    t = [x for x, _, _ in pt.tokens_of(events)]
     inside = {t[0]: 1, t[3]: 1, t[1]: 2, t[2]: 2}
     assert pt.class_places(events, inside, {1: 2, 2: 2}, {1: 9, 2: 9})[2][1:] == (1, 1)
     crossed = {t[0]: 1, t[2]: 1, t[1]: 2, t[3]: 2}
