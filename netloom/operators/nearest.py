@@ -1,8 +1,8 @@
 """Nearest-neighbour graphs without a distance bound, exact, in any number of dimensions.
 
-Rows are dealt to the nearest of a bounded number of pivots (Lu et al. 2012). From every cell's radius and its few rows next to the pivot
-follows a distance within which each row of the cell has its neighbours; by the triangle inequality a row is sent only to the cells
-where it can be one. Cells meet block against block, and the best of every block are merged.
+Rows are dealt to the nearest of a bounded number of pivots (after Lu et al. 2012) and first meet the rows of their own cell. The ``k``-th best
+distance there bounds the answer, and by the triangle inequality a row need only ask the other cells that reach into that distance: only rows
+next to a border travel, and only as askers. Cells meet block against block, and the best of every block are merged.
 """
 
 from __future__ import annotations
@@ -105,20 +105,19 @@ class _Cells:
         away = _cross(self.metric, vectors, self.pivots, self.p)
         return away, away.argmin(1)
 
-    def targets(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(row, cell, own)`` of every cell where a row may be somebody's neighbour, its own included."""
+    def beyond(self, vectors: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, cell)`` of the cells, other than its own, that may hold a point ``within`` a row's distance."""
         away, home = self.own(vectors)
-        at_home = away[np.arange(len(home)), home][:, None]
-        reach = self.reach[None, :] + self.slack
-        may = away <= self.radius[None, :] + reach
+        every = np.arange(len(home))
+        limit = np.minimum(within, self.reach[home])[:, None] + self.slack
+        may = away <= self.radius[None, :] + limit
         if self.metric in _STRAIGHT:  # distance to the plane between two pivots
-            apart = np.maximum(self.apart[home], 1e-300)
-            may &= (away**2 - at_home**2) / (2 * apart) <= reach
+            may &= (away**2 - away[every, home][:, None] ** 2) / (2 * np.maximum(self.apart[home], 1e-300)) <= limit
         else:
-            may &= (away - at_home) / 2 <= reach
-        may[np.arange(len(home)), home] = True
-        rows, cells = np.nonzero(may)
-        return rows, cells, cells == home[rows]
+            may &= (away - away[every, home][:, None]) / 2 <= limit
+        may &= (self.radius >= 0)[None, :]
+        may[every, home] = False
+        return np.nonzero(may)
 
 
 def _cells(points: DataFrame, k: int, metric: str, p: float) -> _Cells:
@@ -151,66 +150,96 @@ def _cells(points: DataFrame, k: int, metric: str, p: float) -> _Cells:
     first = Window.partitionBy("cell").orderBy("d")
     close = seen.select("cell", F.explode("near").alias("d")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k)
     near = close.groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near"))
-    radius, nearest, largest = np.zeros(len(pivots)), [[] for _ in pivots], 0.0
+    radius, nearest, largest = np.full(len(pivots), -1.0), [[] for _ in pivots], 0.0  # a pivot that is nearest to nothing has no cell
     for r in ends.join(near, "cell").collect():  # a row per pivot
         radius[r["cell"]], nearest[r["cell"]], largest = r["far"], list(r["near"]), max(largest, r["largest"])
     return _Cells(pivots, radius, nearest, k, metric, p, largest)
 
 
-def sent_rows(points: DataFrame, k: int, metric: str, p: float = 2.0) -> DataFrame:
-    """``(cell, own, id, vec)``: every point once for its own cell and once for each cell that may need it."""
-    cells = points.sparkSession.sparkContext.broadcast(_cells(points, k, metric, p))
+_PLACED = ("cell", "id", "vec")
+
+
+def _placed_schema(points: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("cell", T.IntegerType()), *points.select("id", "vec").schema.fields])
+
+
+def _at(cells: np.ndarray, rows: np.ndarray, ids: pa.Array, vectors: pa.Array) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(rows), 10_000):
+        part = slice(start, start + 10_000)
+        at = pa.array(rows[part])
+        yield pa.RecordBatch.from_arrays([pa.array(cells[part], pa.int32()), ids.take(at), vectors.take(at)], names=list(_PLACED))
+
+
+def at_home(points: DataFrame, shared) -> DataFrame:
+    """``(cell, id, vec)``: every point in the cell of its nearest pivot."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                home = shared.value.own(_vectors(batch.column(1)))[1]
+                yield from _at(home, np.arange(len(home)), batch.column(0), batch.column(1))
+
+    return points.select("id", "vec").mapInArrow(place, _placed_schema(points))
+
+
+def asking_elsewhere(home: DataFrame, found: DataFrame, k: int, metric: str, shared) -> DataFrame:
+    """``(cell, id, vec)``: the points once for every other cell that may hold one of their ``k`` nearest."""
+    last = F.when(F.count(F.lit(1)) >= k, F.max("dist"))
+    straight = F.sqrt(F.abs(2 * F.col("last"))) if metric in ("cosine", "correlation") else F.sqrt("last") if metric == "sqeuclidean" else F.col("last")
+    within = found.groupBy("id").agg(last.alias("last")).select("id", F.coalesce(straight, F.lit(math.inf)).alias("within"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            rows, to, own = cells.value.targets(_vectors(batch.column(1)))
-            for start in range(0, len(rows), 10_000):
-                part = slice(start, start + 10_000)
-                at = pa.array(rows[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[part], pa.int32()), pa.array(own[part], pa.bool_()), batch.column(0).take(at), batch.column(1).take(at)], names=["cell", "own", "id", "vec"]
-                )
+            if len(batch):
+                rows, cells = shared.value.beyond(_vectors(batch.column(1)), np.asarray(batch.column(2)))
+                yield from _at(cells, rows, batch.column(0), batch.column(1))
 
-    given = points.select("id", "vec")
-    fields = [T.StructField("cell", T.IntegerType()), T.StructField("own", T.BooleanType()), *given.schema.fields]
-    return given.mapInArrow(send, T.StructType(fields))
+    return home.join(within, "id").select("id", "vec", "within").mapInArrow(send, _placed_schema(home))
 
 
-def _blocks(sent: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(asking: DataFrame, others: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of the cells, keyed by cell, block of asking rows and block of rows asked for."""
-    sizes = sent.groupBy("cell").agg(F.count_if("own").alias("a"), F.count(F.lit(1)).alias("b"))  # at most a row per pivot
-    counts = F.broadcast(sizes.select("cell", F.ceil(F.col("a") / rows).alias("_a"), F.ceil(F.col("b") / rows).alias("_b")).where("_a > 0"))
+    count = lambda side, name: side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
+    sizes = F.broadcast(count(asking, "_a").join(count(others, "_b"), "cell"))  # at most a row per pivot
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    met = sent.join(counts, "cell")
-    asking = met.where("own").withColumn("i", block("_a")).withColumn("j", every("_b"))
-    others = met.withColumn("j", block("_b")).withColumn("i", every("_a"))
+    left = asking.join(sizes, "cell").withColumn("i", block("_a")).withColumn("j", every("_b"))
+    right = others.join(sizes, "cell").withColumn("j", block("_b")).withColumn("i", every("_a"))
     # columns of their own for either side: both come from one table
-    return tuple(side.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "i", "j", "id", "vec")]) for tag, side in (("a", asking), ("b", others)))
+    return tuple(side.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "i", "j", "id", "vec")]) for tag, side in (("a", left), ("b", right)))
 
 
-def _k_nearest(points: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:
-    """``(id, target, dist)``: the ``k`` points nearest to each point, itself among them."""
-    asking, others = _blocks(cut(sent_rows(points, k, metric, p)), rows)
-    kind = points.schema["id"].dataType
+def _met(asking: DataFrame, others: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:
+    """``(id, target, dist)``: for every block of a cell, the ``k`` points of it nearest to each asking one."""
+    left, right = _blocks(asking, others, rows)
+    kind = asking.schema["id"].dataType
 
-    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "target", "dist"]
-        kinds = left.schema.field("a_id").type
-        if not len(left) or not len(right):
+    def nearest(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = a.schema.field("a_id").type
+        if not len(a) or not len(b):
             return pa.table({"id": pa.array([], kinds), "target": pa.array([], kinds), "dist": pa.array([], pa.float64())})
-        right = right.sort_by("b_id")
-        a, b, dist = _best(metric, _vectors(left["a_vec"].combine_chunks()), _vectors(right["b_vec"].combine_chunks()), k, p)
-        return pa.table([left["a_id"].take(pa.array(a)), right["b_id"].take(pa.array(b)), pa.array(dist)], names=names)
+        b = b.sort_by("b_id")
+        at, to, dist = _best(metric, _vectors(a["a_vec"].combine_chunks()), _vectors(b["b_vec"].combine_chunks()), k, p)
+        return pa.table([a["a_id"].take(pa.array(at)), b["b_id"].take(pa.array(to)), pa.array(dist)], names=["id", "target", "dist"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("target", kind), T.StructField("dist", T.DoubleType())])
-    found = asking.groupBy("a_cell", "a_i", "a_j").cogroup(others.groupBy("b_cell", "b_i", "b_j")).applyInArrow(nearest, schema)
+    return left.groupBy("a_cell", "a_i", "a_j").cogroup(right.groupBy("b_cell", "b_i", "b_j")).applyInArrow(nearest, schema)
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("id").orderBy("dist", "target")
     return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
 
+def _k_nearest(points: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:
+    """``(id, target, dist)``: the ``k`` points nearest to each point, itself among them."""
+    shared = points.sparkSession.sparkContext.broadcast(_cells(points, k, metric, p))
+    home = cut(at_home(points, shared))
+    near = cut(_first(_met(home, home, k, metric, p, rows), k))
+    elsewhere = cut(asking_elsewhere(home, near, k, metric, shared))
+    return _first(near.unionByName(_met(elsewhere, home, k, metric, p, rows)), k)
+
+
 def _neighbours(rows: DataFrame, k: int, metric: str, p: float, block: int) -> DataFrame:
     """Answer for ``(id, vec)``; rows equal in every coordinate are one point that keeps its ``k + 1`` least ids."""
     if k < 1:
@@ -218,7 +247,10 @@ def _neighbours(rows: DataFrame, k: int, metric: str, p: float, block: int) -> D
     asked = cut(rows)
     ranked = asked.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("_n") <= k + 1)
     points = cut(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]))
-    near = cut(_k_nearest(points, k + 1, metric, p, block))
+    if points.isEmpty():
+        near = points.select("id", F.col("id").alias("target"), F.lit(0.0).alias("dist"))
+    else:
+        near = cut(_k_nearest(points, k + 1, metric, p, block))
     copies = points.select(F.col("id").alias("target"), "ids")
     best = Window.partitionBy("id").orderBy("dist", "target")
     short = (

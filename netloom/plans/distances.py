@@ -9,6 +9,7 @@ from netloom.operators import clean as cl
 from netloom.operators.nearest import nearest_neighbours, nearest_vectors
 from netloom.operators.pairs import similarity_edges, similarity_where
 from netloom.operators.sets import set_edges
+from netloom.operators.vectors import vector_edges
 from netloom.plans.registry import query, table
 
 Z = """(SELECT {k} AS id, ({a} - (SELECT avg({a}) FROM {t})) / (SELECT stddev_pop({a}) FROM {t}) AS x,
@@ -308,3 +309,15 @@ def _register_nearest(name: str, metric: str, dist: str) -> None:
 
 _register_nearest("euclidean", "euclidean", _EUCLIDEAN)
 _register_nearest("cosine", "cosine", _COSINE)
+
+
+def _register_vectors(name: str, metric: str, dist: str, bound: float) -> None:
+    sql = f"WITH {VECTORS} SELECT a.id AS source, b.id AS target, round({dist}, 6) AS dist FROM v a JOIN v b ON a.id < b.id WHERE {dist} < {bound}"
+
+    @query(f"vectors_{name}", sql)
+    def _(spark, folder):
+        return vector_edges(table(spark, folder, "embeddings"), "vec_id", "embedding", bound, metric).edges.withColumn("dist", F.round("dist", 6))
+
+
+_register_vectors("euclidean", "euclidean", _EUCLIDEAN, 1.15)
+_register_vectors("cosine", "cosine", _COSINE, 0.65)
