@@ -105,11 +105,14 @@ class _Cells:
         away = _cross(self.metric, vectors, self.pivots, self.p)
         return away, away.argmin(1)
 
-    def beyond(self, vectors: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, cell)`` of the cells, other than its own, that may hold a point ``within`` a row's distance."""
+    def beyond(self, vectors: np.ndarray, within: np.ndarray, capped: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, cell)`` of the cells, other than its own, that may hold a point ``within`` a row's distance.
+
+        ``capped``: or, if that is less, within the distance that bounds the nearest of every row of the cell.
+        """
         away, home = self.own(vectors)
         every = np.arange(len(home))
-        limit = np.minimum(within, self.reach[home])[:, None] + self.slack
+        limit = (np.minimum(within, self.reach[home]) if capped else within)[:, None] + self.slack
         may = away <= self.radius[None, :] + limit
         if self.metric in _STRAIGHT:  # distance to the plane between two pivots
             may &= (away**2 - away[every, home][:, None] ** 2) / (2 * np.maximum(self.apart[home], 1e-300)) <= limit
@@ -120,9 +123,8 @@ class _Cells:
         return np.nonzero(may)
 
 
-def _cells(points: DataFrame, k: int, metric: str, p: float) -> _Cells:
-    n = points.count()
-    wanted = min(PIVOTS, max(1, math.ceil(math.sqrt(n))))
+def _cells(points: DataFrame, k: int, metric: str, p: float, wanted: int | None = None) -> _Cells:
+    wanted = min(PIVOTS, max(1, wanted or math.ceil(math.sqrt(points.count()))))
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()  # at most PIVOTS rows
     pivots = np.array([r["vec"] for r in chosen], float).reshape(len(chosen), -1)
     shared = points.sparkSession.sparkContext.broadcast(_Cells(pivots, np.zeros(len(pivots)), [[]] * len(pivots), 1, metric, p, 0.0))
@@ -197,7 +199,7 @@ def asking_elsewhere(home: DataFrame, found: DataFrame, k: int, metric: str, sha
     return home.join(within, "id").select("id", "vec", "within").mapInArrow(send, _placed_schema(home))
 
 
-def _blocks(asking: DataFrame, others: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(asking: DataFrame, others: DataFrame, rows: int, columns: Sequence[str] = ("id", "vec")) -> tuple[DataFrame, DataFrame]:
     """Both sides of the cells, keyed by cell, block of asking rows and block of rows asked for."""
     count = lambda side, name: side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias(name))
     sizes = F.broadcast(count(asking, "_a").join(count(others, "_b"), "cell"))  # at most a row per pivot
@@ -206,7 +208,7 @@ def _blocks(asking: DataFrame, others: DataFrame, rows: int) -> tuple[DataFrame,
     left = asking.join(sizes, "cell").withColumn("i", block("_a")).withColumn("j", every("_b"))
     right = others.join(sizes, "cell").withColumn("j", block("_b")).withColumn("i", every("_a"))
     # columns of their own for either side: both come from one table
-    return tuple(side.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "i", "j", "id", "vec")]) for tag, side in (("a", left), ("b", right)))
+    return tuple(side.select(*[F.col(c).alias(f"{tag}_{c}") for c in ("cell", "i", "j", *columns)]) for tag, side in (("a", left), ("b", right)))
 
 
 def _met(asking: DataFrame, others: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:

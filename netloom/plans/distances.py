@@ -9,7 +9,7 @@ from netloom.operators import clean as cl
 from netloom.operators.nearest import nearest_neighbours, nearest_vectors
 from netloom.operators.pairs import similarity_edges, similarity_where
 from netloom.operators.sets import set_edges
-from netloom.operators.vectors import vector_edges
+from netloom.operators.vectors import vector_join
 from netloom.plans.registry import query, table
 
 Z = """(SELECT {k} AS id, ({a} - (SELECT avg({a}) FROM {t})) / (SELECT stddev_pop({a}) FROM {t}) AS x,
@@ -312,12 +312,19 @@ _register_nearest("cosine", "cosine", _COSINE)
 
 
 def _register_vectors(name: str, metric: str, dist: str, bound: float) -> None:
-    sql = f"WITH {VECTORS} SELECT a.id AS source, b.id AS target, round({dist}, 6) AS dist FROM v a JOIN v b ON a.id < b.id WHERE {dist} < {bound}"
+    pairs = f"p AS (SELECT a.id AS source, b.id AS target, {dist} AS dist FROM v a JOIN v b ON a.id < b.id WHERE {dist} < {bound})"
 
-    @query(f"vectors_{name}", sql)
+    @query(f"vectors_{name}", f"WITH {VECTORS}, {pairs} SELECT source, target, round(dist, 6) AS dist FROM p")
     def _(spark, folder):
-        return vector_edges(table(spark, folder, "embeddings"), "vec_id", "embedding", bound, metric).edges.withColumn("dist", F.round("dist", 6))
+        joined = vector_join(table(spark, folder, "embeddings"), "vec_id", "embedding", bound, metric)
+        return joined.edges().withColumn("dist", F.round("dist", 6))
 
+    ends = "SELECT source AS id FROM p UNION ALL SELECT target FROM p"
 
-_register_vectors("euclidean", "euclidean", _EUCLIDEAN, 1.15)
-_register_vectors("cosine", "cosine", _COSINE, 0.65)
+    @query(f"vectors_links_{name}", f"WITH {VECTORS}, {pairs}, e AS ({ends}) SELECT v.id, count(e.id) AS n_links FROM v LEFT JOIN e ON v.id = e.id GROUP BY v.id")
+    def _(spark, folder):
+        return vector_join(table(spark, folder, "embeddings"), "vec_id", "embedding", bound, metric).link_counts()
+
+
+_register_vectors("euclidean", "euclidean", _EUCLIDEAN, 1.05)
+_register_vectors("cosine", "cosine", _COSINE, 0.55)

@@ -8,7 +8,7 @@ import pytest
 
 from netloom.operators import nearest as nn
 from netloom.operators.nearest import nearest_neighbours, nearest_vectors, vector_rows
-from netloom.operators.vectors import vector_edges
+from netloom.operators.vectors import vector_join
 from netloom.runtime import cut
 
 
@@ -39,13 +39,17 @@ def table_of(x, metric):
 def test_edges_against_all_pairs(spark, metric, bound):
     x = clusters()
     want = table_of(x, metric)
-    found = vector_edges(frame(spark, x), "key", "v", bound, metric, leading=6, tile_rows=50)
-    got = {(r["source"], r["target"]): r["dist"] for r in found.edges.collect()}
+    found = vector_join(frame(spark, x), "key", "v", bound, metric, cell_rows=15)
+    rows = found.edges().collect()
+    got = {(r["source"], r["target"]): r["dist"] for r in rows}
+    assert len(got) == len(rows)
     near = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if want[i, j] < bound - 1e-12}
     assert near <= got.keys() <= {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if want[i, j] < bound + 1e-12}
     assert all(abs(d - want[p]) < 1e-9 for p, d in got.items())
-    assert found.share_of_pairs() < 0.2  # twelve clusters: a twelfth of all pairs lies in one
     assert len(near) > 1000
+    counts = Counter(v for p in got for v in p)
+    assert {r["id"]: r["n_links"] for r in found.link_counts().collect()} == {i: counts[i] for i in range(len(x))}
+    assert found.compared < 0.35 * math.comb(len(x), 2)  # twelve clusters and a group of copies: a tenth of all pairs is near
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "cosine", "cityblock", "chebyshev", "minkowski"])
@@ -90,15 +94,15 @@ def test_a_plane_of_points_has_few_comparisons(spark):
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0, None]), (3, [0.0, 0.0]), (4, [2.0, 0.0]), (5, [1.0, float("nan")]), (6, [1.0, 0.0]), (7, [-0.0, 0.0])]
     df = spark.createDataFrame(rows, "key long, v array<double>")
-    assert sorted(tuple(r)[:2] for r in vector_edges(df, "key", "v", 0.0, inclusive=True).edges.collect()) == [(0, 6), (3, 7)]
-    assert sorted(tuple(r)[:2] for r in vector_edges(df, "key", "v", 0.1, "cosine").edges.collect()) == [(0, 4), (0, 6), (4, 6)]
+    assert sorted(tuple(r)[:2] for r in vector_join(df, "key", "v", 0.0, inclusive=True).edges().collect()) == [(0, 6), (3, 7)]
+    assert sorted(tuple(r)[:2] for r in vector_join(df, "key", "v", 0.1, "cosine").edges().collect()) == [(0, 4), (0, 6), (4, 6)]
     near = {(r["source"], r["target"]): r["dist"] for r in nearest_vectors(df, "key", "v", 1).collect()}
     assert near == {(0, 6): 0.0, (6, 0): 0.0, (3, 7): 0.0, (7, 3): 0.0, (4, 0): 1.0}
     assert nearest_vectors(df.where("false"), "key", "v", 3).count() == 0
-    assert vector_edges(df.where("false"), "key", "v", 1.0).edges.count() == 0
+    assert vector_join(df.where("false"), "key", "v", 1.0).edges().count() == 0
     assert nearest_vectors(df.where("key = 0"), "key", "v", 3).count() == 0
     mixed = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "key long, v array<double>")
     with pytest.raises(ValueError, match="1 and of 2"):
-        vector_edges(mixed, "key", "v", 1.0)
+        vector_join(mixed, "key", "v", 1.0)
     with pytest.raises(ValueError):
-        vector_edges(df, "key", "v", math.inf)
+        vector_join(df, "key", "v", math.inf)
