@@ -20,7 +20,7 @@ from netloom.operators import pairs as pw
 from netloom.runtime import cut
 
 CELL_ROWS = 2_000
-#: Pivots: the square root of the points, and no more than this; they and their distances travel to every task.
+#: No more pivots than this; they and their distances travel to every task.
 PIVOTS = 1_024
 _STRAIGHT = ("euclidean", "sqeuclidean", "seuclidean", "mahalanobis", "cosine", "correlation")
 
@@ -235,10 +235,11 @@ def _first(found: DataFrame, k: int) -> DataFrame:
 
 def _k_nearest(points: DataFrame, k: int, metric: str, p: float, rows: int) -> DataFrame:
     """``(id, target, dist)``: the ``k`` points nearest to each point, itself among them."""
-    shared = points.sparkSession.sparkContext.broadcast(_cells(points, k, metric, p))
+    # cells of a block or more each: where nothing can be ruled out, a row is sent once for every cell
+    shared = points.sparkSession.sparkContext.broadcast(_cells(points, k, metric, p, math.ceil(points.count() / rows)))
     home = cut(at_home(points, shared))
     near = cut(_first(_met(home, home, k, metric, p, rows), k))
-    elsewhere = cut(asking_elsewhere(home, near, k, metric, shared))
+    elsewhere = asking_elsewhere(home, near, k, metric, shared)
     return _first(near.unionByName(_met(elsewhere, home, k, metric, p, rows)), k)
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.operators.graph import Graph
+from netloom.operators.components import connected_components
+from netloom.operators.graph import Graph, simplify
 from netloom.operators.links import Links, walk_links
 from netloom.runtime import cut, shuffle_width
 
@@ -89,15 +90,173 @@ def distances_from(graph: Graph, source: int, mode: str = "out") -> DataFrame:
     return union_all([b for b in hop_distances(graph, start, mode)]).select("vid", "d")
 
 
-def fold(graph: Graph, step: Callable[[DataFrame], DataFrame], mode: str = "out", **kw) -> DataFrame:
-    """Reduce each batch with ``step`` and stack the (small) results."""
-    return union_all([cut(step(batch)) for batch in hop_distances(graph, mode=mode, **kw)])
+#: Longs of bits a vertex carries in a search: 64 sources each.
+WORDS = 16
+
+
+def _number(graph: Graph) -> int:
+    """Vertices; their numbers are 0 … n - 1."""
+    return graph.vertices.count()
+
+
+def bit_search(links: Links, start: DataFrame, words: int) -> Iterator[tuple[int, DataFrame]]:
+    """Levels of a search from up to ``64 * words`` sources at once: ``(hops, state)`` until no source reaches further.
+
+    ``start(vid, n0 …)`` gives every source a bit. ``state(vid, s0 …, n0 …, far, reached)`` has the sources that reach a vertex, those that first did
+    in this level, and the sum of hops and number of sources but the vertex itself. A level unites the new bits across the arcs, so it moves one
+    row an arc and keeps one row a vertex, whatever the number of sources.
+    """
+    new, seen = [f"n{i}" for i in range(words)], [f"s{i}" for i in range(words)]
+    zero = F.lit(0).cast("long")
+    state = cut(start.select("vid", *[F.col(n).alias(s) for n, s in zip(new, seen)], *new, zero.alias("far"), zero.alias("reached")))
+    fresh = " or ".join(f"{n} <> 0" for n in new)
+    hops = 0
+    while not state.where(fresh).isEmpty():
+        yield hops, state
+        hops += 1
+        heard = links.send(state.where(fresh).select("vid", *new)).select(F.col("dst").alias("vid"), *new)
+        silent = [F.lit(None).cast("long").alias(c) for c in (*seen, "far", "reached")]
+        both = heard.select("vid", *new, *silent).unionByName(state.select("vid", *[zero.alias(n) for n in new], *seen, "far", "reached"))
+        met = both.groupBy("vid").agg(*[F.bit_or(n).alias(n) for n in new], *[F.max(c).alias(c) for c in (*seen, "far", "reached")])
+        old = [F.coalesce(s, zero) for s in seen]
+        first = [F.col(n).bitwiseAND(F.bitwise_not(o)) for n, o in zip(new, old)]
+        united = met.select(
+            "vid", *[o.bitwiseOR(F.col(n)).alias(s) for n, o, s in zip(new, old, seen)], *[f.alias(n) for f, n in zip(first, new)],
+            F.coalesce("far", zero).alias("far"), F.coalesce("reached", zero).alias("reached"),
+        )
+        count = _bits(new)
+        state = cut(united.select("vid", *seen, *new, (F.col("far") + hops * count).alias("far"), (F.col("reached") + count).alias("reached")))
+
+
+def _bits(words: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, [F.bit_count(w) for w in words]).cast("long")
+
+
+def _batches(graph: Graph, words: int, state_rows: int | None) -> Iterator[tuple[int, DataFrame]]:
+    """Every vertex as a source, by its number: words used and starting bits of a batch."""
+    n = _number(graph)
+    if state_rows is not None:  # rows (source, vertex) that a batch stands for
+        words = max(1, min(words, state_rows // max(1, 64 * n)))
+    for low in range(0, n, 64 * words):
+        used = min(words, -(-(n - low) // 64))
+        place = F.col("vid") - low
+        sources = graph.vertices.where((place >= 0) & (place < 64 * used))
+        bit = F.expr(f"shiftleft(1L, cast((vid - {low}) % 64 as int))")
+        yield used, sources.select("vid", *[F.when(F.floor(place / 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(f"n{i}") for i in range(used)])
+
+
+def all_hops(graph: Graph, mode: str = "out", words: int = WORDS, state_rows: int | None = None) -> tuple[list[tuple[int, int]], DataFrame]:
+    """``(hops, pairs)`` of every level, and ``(vid, far, reached)`` over all sources.
+
+    Exact and O(V·E) in bits: a batch of ``64 * words`` sources costs as much as one search.
+    """
+    links = walk_links(graph, mode)
+    pairs: dict[int, int] = {}
+    parts = []
+    try:
+        with shuffle_width(graph.edges.sparkSession, links.n_arcs):
+            for used, start in _batches(graph, words, state_rows):
+                last = None
+                for hops, state in bit_search(links, start, used):
+                    found = state.agg(F.sum(_bits([f"n{i}" for i in range(used)]))).first()[0]
+                    pairs[hops] = pairs.get(hops, 0) + found
+                    last = state
+                parts.append(last.select("vid", "far", "reached"))
+            totals = union_all(parts) if parts else graph.vertices.select("vid", F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("reached"))
+            return sorted(pairs.items()), cut(totals.groupBy("vid").agg(F.sum("far").alias("far"), F.sum("reached").alias("reached")))
+    finally:
+        links.release()
 
 
 def hop_histogram(graph: Graph, **kw) -> DataFrame:
     """``(d, n)``: ordered vertex pairs at each positive finite distance."""
-    parts = fold(graph, lambda b: b.where("d > 0").groupBy("d").agg(F.count(F.lit(1)).alias("n")), **kw)
-    return parts.groupBy("d").agg(F.sum("n").alias("n"))
+    rows = [(d, n) for d, n in all_hops(graph, **kw)[0] if d > 0]
+    return graph.edges.sparkSession.createDataFrame(rows, "d int, n long")  # one row per hop
+
+
+def _members(graph: Graph) -> DataFrame:
+    """``(vid, component, degree)``; a loop or a repeated edge adds nothing to the degree that counts here."""
+    pairs = simplify(graph).select("src", "dst")
+    ends = pairs.select(F.col("src").alias("vid")).unionByName(pairs.select(F.col("dst").alias("vid")))
+    degree = ends.groupBy("vid").agg(F.count(F.lit(1)).alias("degree"))
+    return cut(connected_components(graph).join(degree, "vid", "left").na.fill(0, ["degree"]))
+
+
+def _search_components(links: Links, roots: DataFrame) -> DataFrame:
+    """``(vid, component, d)`` from one root ``(vid, component)`` a component, all at once."""
+    found = [cut(roots.select("vid", "component", F.lit(0).alias("d")))]
+    while not found[-1].isEmpty():
+        near = links.send(found[-1].select("vid", "component")).select(F.col("dst").alias("vid"), "component").distinct()
+        new = near.join(union_all([f.select("vid") for f in found[-2:]]), "vid", "left_anti")
+        found.append(cut(new.select("vid", "component", F.lit(len(found)).alias("d"))))
+    return union_all(found)
+
+
+def _eccentricities(links: Links, sources: list[int]) -> dict[int, int]:
+    """Largest finite distance from each of the ``sources``, at most ``64 * WORDS`` of them."""
+    spark = links.arcs.sparkSession
+    used = -(-len(sources) // 64)
+    rows = []
+    for i, vid in enumerate(sources):
+        bits = [0] * used
+        bits[i // 64] = 1 << (i % 64) if i % 64 < 63 else -(1 << 63)
+        rows.append((vid, *bits))
+    start = spark.createDataFrame(rows, ", ".join(["vid long", *[f"n{i} long" for i in range(used)]]))
+    out = {}
+    for hops, state in bit_search(links, start, used):
+        still = state.agg(*[F.bit_or(f"n{i}") for i in range(used)]).first()
+        for i, vid in enumerate(sources):
+            if still[i // 64] >> (i % 64) & 1:
+                out[vid] = hops
+    return out
+
+
+def exact_diameter(graph: Graph, words: int = WORDS) -> tuple[int, int]:
+    """Largest finite distance of the graph, direction ignored, and the number of vertices searched from.
+
+    Double sweep and fringe (Crescenzi et al. 2013, iFUB), in all components at once: two searches give each component a long
+    shortest path, a third starts in its middle. Vertices at level i of that one are at most 2 i apart, so they are searched from
+    outermost level first until the longest distance found is 2 (i - 1) or more. A component drops out when it cannot beat the best of any.
+    """
+    spark = graph.edges.sparkSession
+    if not graph.vertices.head(1):
+        return 0, 0
+    members = _members(graph)
+    links = walk_links(graph, "all")
+    try:
+        with shuffle_width(spark, links.n_arcs):
+            order = F.struct("degree", (-F.col("vid")).alias("less"))
+            roots = members.groupBy("component").agg(F.max_by("vid", order).alias("vid"))
+            farthest = lambda t: t.groupBy("component").agg(F.max_by("vid", F.struct("d", (-F.col("vid")).alias("less"))).alias("vid"), F.max("d").alias("d"))
+            one = cut(farthest(_search_components(links, roots)))
+            ahead = cut(_search_components(links, one.select("vid", "component")))
+            two = cut(farthest(ahead))
+            back = _search_components(links, two.select("vid", "component")).withColumnRenamed("d", "e")
+            middle = (
+                ahead.join(back, ["vid", "component"])
+                .join(two.select("component", F.col("d").alias("long")), "component")
+                .where("d + e = long and d = long div 2")
+                .groupBy("component")
+                .agg(F.min("vid").alias("vid"), F.max("long").alias("long"))
+            )
+            hubs = cut(middle)
+            levels_ = cut(_search_components(links, hubs.select("vid", "component")))
+            best = hubs.agg(F.max("long")).first()[0] or 0
+            searched = 0
+            at = levels_.agg(F.max("d")).first()[0] or 0
+            while at > 0 and best < 2 * at:
+                # a component whose own levels end further in has nothing here; one that could not beat the best has been passed by
+                fringe, last = levels_.where(F.col("d") == at), -1
+                while best < 2 * at:
+                    some = [r["vid"] for r in fringe.where(F.col("vid") > last).orderBy("vid").limit(64 * words).collect()]
+                    if not some:
+                        break
+                    searched, last = searched + len(some), some[-1]
+                    best = max(best, *_eccentricities(links, some).values())
+                at -= 1
+            return int(best), searched
+    finally:
+        links.release()
 
 
 def path_measures(histogram: DataFrame) -> DataFrame:
@@ -134,23 +293,62 @@ def neighbourhood_function(graph: Graph, mode: str = "out", precision: int = 12)
     return spark.createDataFrame(rows, "hops int, pairs long")  # one row per hop
 
 
+def effective_diameter(pairs: DataFrame, share: float = 0.9) -> float:
+    """Hops within which ``share`` of the reachable pairs lie, between whole hops by proportion; from a neighbourhood function."""
+    rows = sorted((r["hops"], r["pairs"]) for r in pairs.collect())  # one row per hop
+    if not rows:
+        return 0.0
+    goal = share * rows[-1][1]
+    before = (0, 0)
+    for hops, n in rows:
+        if n >= goal:
+            return float(hops) if hops == 0 or n == before[1] else before[0] + (goal - before[1]) / (n - before[1]) * (hops - before[0])
+        before = (hops, n)
+    return float(rows[-1][0])
+
+
+def sketch_closeness(graph: Graph, precision: int = 12) -> DataFrame:
+    """``(vid, reached, far, closeness)`` by sketches, direction ignored: estimates in one pass of the arcs a hop (HyperBall, Boldi and Vigna 2013).
+
+    A vertex's sketch of the vertices within t hops grows by those at t hops, so ``t`` times its growth adds up to the sum of distances.
+    The state is one sketch a vertex; the error of ``reached`` is that of the sketch, see :func:`neighbourhood_function`. Isolated → −1.
+    """
+    links = walk_links(graph, "all")
+    zero, one = (F.lit(n).cast("long") for n in (0, 1))
+    start = graph.vertices.groupBy("vid").agg(F.hll_sketch_agg(F.col("vid").cast("bigint"), precision).alias("seen"))
+    state = cut(start.select("vid", "seen", one.alias("size"), zero.alias("far")))
+    hops, total = 0, -1
+    try:
+        with shuffle_width(graph.edges.sparkSession, links.n_arcs):
+            while True:
+                now = state.agg(F.sum("size")).first()[0] or 0
+                if now <= total:
+                    break
+                total, hops = now, hops + 1
+                unknown = F.lit(None).cast("long")
+                heard = links.send(state.select("vid", "seen")).select(F.col("dst").alias("vid"), "seen", unknown.alias("size"), unknown.alias("far"))
+                met = heard.unionByName(state).groupBy("vid").agg(F.hll_union_agg("seen", True).alias("seen"), F.max("size").alias("size"), F.max("far").alias("far"))
+                grown = met.withColumn("now", F.greatest(F.hll_sketch_estimate("seen"), F.col("size")))
+                state = cut(grown.select("vid", "seen", F.col("now").alias("size"), (F.col("far") + hops * (F.col("now") - F.col("size"))).alias("far")))
+    finally:
+        links.release()
+    value = F.try_divide((F.col("size") - 1).cast("double"), F.col("far").cast("double"))
+    return state.select("vid", (F.col("size") - 1).alias("reached"), "far", F.coalesce(F.round(value, 5), F.lit(-1.0)).alias("closeness"))
+
+
 def closeness(graph: Graph, per_component: bool = True, **kw) -> DataFrame:
     """``(vid, closeness)`` ignoring direction: reached / total distance; isolated → −1.
 
-    With ``per_component=False`` unreachable vertices count as V hops away.
+    With ``per_component=False`` unreachable vertices count as V hops away. Distances are the same both ways, so what
+    reaches a vertex stands for what it reaches.
     """
-    sums = fold(
-        graph,
-        lambda b: b.groupBy("s").agg(F.sum("d").alias("far"), (F.count(F.lit(1)) - 1).alias("reached")),
-        mode="all",
-        **kw,
-    )
+    sums = all_hops(graph, mode="all", **kw)[1]
     if per_component:
         value = F.try_divide(F.col("reached"), F.col("far"))
     else:
         v = graph.vertices.count()
         value = F.try_divide(F.lit(v - 1), F.col("far") + (v - 1 - F.col("reached")) * F.lit(v))
-    return sums.select(F.col("s").alias("vid"), F.coalesce(F.round(value, 5), F.lit(-1.0)).alias("closeness"))
+    return sums.select("vid", F.coalesce(F.round(value, 5), F.lit(-1.0)).alias("closeness"))
 
 
 def shortest_path(graph: Graph, start: int, end: int, label: str = "name") -> DataFrame:

@@ -371,18 +371,47 @@ def _(spark, folder):
     return components.connected_components(fx.balance(spark, folder))
 
 
+HOP_SUMS = "sizes AS (SELECT d AS hops, sum(count(*)) OVER (ORDER BY d) AS pairs FROM hop GROUP BY d)"
+
+
 @query(
     "measure_neighbourhood_function",
-    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, sizes AS (SELECT DISTINCT d AS hops FROM hop)
-        SELECT hops::INTEGER AS hops, true AS close FROM sizes""",
+    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, {HOP_SUMS} SELECT hops::INTEGER AS hops, pairs::BIGINT AS pairs FROM sizes""",
 )
 def _(spark, folder):
-    """Per number of hops, whether the estimate lies within 5 % of the exact count."""
-    graph = fx.contact(spark, folder)
-    exact = traverse.hop_histogram(graph).unionByName(graph.vertices.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("d"), "n"))
-    guess = traverse.neighbourhood_function(graph)
-    sums = guess.join(exact, F.col("d") <= F.col("hops")).groupBy("hops", "pairs").agg(F.sum("n").alias("n"))  # a few hops
-    return sums.select("hops", (F.abs(F.col("pairs") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+    """Sketches of a few hundred vertices are exact; tests bound the error of larger ones."""
+    return traverse.neighbourhood_function(fx.contact(spark, folder))
+
+
+@query(
+    "measure_effective_diameter",
+    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, {HOP_SUMS}, steps AS (SELECT hops, pairs, lag(pairs, 1, 0) OVER (ORDER BY hops) AS less,
+        0.9::DOUBLE * max(pairs) OVER () AS goal FROM sizes)
+        SELECT round(CASE WHEN hops = 0 THEN 0 ELSE hops - 1 + (goal - less) / (pairs - less) END, 4) AS effective_diameter FROM steps
+        WHERE pairs >= goal AND (less < goal OR hops = 0)""",
+)
+def _(spark, folder):
+    found = traverse.effective_diameter(traverse.neighbourhood_function(fx.contact(spark, folder)))
+    return spark.createDataFrame([(round(found, 4),)], "effective_diameter double")
+
+
+@query(
+    "centrality_closeness_sketch",
+    f"""WITH RECURSIVE {fx.CONTACT_SQL}, {fx.BOTH}, {fx.hops()}, c AS (SELECT s AS vid, count(*) - 1 AS reached, sum(d)::BIGINT AS far FROM hop GROUP BY s)
+        SELECT vid, reached, far, CASE WHEN far = 0 THEN -1.0 ELSE round(reached / far, 5) END::DOUBLE AS closeness FROM c""",
+)
+def _(spark, folder):
+    return traverse.sketch_closeness(fx.contact(spark, folder))
+
+
+def _register_diameter(name: str, graph, sql: str) -> None:
+    @query(f"measure_diameter_{name}", f"WITH RECURSIVE {sql}, {fx.BOTH}, {fx.hops()} SELECT max(d)::BIGINT AS diameter FROM hop")
+    def _(spark, folder):
+        return spark.createDataFrame([(traverse.exact_diameter(graph(spark, folder))[0],)], "diameter long")
+
+
+_register_diameter("contact", fx.contact, fx.CONTACT_SQL)
+_register_diameter("balance", fx.balance, fx.BALANCE_SQL)
 
 
 # ---- paths --------------------------------------------------------------------------

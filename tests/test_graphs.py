@@ -150,3 +150,88 @@ def test_clique_search_is_deep_and_exact():
             most = max(k for k in range(1, n + 1) if any(all(b in near[a] for a, b in itertools.combinations(c, 2)) for c in itertools.combinations(range(n), k)))
             assert cliques.largest_clique([sum(1 << w for w in x) for x in near]) == most
     assert cliques.largest_clique([0, 0], floor=4) == 4
+
+
+def random_graph(spark, n, m, seed, directed=False):
+    draw = random.Random(seed)
+    pairs = [(draw.randrange(n), draw.randrange(n)) for _ in range(m)]
+    vertices = spark.createDataFrame([(i,) for i in range(n)], "name long")
+    return pairs, gb.build_graph(spark.createDataFrame(pairs, "s long, t long"), vertices, directed=directed)
+
+
+def plain_hops(pairs, n, both):
+    near = [set() for _ in range(n)]
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            if both:
+                near[b].add(a)
+    out = {}
+    for s in range(n):
+        d, at, last = {s: 0}, 0, {s}
+        while last:
+            at += 1
+            last = {w for v in last for w in near[v] if w not in d}
+            d.update(dict.fromkeys(last, at))
+        out[s] = d
+    return out
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_bits_against_plain_searches(spark, directed):
+    n = 150  # three words of bits, the last not full
+    pairs, graph = random_graph(spark, n, 190, 5, directed)
+    hops = plain_hops(pairs, n, not directed)
+    want = {}
+    for d in hops.values():
+        for x in d.values():
+            want[x] = want.get(x, 0) + 1
+    for kw in ({}, {"words": 1}):
+        found, sums = traverse.all_hops(graph, **kw)
+        assert dict(found) == want
+        far = {v: [0, 0] for v in range(n)}
+        for s, d in hops.items():
+            for v, x in d.items():
+                far[v][0] += x
+                far[v][1] += v != s
+        assert {r["vid"]: [r["far"], r["reached"]] for r in sums.collect()} == far
+
+
+@pytest.mark.parametrize(("n", "m"), [(60, 55), (5, 0)])
+def test_fringe_diameter(spark, n, m):
+    pairs, graph = random_graph(spark, n, max(m, 1), n + m) if m else ([], gb.build_graph(spark.createDataFrame([], "s long, t long"), spark.createDataFrame([(i,) for i in range(n)], "name long")))
+    want = max(max(d.values()) for d in plain_hops(pairs, n, True).values())
+    assert traverse.exact_diameter(graph)[0] == want
+
+
+def test_fringe_diameter_searches_from_few(spark):
+    """A tree of 100,000 vertices: a handful of searches, where all pairs would take 100,000."""
+    n = 100_000
+    edges = spark.range(1, n).selectExpr("id AS s", "(id - 1) div 50 AS t")
+    found, searched = traverse.exact_diameter(gb.build_graph(edges, scan=True))
+    depth = lambda v: 0 if v == 0 else 1 + depth((v - 1) // 50)
+    assert found == 2 * depth(n - 1)
+    assert searched <= 64 * traverse.WORDS
+
+
+def test_sketches_stay_within_their_error(spark):
+    n = 1000
+    pairs, graph = random_graph(spark, n, 2500, 11)
+    exact = {r["vid"]: r["closeness"] for r in traverse.closeness(graph).collect()}
+    got = {r["vid"]: r for r in traverse.sketch_closeness(graph).collect()}
+    errors = [abs(got[v]["closeness"] - c) / c for v, c in exact.items() if c > 0]
+    assert got.keys() == exact.keys()
+    assert sorted(errors)[len(errors) * 95 // 100] < 0.06
+    assert all((got[v]["closeness"] == -1.0) == (c == -1.0) for v, c in exact.items())
+    true = 0
+    histogram = dict(traverse.all_hops(graph)[0])
+    for r in sorted(traverse.neighbourhood_function(graph).collect()):
+        true += histogram[r["hops"]]
+        assert abs(r["pairs"] - true) <= 0.05 * true
+
+
+def test_effective_diameter(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "hops int, pairs long")
+    assert traverse.effective_diameter(frame([(0, 10), (1, 50), (2, 100)])) == 1.8
+    assert traverse.effective_diameter(frame([(0, 10)])) == 0.0
+    assert traverse.effective_diameter(frame([])) == 0.0
