@@ -87,7 +87,7 @@ def _(spark, folder):
 @query("op5_source_mix")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    return mix_sources(docs).drop("text")
+    return mix_sources(docs, carry=["doc_id", "lang", "source"])
 
 
 @query("op3_weak_quality")

@@ -8,10 +8,12 @@ weight calls for, by a number that is a hash of its id, so a repeated run draws
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import HOT_KEYS, cut, words_of
+from netloom.llm.common import HOT_KEYS, cut
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without stated targets, shares are raised to this power and scaled to one, which lifts small groups.
@@ -24,6 +26,7 @@ MOST_SWEEPS = 200
 #: Tables of marginals and cells with up to this many rows are broadcast; beyond, joins are shuffled.
 BROADCAST_ROWS = 100_000
 UNKNOWN = "(none)"
+WORD = r"[^ \t-\r]+"
 
 #: Topics by the first rule that fits the text; rules are plain properties that SQL can state.
 TOPIC_RULES = (
@@ -103,33 +106,41 @@ def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return rated.withColumn("probability", F.least(F.lit(1.0), F.col("_rate") * scale)).drop("_rate")
 
 
-def uniform(seed: int) -> Column:
+def uniform(seed: int, doc_id: str | Column = "doc_id") -> Column:
     """A number in [0, 1) that follows from the id alone."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), doc_id), 11) / F.lit(float(1 << 53))
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, seed: int = 0, topic: Column | None = None
+    docs: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    budget: float = BUDGET,
+    seed: int = 0,
+    topic: Column | None = None,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` with ``topic``, ``n_words``, ``weight``, ``probability``, ``sampled`` and ``miss``.
+    """The ``carry`` columns of ``docs`` (all, if not given) with ``topic``, ``n_words``, ``weight``, ``probability``, ``sampled`` and ``miss``.
 
     Tokens are words. ``targets`` gives tables (value, share) by dimension; a dimension without one gets ``tempered``
     shares. ``weight`` is the raked share of the document's cell, and ``miss`` the factor by which the worst
     marginal is still off. ``sampled`` is decided by a hash of the id: rows of equal id in one cell share their
     fate. A null source or language is the value ``(none)``. Texts without words weigh nothing, so they
     count for no target, and are drawn with their cell's probability. An empty table gives no rows.
-    Columns of the input that bear a name given out here are replaced.
+    Columns of the input that bear a name given out here, in letters of either case, are replaced; all other names may clash.
+
+    What is asked of a text is worked out once; the carried columns are written down with it.
     """
     given = ("topic", "n_words", "weight", "probability", "sampled", "miss")
-    rows = docs.select(*[c for c in docs.columns if c not in given])
-    rows = rows.withColumns({"topic": topic_of("text") if topic is None else topic, "n_words": F.size(words_of("text")).cast("long")})
-    keyed = rows.withColumns({f"_{d}": F.coalesce(F.col(d), F.lit(UNKNOWN)) for d in DIMENSIONS})
-    counted = keyed.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("n_words").alias("tokens"), F.count("*").alias("n"))
-    cells = cut(counted)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns if c.lower() not in given])
+    values = [F.coalesce(F.col(d), F.lit(UNKNOWN)).alias(d) for d in DIMENSIONS if d != "topic"]
+    n_words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("n_words")
+    chosen = (topic_of("text") if topic is None else topic).alias("topic")
+    keyed = cut(docs.select(row.alias("row"), F.col("doc_id").alias("id"), *values, chosen, n_words))
+    cells = cut(keyed.groupBy(*DIMENSIONS).agg(F.sum("n_words").alias("tokens"), F.count("*").alias("n")))
     targets = {d: (targets or {}).get(d) if (targets or {}).get(d) is not None else tempered(cells, d) for d in DIMENSIONS}
     raked, off = rake(cells, targets)
-    rated = cut(probabilities(raked, budget).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "n", "weight", "probability"))
-    keys = [f"_{d}" for d in DIMENSIONS]
+    rated = cut(probabilities(raked, budget).select(*DIMENSIONS, "n", "weight", "probability"))
+    keys = list(DIMENSIONS)
     if rated.count() <= BROADCAST_ROWS:
         placed = keyed.join(F.broadcast(rated.drop("n")), keys)
     else:
@@ -138,4 +149,5 @@ def mix_sources(
         hot = F.broadcast(rated.where(F.col("n") * HOT_KEYS >= total).drop("n"))
         cold = rated.where(F.col("n") * HOT_KEYS < total).drop("n")
         placed = keyed.join(hot, keys).unionByName(keyed.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
-    return placed.drop(*keys).withColumns({"sampled": uniform(seed) < F.col("probability"), "miss": F.lit(off)})
+    sampled = (uniform(seed, F.col("id")) < F.col("probability")).alias("sampled")
+    return placed.select("row.*", "topic", "n_words", "weight", "probability", sampled, F.lit(off).alias("miss"))

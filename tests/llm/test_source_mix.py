@@ -78,3 +78,15 @@ def test_awkward_rows(spark):
     got = sm.mix_sources(documents(spark).withColumnRenamed("n_chars", "weight"))
     assert got.count() == len(rows()) and got.where("probability is null or sampled is null").count() == 0
     assert sm.mix_sources(nothing(spark)).count() == 0
+
+
+def test_clashing_names_are_carried(spark):
+    """Names of the inside stay as they are, names given out are replaced whatever their case."""
+    docs = spark.createDataFrame(
+        [(i, f"words {i} " * (i + 1), "en", "s", i, f"x{i}", -1.0) for i in range(6)], "doc_id long, text string, lang string, source string, _topic long, row string, Weight double"
+    )
+    found = sm.mix_sources(docs)
+    assert found.columns == ["doc_id", "text", "lang", "source", "_topic", "row", "topic", "n_words", "weight", "probability", "sampled", "miss"]
+    assert sorted(tuple(r)[:6] for r in found.collect()) == sorted(tuple(r)[:6] for r in docs.collect())
+    assert {r["n_words"] for r in found.collect()} == {2 * (i + 1) for i in range(6)}
+    assert sm.mix_sources(docs, carry=["row"]).columns == ["row", "topic", "n_words", "weight", "probability", "sampled", "miss"]
