@@ -37,6 +37,8 @@ LEVELS = 4
 MISS = 1e-9
 #: Nodes of up to this many sets are compared exhaustively.
 LEAF = 32
+#: Larger nodes of the last level are compared in blocks of about this many sets.
+NODE_ROWS = 512
 SKETCH = 128
 #: Equal sketch bytes a candidate must have. At similarity 0.8 at least 102 of 128 are expected, and fewer
 #: than 70 have a chance of about 1e-11.
@@ -159,6 +161,42 @@ def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     return cut(alike.mapInArrow(_likely, "a long, b long, equal int"))
 
 
+def _block_pairs(similarity: int):
+    def run(table: pa.Table) -> pa.Table:
+        rep, comp, n, block, i, j = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block", "i", "j"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+        found = []
+        for start in range(0, len(left), 64):
+            some = left[start : start + 64, None]
+            open_ = (comp[some] != comp[right]) & (100 * np.minimum(n[some], n[right]) >= similarity * np.maximum(n[some], n[right]))
+            if i[0] == j[0]:
+                open_ &= rep[some] < rep[right]
+            x, y = np.nonzero(open_)
+            a, b = some[x, 0], right[y]
+            equal = (sketch[a] == sketch[b]).sum(axis=1, dtype=np.int32)
+            likely = equal >= SKETCH_FLOOR
+            found.append((rep[a[likely]], rep[b[likely]], equal[likely]))
+        a, b, equal = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(equal, pa.int32())], names=["a", "b", "equal"])
+
+    return run
+
+
+def likely_in_large(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """``(a, b, equal)`` as :func:`likely_pairs`, for all pairs of two components in the nodes of ``members`` (node, n, rep, comp).
+
+    A node's sketches meet block against block, so a member travels once for each block of its node and only likely pairs become rows.
+    """
+    blocks = F.ceil(F.col("n") / NODE_ROWS)
+    placed = members.join(sets.select("rep", "sketch", "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    rows = placed.select("node", F.explode(met).alias("m"), "block", "rep", "comp", "n_shingles", "sketch").select(
+        "node", "m.i", "m.j", "block", "rep", "comp", "n_shingles", "sketch"
+    )
+    return rows.groupBy("node", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long, equal int")
+
+
 def _confirmed(size: int, similarity: int):
     def run(batches):
         last, held = None, None
@@ -294,10 +332,13 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
             break
         placed = cut(spread_join(placed.drop("n"), mixed, "node", "n"))
         last = level + 1 == LEVELS
-        few = placed.select("node", "rep", "comp") if last else placed.where(F.col("n") <= LEAF).select("node", "rep", "comp")
+        few = placed.where(F.col("n") <= LEAF).select("node", "rep", "comp")
         other = few.toDF("node", "b", "cb")
         pairs = few.toDF("node", "a", "ca").join(other, "node").where("a < b and ca <> cb").select("a", "b").distinct()
         likely = likely_pairs(untested(pairs), reps, similarity)
+        if last:  # what never got small is compared whole
+            rest = cut(likely_in_large(placed.where(F.col("n") > LEAF), reps, similarity))
+            likely = cut(likely.select("a", "b").unionByName(untested(rest.select("a", "b"))).distinct())
         if not likely.isEmpty():
             comps = merge(comps, confirm(likely, sets, size, similarity))
             tested.append(likely.select("a", "b"))

@@ -132,3 +132,40 @@ def test_near_dedup_finds_a_pair_at_the_threshold_behind_a_frequent_passage(spar
 def test_near_dedup_plants_enough_trees_at_every_level(level):
     assert (1 - 0.8 ** (level + 1)) ** nd.trees_at(level, 80) <= 1e-9
     assert nd.trees_at(level, 100) == nd.TREES
+
+
+def test_large_nodes_meet_in_blocks(spark, monkeypatch):
+    """Every pair of two components with alike sketches and sizes comes out once, whatever the blocks."""
+    import numpy as np
+    import pyarrow as pa
+
+    from netloom.llm import near_dedup as nd
+
+    draw = np.random.default_rng(2)
+    base = draw.integers(0, 256, (6, nd.SKETCH), dtype=np.uint8)
+    rows = []
+    for rep in range(90):
+        sketch = base[rep % 6].copy()
+        sketch[draw.integers(0, nd.SKETCH, rep % 70)] ^= 1
+        rows.append((rep, rep // 4 * 4, 100 + rep % 40, sketch.tobytes()))
+    want = set()
+    for a, ca, na, sa in rows:
+        for b, cb, nb, sb in rows:
+            equal = sum(x == y for x, y in zip(sa, sb, strict=True))
+            if a < b and ca != cb and 100 * min(na, nb) >= 80 * max(na, nb) and equal >= nd.SKETCH_FLOOR:
+                want.add((a, b, equal))
+    assert len(want) > 50
+    for blocks in (1, 3):
+        found = []
+        for i in range(blocks):
+            for j in range(i, blocks):
+                part = [(*r, r[0] % blocks) for r in rows if r[0] % blocks in (i, j)]
+                columns = list(zip(*part, strict=True))
+                names = ["rep", "comp", "n_shingles", "sketch", "block"]
+                table = pa.table({**dict(zip(names, map(list, columns), strict=True)), "i": [i] * len(part), "j": [j] * len(part)})
+                out = nd._block_pairs(80)(table)
+                found += list(zip(*(out[c].to_pylist() for c in ("a", "b", "equal")), strict=True))
+        assert len(found) == len(set(found)) and set(found) == want
+    sets = spark.createDataFrame([(r, k, n) for r, _, n, k in rows], "rep long, sketch binary, n_shingles long")
+    members = spark.createDataFrame([(7, 2000, r, c) for r, c, _, _ in rows], "node long, n long, rep long, comp long")
+    assert {tuple(r) for r in nd.likely_in_large(members, sets, 80).collect()} == want
