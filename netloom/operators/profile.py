@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,18 @@ def column_counts(df: DataFrame, columns: Sequence[str] | None = None, approxima
     return counted.withColumn("distinct_share", F.try_divide(F.col("n_distinct"), F.col("present")))
 
 
+MOMENTS = ("n", "mean", "std", "variance", "min", "max", "total", "zeros", "negatives", "g1", "g2")
+
+
+def _moments(value: Column, i: int) -> list[Column]:
+    """All moments of one column as aggregates of one pass over the table."""
+    found = (
+        F.count(value), F.avg(value), F.stddev_samp(value), F.var_samp(value), F.min(value), F.max(value), F.sum(value), F.count_if(value == 0),
+        F.count_if(value < 0), F.skewness(value), F.kurtosis(value),
+    )
+    return [column.alias(f"{name}_{i}") for name, column in zip(MOMENTS, found, strict=True)]
+
+
 def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Moments, extremes, zero and negative counts per numeric column, in two scans.
 
@@ -66,20 +78,12 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     absolute deviation from the median.
     """
     columns = list(columns or numeric_columns(df))
-    cells = melt(df, columns, "double").where("value is not null")
-    moments = cells.groupBy("column").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.var_samp("value").alias("variance"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.sum("value").alias("total"),
-        F.count_if(F.col("value") == 0).alias("zeros"),
-        F.count_if(F.col("value") < 0).alias("negatives"),
-        F.skewness("value").alias("g1"),
-        F.kurtosis("value").alias("g2"),
-    )
+    if not columns:
+        raise ValueError("a numeric summary needs a numeric column")
+    wide = [_moments(F.col(f"`{c}`").cast("double"), i) for i, c in enumerate(columns)]
+    once = df.agg(*[m for each in wide for m in each])
+    named = [F.struct(F.lit(c).alias("column"), *[F.col(f"{name}_{i}").alias(name) for name in MOMENTS]) for i, c in enumerate(columns)]
+    moments = once.select(F.inline(F.array(*named))).where("n > 0")
     n = F.col("n").cast("double")
     medians = exact_quantiles(df, columns, [0.5])
     centre = {r["column"]: r["quantile"] for r in medians.collect()}  # one row per column

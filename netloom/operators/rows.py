@@ -28,11 +28,19 @@ def rows_behind(data: DataFrame, kept: DataFrame, row_id: str = ROW_ID) -> DataF
 
 
 def query(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Any ``SELECT`` over the named tables; views exist only while the text is analysed."""
+    """Any ``SELECT`` over the named tables; views exist only while the text is analysed.
+
+    A temporary view of the caller that bears one of the names is there again afterwards.
+    """
+    own = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    hidden = {name: spark.table(name) for name in tables if name in own}
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
     try:
         return spark.sql(backtick_brackets(text.strip().rstrip(";")))
     finally:
         for name in tables:
-            spark.catalog.dropTempView(name)
+            if name in hidden:
+                hidden[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)

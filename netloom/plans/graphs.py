@@ -251,14 +251,14 @@ def _(spark, folder):
     return cliques.core_numbers(fx.contact(spark, folder))
 
 
-@query(
-    "summary_record",
-    f"""WITH RECURSIVE {fx.BALANCE_SQL}, {SIZE_SQL}, {TRIANGLES_SQL}, {fx.BOTH}, {fx.hops()},
+RECORD_SQL = f"""WITH RECURSIVE {fx.BALANCE_SQL}, {SIZE_SQL}, {TRIANGLES_SQL}, {fx.BOTH}, {fx.hops()},
         p AS (SELECT max(d) AS diameter, round(avg(d) FILTER (d > 0), 4) AS avg_path FROM hop)
         SELECT false AS directed, {SIZE_COLS}, round(2.0 * edges / (vertices * (vertices - 1.0)), 4) AS density,
         round(3.0 * triangles / triples, 4) AS clustering, diameter, avg_path, ({WINDOW_CLIQUE})::BIGINT AS clique_number
-        FROM size, tri, trip, p""",
-)
+        FROM size, tri, trip, p"""
+
+
+@query("summary_record", RECORD_SQL)
 def _(spark, folder):
     return summary.summarize(fx.balance(spark, folder))
 
@@ -579,12 +579,11 @@ def _(spark, folder):
     return lines.where("element <> ''").groupBy("element").agg(F.count_if(key.rlike("^n[0-9]+$")).alias("n"))
 
 
-@query(
-    "export_summary_json",
-    f"""WITH {fx.BALANCE_SQL}, {SIZE_SQL} SELECT vertices, edges, avg_degree, max_degree, ({WINDOW_CLIQUE})::BIGINT AS clique_number FROM size""",
-)
+@query("export_summary_json", RECORD_SQL)
 def _(spark, folder):
     record = summary.summary_json(fx.balance(spark, folder))
-    return record.select(
-        F.from_json("record", "vertices long, edges long, avg_degree double, max_degree long, clique_number long").alias("r")
-    ).select("r.*")
+    fields = (
+        "directed boolean, vertices long, edges long, avg_degree double, max_degree long, density double, clustering double, diameter long, "
+        "avg_path double, clique_number long"
+    )
+    return record.select(F.from_json("record", fields).alias("r")).select("r.*")

@@ -10,16 +10,15 @@ from netloom.operators import clean as cl
 from netloom.operators import profile as pr
 from netloom.operators import rows as sq
 from netloom.plans.registry import query, table
-from netloom.runtime import scratch_path
+from netloom.runtime import scratch_path, setting
 from netloom.sources import tables as io
 
 
 def _as_csv(spark: SparkSession, folder: str, name: str, encoding: str = "utf-8") -> str:
     path = scratch_path(spark, f"{name}.csv")
     df = table(spark, folder, name)
-    if encoding != "utf-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
+    with setting(spark, io.JAVA_CHARSETS, "true"):
+        df.write.option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
     return path
 
 

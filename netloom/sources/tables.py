@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.names import ROW_ID, clean_names, tagged_name
+from netloom.runtime import cut, setting
 
 # Texts that mean "missing" in a delimited file.
 MISSING_TEXTS = (
@@ -15,27 +16,32 @@ MISSING_TEXTS = (
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
 DECIMAL_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 BOOLEAN_TEXT = r"^(True|False|TRUE|FALSE|true|false)$"
+JAVA_CHARSETS = "spark.sql.legacy.javaCharsets"
 STANDARD_ENCODINGS = {"utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 
 
 def read_delimited(
     spark: SparkSession, path: str, encoding: str = "utf-8", sep: str = ",", multi_line: bool = False
 ) -> DataFrame:
-    """Read a ``.csv``/``.txt`` table with a header row; types are settled over all rows."""
+    """Read a ``.csv``/``.txt`` table with a header row; types are settled over all rows.
+
+    An encoding outside the standard ones (GBK, say) needs a session setting, so its texts are written down while that is in force.
+    """
     if not path.lower().rstrip("/").endswith((".csv", ".txt")):
         raise ValueError(f"only .csv and .txt tables are read: {path}")
     encoding = {"ascii": "us-ascii", "utf8": "utf-8"}.get(encoding.lower(), encoding.lower())
-    if encoding not in STANDARD_ENCODINGS:  # e.g. GBK
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .csv(path)
     )
+    if encoding in STANDARD_ENCODINGS:
+        return settle_types(reader.csv(path))
+    with setting(spark, JAVA_CHARSETS, "true"):
+        raw = cut(reader.csv(path))
     return settle_types(raw)
 
 

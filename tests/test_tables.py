@@ -5,6 +5,7 @@ import pytest
 from netloom.functions.names import backtick_brackets, clean_name, straight_quotes
 from netloom.functions.quantiles import exact_quantiles
 from netloom.operators import clean as cl
+from netloom.operators import rows
 from netloom.runtime import dense_index
 from netloom.sources import tables as io
 
@@ -123,3 +124,21 @@ def test_elapsed_time_ignores_clock_changes(spark):
 def test_one_hot_as_rows(spark):
     df = spark.createDataFrame([(0, "a"), (1, None), (2, "b")], "row_id long, c string")
     assert sorted(tuple(r) for r in cl.one_hot_long(df, ["c"]).collect()) == [(0, "c", "a"), (2, "c", "b")]
+
+
+def test_sql_leaves_the_callers_views(spark):
+    spark.range(3).createOrReplaceTempView("data")
+    out = rows.query(spark, "select count(*) AS n from data", {"data": spark.range(7)})
+    assert out.first()["n"] == 7
+    assert spark.table("data").count() == 3
+    spark.catalog.dropTempView("data")
+    rows.query(spark, "select * from data", {"data": spark.range(7)})
+    assert "data" not in {t.name for t in spark.catalog.listTables()}
+
+
+def test_foreign_encoding_leaves_no_setting(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes("名,n\n漢字,1\n".encode("gbk"))
+    before = spark.conf.get(io.JAVA_CHARSETS)
+    table = io.read_delimited(spark, str(tmp_path / "t.csv"), "GBK")
+    assert spark.conf.get(io.JAVA_CHARSETS) == before
+    assert [tuple(r) for r in table.collect()] == [("漢字", 1)]
