@@ -61,17 +61,17 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
 
     One narrow pass: no shuffle, no join; the ratios travel as a constant. Null and empty texts
     have no words, fail the base rule and score null. Columns of the input that bear a name given
-    out here are replaced. Repeated rows are judged one by one, alike.
+    out here, in letters of either case, are replaced; all other names may clash. Repeated rows are judged one by one, alike.
     """
     buckets = len(ratios)
     ratio = F.lit(",".join(map(str, ratios)))
     ratio = F.split(ratio, ",").cast("array<bigint>")
-    own = [c for c in docs.columns if c not in OUTPUT]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OUTPUT]).alias("_given")
     text = F.coalesce(F.col("text"), F.lit(""))
-    at_words = docs.select(*own, text.alias("_text"), words_of("text").alias("_w"))
+    at_words = docs.select(own, text.alias("_text"), words_of("text").alias("_w"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     counted = at_words.select(
-        *own,
+        "_given",
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -80,7 +80,7 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
     )
     places = lambda size: F.expr(f"if(n_words >= {size}, sequence(0, cast(n_words as int) - {size}), array())")
     windows = counted.select(
-        *own,
+        "_given",
         "n_words", "word_chars", "n_symbols", "_h",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform(places(3), lambda i: F.xxhash64(F.get("_h", i), F.get("_h", i + 1), F.get("_h", i + 2))).alias("_g"),
@@ -106,7 +106,7 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
     )
     n_grams = F.col("n_words") * 2 - 1
     judged = ordered.select(
-        *own,
+        "_given",
         "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         F.when(F.col("n_words") > 0, (F.col("_one") + F.col("_two")) / n_grams / UNIT).alias("score"),
@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, ratios: list[int], threshold: float = THRESHO
     return (
         judged.withColumn("base_failed", failed & F.col("_here"))
         .withColumn("kept", ~F.col("base_failed") & F.col("_fits") & F.col("_here"))
-        .drop("_fits", "_here")
+        .select("_given.*", *OUTPUT)
     )
 
 

@@ -71,3 +71,11 @@ def test_labels_are_separated(spark):
     out = qr.quality_rules(docs, qr.fit_ratios(docs, qr.trusted_texts(docs, labels))).where("not base_failed").join(labels, "doc_id")
     shares = {r["quality"]: r["s"] for r in out.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
     assert shares[1] > 0.99 and shares[0] < 0.1
+
+
+def test_names_of_the_inside_may_clash(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", 2, 3.5, "old")], "doc_id long, text string, _w string, _h long, _given double, N_Words string")
+    found = qr.quality_rules(docs, [0] * 16)
+    assert found.columns == ["doc_id", "text", "_w", "_h", "_given", *qr.OUTPUT]
+    assert tuple(found.first())[:6] == (1, text, "a", 2, 3.5, 60)
