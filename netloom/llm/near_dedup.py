@@ -11,14 +11,19 @@ trees at every level as keep the chance of a miss at ``MISS`` (``trees_at``: 16,
 
 Groups of near copies never get small by branching. Before pairs are formed, members of a node are held
 against one leader of the node and joined with it where they are similar; afterwards only pairs that
-are not yet in one component, and were not compared before, are formed. Candidates pass a sketch of 128 minwise bytes, and those
-left are confirmed on their full sets.
+are not yet in one component, and were not compared before, are formed. Candidates pass a sketch by one-permutation
+hashing, those of the last large nodes a finer one too, and the pairs left are confirmed on their full sets.
+
+The sketch keeps the smallest hash of each of ``SKETCH`` equal ranges of hash values. Of a pair, the ranges that either set
+reaches hold a sample, without replacement, of the union, and those with equal hashes are its members in both sets; so a pair at
+the threshold has too few equal ranges with a chance of ``exp(-DOUBT)`` at most, by the bounds of Hoeffding (1963) and Serfling (1974).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +44,18 @@ MISS = 1e-9
 LEAF = 32
 #: Larger nodes of the last level are compared in blocks of about this many sets.
 NODE_ROWS = 512
-SKETCH = 128
-#: Equal sketch bytes a candidate must have. At similarity 0.8 at least 102 of 128 are expected, and fewer
-#: than 70 have a chance of about 1e-11.
-SKETCH_FLOOR = 70
+#: Bytes of the sketch of every set, and of the finer one of members of large nodes of the last level.
+SKETCH = 256
+FINE = 2048
+#: A sketch rules out a pair at the threshold with a chance of exp(-DOUBT), 1e-11.
+DOUBT = 11 * math.log(10)
+#: Pairs whose fine sketches are compared at a time.
+PAIRS_AT_ONCE = 8192
 #: This many row numbers, 8 bytes each, may be broadcast; beyond that a shuffled join takes over.
 BROADCAST_ROWS = 500_000
-#: Hashes of shingles that are permuted at once, which bounds memory for long texts.
+#: Hashes that are permuted at once, which bounds memory for long texts.
 BLOCK = 32_768
 
-_ODD = np.random.default_rng(20_170_701).integers(0, 2**63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.random.default_rng(97).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,51 +88,97 @@ def trees_at(level: int, similarity: int) -> int:
     return max(TREES, math.ceil(math.log(MISS) / math.log(apart))) if apart else TREES
 
 
-def _minima(tokens: np.ndarray, orders: np.ndarray = _ODD) -> np.ndarray:
+@lru_cache(maxsize=8)
+def _orders(trees: int, levels: int) -> np.ndarray:
+    """Hash orders of a tree's levels, those of all ``trees`` for one level after another; an order is the same in any selection."""
+    made = [np.random.default_rng([20_170_701, level]).integers(0, 2**63, (trees, 2), dtype=np.uint64) for level in range(levels)]
+    return np.concatenate(made) * np.uint64(2) + np.uint64(1)
+
+
+def _minima(tokens: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """The smallest of the tokens under each of the hash orders."""
-    out = np.full(orders.shape[1], np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(tokens), BLOCK):
-        part = tokens[start : start + BLOCK]
-        for k in range(len(out)):
-            x = part * orders[0, k]
-            x ^= x >> np.uint64(32)
-            x *= orders[1, k]
-            out[k] = min(out[k], x.min())
+    out = np.full(len(orders), np.iinfo(np.uint64).max, np.uint64)
+    step = max(1, BLOCK // len(orders))
+    for start in range(0, len(tokens), step):
+        x = tokens[None, start : start + step] * orders[:, :1]
+        x ^= x >> np.uint64(32)
+        x *= orders[:, 1:]
+        np.minimum(out, x.min(axis=1), out=out)
     return out
 
 
-def _more_keys(size: int, trees: int):
-    orders = np.random.default_rng(20_180_423).integers(0, 2**63, ((trees - TREES) * LEVELS, 2), dtype=np.uint64).T * np.uint64(2) + np.uint64(1)
+def _sketch(tokens: np.ndarray, bins: int) -> bytes:
+    """A byte for each of ``bins`` ranges of hash values: of its smallest token, or zero where there is none."""
+    out = np.zeros(bins, np.uint8)
+    at = (tokens >> np.uint64(65 - bins.bit_length())).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))  # the tokens are sorted
+    out[at[first]] = tokens[first] % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+@lru_cache(maxsize=8)
+def _least_equal(bins: int, similarity: int) -> np.ndarray:
+    """For every number of ranges that a pair reaches, the equal ones below which Hoeffding's bound rules it out."""
+    s = similarity / 100
+    n, x = np.arange(1, bins + 1)[:, None], np.linspace(0, s, 1001)[None, :-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = np.where(x > 0, x * np.log(x / s), 0) + ((1 - x) * np.log((1 - x) / (1 - s)) if s < 1 else np.inf)
+    # the bound falls as x nears s; the last x that it rules out counts
+    return np.concatenate([[0], np.maximum((n * apart >= DOUBT).sum(axis=1) - 1, 0) / 1000 * s * n[:, 0]])
+
+
+def _not_ruled_out(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the sketches ``a`` and ``b`` (one row a pair) of sets of ``na`` and ``nb`` tokens allow the similarity, and their equal bytes."""
+    s = similarity / 100
+    reached = ((a | b) != 0).sum(axis=1, dtype=np.int64)
+    equal = ((a == b) & (a != 0)).sum(axis=1, dtype=np.int64)
+    unseen = 1 - np.maximum(reached - 1, 0) / np.maximum((na + nb) / (1 + s), reached)
+    least = np.maximum(_least_equal(a.shape[1], similarity)[reached], reached * s - np.sqrt(DOUBT / 2 * reached * unseen))
+    return equal >= np.floor(least - 1e-6), equal
 
+
+def _more_keys(size: int, trees: int, levels: int):
     def run(batches):
+        orders = _orders(trees, levels)
         for batch in batches:
-            keys = [
-                held + (_minima(shingle_set(text, size), orders) >> np.uint64(1)).astype(np.int64).tolist()
-                for text, held in zip(batch.column("text").to_pylist(), batch.column("keys").to_pylist(), strict=True)
-            ]
+            keys = [(_minima(shingle_set(text, size), orders) >> np.uint64(1)).astype(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
 
     return run
 
 
-def more_keys(crowd: DataFrame, sets: DataFrame, size: int, trees: int) -> DataFrame:
-    """``(rep, keys)``: the tokens that the reps of ``crowd`` select in ``trees`` trees, those of the profile first."""
-    wanted = F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd
-    texts = sets.select(F.col("_row").alias("rep"), "text", "keys").join(wanted, "rep", "left_semi")
-    return cut(texts.mapInArrow(_more_keys(size, trees), "rep long, keys array<long>"))
+def _texts(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(rep, text)`` of the reps in ``wanted``, a written table."""
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return sets.select(F.col("_row").alias("rep"), "text").join(wanted, "rep", "left_semi")
+
+
+def more_keys(crowd: DataFrame, sets: DataFrame, size: int, trees: int, levels: int) -> DataFrame:
+    """``(rep, keys)``: the tokens that the reps of ``crowd`` select in ``trees`` trees, those of one level after another."""
+    return cut(_texts(crowd, sets).mapInArrow(_more_keys(size, trees, levels), "rep long, keys array<long>"))
+
+
+def _fine(size: int):
+    def run(batches):
+        for batch in batches:
+            found = [_sketch(shingle_set(text, size), FINE) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(found, pa.binary())], names=["rep", "fine"])
+
+    return run
 
 
 def _profile(size: int):
     def run(batches):
+        orders = _orders(TREES, 1)
         for batch in batches:
             sizes, digests, keys, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = shingle_set(text, size)
                 sizes.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
-                low = _minima(tokens)
-                keys.append((low[: TREES * LEVELS] >> np.uint64(1)).astype(np.int64))
-                sketches.append((low >> np.uint64(20)).astype(np.uint8).tobytes())
+                keys.append((_minima(tokens, orders) >> np.uint64(1)).astype(np.int64))
+                sketches.append(_sketch(tokens, SKETCH))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_row"), batch.column("doc_id"), batch.column("text"),
@@ -139,62 +192,72 @@ def _profile(size: int):
 
 
 def profile(rows: DataFrame, size: int) -> DataFrame:
-    """Written once: every row (_row, doc_id, text) with its set's size and digest, the tokens it selects, and its sketch."""
+    """Written once: every row (_row, doc_id, text) with its set's size and digest, the tokens it selects first, and its sketch."""
     schema = "_row long, doc_id long, text string, n_shingles long, digest binary, keys array<long>, sketch binary"
     return cut(rows.mapInArrow(_profile(size), schema))
 
 
-def _likely(batches):
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sa", "sb"))
-        equal = (a == b).sum(axis=1, dtype=np.int32)
-        yield batch.select(["a", "b"]).append_column("equal", pa.array(equal, pa.int32())).filter(pa.array(equal >= SKETCH_FLOOR))
+def _bytes_of(column, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _likely(similarity: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            a, b = (_bytes_of(batch.column(c), SKETCH) for c in ("sa", "sb"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            fits, equal = _not_ruled_out(a, b, na, nb, similarity)
+            yield batch.select(["a", "b"]).append_column("equal", pa.array(equal, pa.int32())).filter(pa.array(fits))
+
+    return run
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """``(a, b, equal)``: the pairs that neither the sizes of their sets nor their sketches rule out."""
     sketches = sets.select("rep", "sketch", "n_shingles")
     both = pairs.join(sketches.toDF("a", "sa", "na"), "a").join(sketches.toDF("b", "sb", "nb"), "b")
-    alike = both.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-    return cut(alike.mapInArrow(_likely, "a long, b long, equal int"))
+    alike = both.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "sa", "sb", "na", "nb")
+    return cut(alike.mapInArrow(_likely(similarity), "a long, b long, equal int"))
 
 
 def _block_pairs(similarity: int):
     def run(table: pa.Table) -> pa.Table:
         rep, comp, n, block, i, j = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block", "i", "j"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
+        sketch, fine = _bytes_of(table["sketch"], SKETCH), _bytes_of(table["fine"], FINE)
         left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
-        found = []
-        for start in range(0, len(left), 64):
-            some = left[start : start + 64, None]
+        found = [np.empty((2, 0), np.int64)]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(right)))
+        for start in range(0, len(left), step):
+            some = left[start : start + step, None]
             open_ = (comp[some] != comp[right]) & (100 * np.minimum(n[some], n[right]) >= similarity * np.maximum(n[some], n[right]))
             if i[0] == j[0]:
                 open_ &= rep[some] < rep[right]
             x, y = np.nonzero(open_)
             a, b = some[x, 0], right[y]
-            equal = (sketch[a] == sketch[b]).sum(axis=1, dtype=np.int32)
-            likely = equal >= SKETCH_FLOOR
-            found.append((rep[a[likely]], rep[b[likely]], equal[likely]))
-        a, b, equal = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(equal, pa.int32())], names=["a", "b", "equal"])
+            for kind in (sketch, fine):
+                fits, _ = _not_ruled_out(kind[a], kind[b], n[a], n[b], similarity)
+                a, b = a[fits], b[fits]
+            found.append(np.stack([rep[a], rep[b]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
     return run
 
 
-def likely_in_large(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """``(a, b, equal)`` as :func:`likely_pairs`, for all pairs of two components in the nodes of ``members`` (node, n, rep, comp).
+def likely_in_large(members: DataFrame, reps: DataFrame, fine: DataFrame, similarity: int) -> DataFrame:
+    """``(a, b)`` as :func:`likely_pairs`, for all pairs of two components in the nodes of ``members`` (node, n, rep, comp).
 
     A node's sketches meet block against block, so a member travels once for each block of its node and only likely pairs become rows.
     """
     blocks = F.ceil(F.col("n") / NODE_ROWS)
-    placed = members.join(sets.select("rep", "sketch", "n_shingles"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
+    placed = members.join(reps.select("rep", "sketch", "n_shingles"), "rep").join(fine, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks))
     met = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
-    rows = placed.select("node", F.explode(met).alias("m"), "block", "rep", "comp", "n_shingles", "sketch").select(
-        "node", "m.i", "m.j", "block", "rep", "comp", "n_shingles", "sketch"
+    rows = placed.select("node", F.explode(met).alias("m"), "block", "rep", "comp", "n_shingles", "sketch", "fine").select(
+        "node", "m.i", "m.j", "block", "rep", "comp", "n_shingles", "sketch", "fine"
     )
-    return rows.groupBy("node", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long, equal int")
+    return rows.groupBy("node", "i", "j").applyInArrow(_block_pairs(similarity), "a long, b long")
 
 
 def _confirmed(size: int, similarity: int):
@@ -215,10 +278,7 @@ def _confirmed(size: int, similarity: int):
 
 def confirm(pairs: DataFrame, sets: DataFrame, size: int, similarity: int) -> DataFrame:
     """``(a, b)``: the pairs of a written table that are similar on their full sets."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = sets.select(F.col("_row").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = _texts(cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), sets)
     both = pairs.select("a", "b").join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a")
     return cut(both.mapInArrow(_confirmed(size, similarity), "a long, b long"))
 
@@ -270,16 +330,16 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
     reps = cut(sets.join(first.select(F.col("rep").alias("_row")), "_row").select(F.col("_row").alias("rep"), "keys", "sketch", "n_shingles"))
     comps = cut(reps.select("rep", F.col("rep").alias("comp")))
 
-    def branch(members: DataFrame, level: int) -> DataFrame:
+    def branch(members: DataFrame, level: int, trees: int) -> DataFrame:
         """Children of the nodes in ``members`` (tree, node, rep, keys) by the tokens selected at ``level``."""
-        token = F.get("keys", F.col("tree") * LEVELS + level)
+        token = F.get("keys", F.col("tree") + level * trees)
         return members.select("tree", F.xxhash64("node", "tree", token).alias("node"), "rep", "keys")
 
     def planted(rows: DataFrame, start: int, end: int, level: int) -> DataFrame:
-        """The nodes of ``level`` in which ``rows`` (rep, keys) stand in the trees from ``start`` up to ``end``."""
+        """The nodes of ``level`` in which ``rows`` (rep, keys of ``end`` trees) stand in the trees from ``start`` on."""
         out = rows.withColumn("tree", F.explode(F.sequence(F.lit(start), F.lit(end - 1)))).withColumn("node", F.lit(0).cast("long"))
         for above in range(level + 1):
-            out = branch(out, above)
+            out = branch(out, above, end)
         return out
 
     tested: list[DataFrame] = []
@@ -291,18 +351,18 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
             ends = ends.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
         return ends
 
-    keyed, n_keyed, n_trees = reps.select("rep", "keys"), TREES, TREES
-    crowd = reps.select("rep")
-    members = planted(keyed, 0, TREES, 0)
+    n_trees = TREES
+    members = planted(reps.select("rep", "keys"), 0, TREES, 0)
     for level in range(LEVELS):
-        needed = trees_at(level, similarity)
-        if needed > n_trees:
+        if level:
             # whatever pair is still open lies in the crowd; its deeper nodes are shared more rarely
-            if needed > n_keyed:
-                n_keyed = trees_at(LEVELS - 1, similarity)
-                keyed = more_keys(crowd, sets, size, n_keyed)
-            members = members.unionByName(planted(keyed.join(crowd, "rep", "left_semi"), n_trees, needed, level))
-            n_trees = needed
+            crowd = cut(large.select("rep").distinct())
+            needed = max(n_trees, trees_at(level, similarity))
+            keyed = more_keys(crowd, sets, size, needed, level + 1)
+            members = branch(large.select("tree", "node", "rep").join(keyed, "rep"), level, needed)
+            if needed > n_trees:
+                members = members.unionByName(planted(keyed, n_trees, needed, level))
+                n_trees = needed
         # sets that share a child with no other are done
         members = cut(members.drop("keys"))
         counted = cut(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"))
@@ -337,7 +397,9 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
         pairs = few.toDF("node", "a", "ca").join(other, "node").where("a < b and ca <> cb").select("a", "b").distinct()
         likely = likely_pairs(untested(pairs), reps, similarity)
         if last:  # what never got small is compared whole
-            rest = cut(likely_in_large(placed.where(F.col("n") > LEAF), reps, similarity))
+            held = cut(placed.where(F.col("n") > LEAF))
+            fine = cut(_texts(cut(held.select("rep").distinct()), sets).mapInArrow(_fine(size), "rep long, fine binary"))
+            rest = cut(likely_in_large(held, reps, fine, similarity).distinct())
             likely = cut(likely.select("a", "b").unionByName(untested(rest.select("a", "b"))).distinct())
         if not likely.isEmpty():
             comps = merge(comps, confirm(likely, sets, size, similarity))
@@ -345,8 +407,6 @@ def near_classes(sets: DataFrame, size: int, similarity: int) -> DataFrame:
         large = placed.where(F.col("n") > LEAF)
         if last or not large.head(1):
             break
-        crowd = cut(large.select("rep").distinct())
-        members = branch(large.select("tree", "node", "rep").join(keyed, "rep"), level + 1)
     return comps
 
 

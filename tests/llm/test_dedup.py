@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import components, documents, lower, nothing, rows, shingles
@@ -121,11 +125,11 @@ def test_near_dedup_finds_a_pair_at_the_threshold_behind_a_frequent_passage(spar
     passage = " ".join(f"p{i}" for i in range(403))
     text = lambda n, tail: " ".join([passage, *(f"t{n}w{i}" for i in range(tail))])
     # 400 shingles of 500 in common; no tree of the first sixteen keeps these two together for four levels
-    texts = {n: text(n, 50) for n in (70, 226)}
+    texts = {n: text(n, 50) for n in (55, 258)}
     texts |= {n: text(n, 51) for n in range(1000, 1120)}  # 400 of 501 and 502: linked with nothing
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in nd.near_dedup(docs, 4).collect()}
-    assert got == {n: 70 if n == 226 else n for n in texts}
+    assert got == {n: 55 if n == 258 else n for n in texts}
 
 
 @pytest.mark.parametrize("level", range(nd.LEVELS))
@@ -134,38 +138,54 @@ def test_near_dedup_plants_enough_trees_at_every_level(level):
     assert nd.trees_at(level, 100) == nd.TREES
 
 
-def test_large_nodes_meet_in_blocks(spark, monkeypatch):
-    """Every pair of two components with alike sketches and sizes comes out once, whatever the blocks."""
-    import numpy as np
-    import pyarrow as pa
-
-    from netloom.llm import near_dedup as nd
-
+def test_sketches_keep_pairs_at_the_threshold():
+    """The least number of equal ranges is one that a sample with replacement falls short of with a chance of 1e-11 at most."""
+    for bins in (nd.SKETCH, nd.FINE):
+        for n in (1, 10, 60, 200, bins):
+            least = math.floor(nd._least_equal(bins, 80)[n])
+            below = sum(Fraction(math.comb(n, k)) * Fraction(4, 5) ** k * Fraction(1, 5) ** (n - k) for k in range(least))
+            assert below <= Fraction(1, 10**11)
+            assert n < 200 or least > 0.55 * n
+    whole = np.sort(np.random.default_rng(1).integers(0, 2**64, 400, dtype=np.uint64))
+    for bins in (nd.SKETCH, nd.FINE):
+        sketch = np.frombuffer(nd._sketch(whole, bins), np.uint8)
+        at = [int(x) * bins >> 64 for x in whole]
+        assert set(np.flatnonzero(sketch)) == set(at)
+        assert all(sketch[k] == min(int(x) for x, y in zip(whole, at, strict=True) if y == k) % 255 + 1 for k in set(at))
+
+
+def test_large_nodes_meet_in_blocks(spark):
+    """Every similar pair of two components comes out once, whatever the blocks, and no pair that is far from similar."""
     draw = np.random.default_rng(2)
-    base = draw.integers(0, 256, (6, nd.SKETCH), dtype=np.uint8)
-    rows = []
+    base = draw.integers(0, 2**64, (3, 250), dtype=np.uint64)
+    sets = []
     for rep in range(90):
-        sketch = base[rep % 6].copy()
-        sketch[draw.integers(0, nd.SKETCH, rep % 70)] ^= 1
-        rows.append((rep, rep // 4 * 4, 100 + rep % 40, sketch.tobytes()))
-    want = set()
-    for a, ca, na, sa in rows:
-        for b, cb, nb, sb in rows:
-            equal = sum(x == y for x, y in zip(sa, sb, strict=True))
-            if a < b and ca != cb and 100 * min(na, nb) >= 80 * max(na, nb) and equal >= nd.SKETCH_FLOOR:
-                want.add((a, b, equal))
-    assert len(want) > 50
+        new = draw.integers(0, 2**64, rep % 110, dtype=np.uint64)
+        sets.append(np.unique(np.concatenate([base[rep % 3][len(new) :], new])))
+    rows = [(rep, rep // 4 * 4, len(x), nd._sketch(x, nd.SKETCH), nd._sketch(x, nd.FINE)) for rep, x in enumerate(sets)]
+    alike = {}
+    for a, ca, *_ in rows:
+        for b, cb, *_ in rows:
+            if a < b and ca != cb:
+                alike[a, b] = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    want = {pair for pair, x in alike.items() if x >= 0.8}
+    assert len(want) > 50 and sum(0.65 <= x < 0.8 for x in alike.values()) > 50
+    names = ["rep", "comp", "n_shingles", "sketch", "fine", "block"]
+    seen = []
     for blocks in (1, 3):
         found = []
         for i in range(blocks):
             for j in range(i, blocks):
                 part = [(*r, r[0] % blocks) for r in rows if r[0] % blocks in (i, j)]
                 columns = list(zip(*part, strict=True))
-                names = ["rep", "comp", "n_shingles", "sketch", "block"]
                 table = pa.table({**dict(zip(names, map(list, columns), strict=True)), "i": [i] * len(part), "j": [j] * len(part)})
                 out = nd._block_pairs(80)(table)
-                found += list(zip(*(out[c].to_pylist() for c in ("a", "b", "equal")), strict=True))
-        assert len(found) == len(set(found)) and set(found) == want
-    sets = spark.createDataFrame([(r, k, n) for r, _, n, k in rows], "rep long, sketch binary, n_shingles long")
-    members = spark.createDataFrame([(7, 2000, r, c) for r, c, _, _ in rows], "node long, n long, rep long, comp long")
-    assert {tuple(r) for r in nd.likely_in_large(members, sets, 80).collect()} == want
+                found += list(zip(*(out[c].to_pylist() for c in ("a", "b")), strict=True))
+        assert len(found) == len(set(found)) and set(found) >= want
+        assert all(alike[pair] > 0.72 for pair in found)
+        seen.append(set(found))
+    assert seen[0] == seen[1]
+    reps = spark.createDataFrame([(r, k, n) for r, _, n, k, _ in rows], "rep long, sketch binary, n_shingles long")
+    fine = spark.createDataFrame([(r, k) for r, *_, k in rows], "rep long, fine binary")
+    members = spark.createDataFrame([(7, 2000, r, c) for r, c, *_ in rows], "node long, n long, rep long, comp long")
+    assert {tuple(r) for r in nd.likely_in_large(members, reps, fine, 80).collect()} == seen[0]
