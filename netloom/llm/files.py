@@ -6,9 +6,14 @@ succeeded reach the manifest, so files of lost or repeated attempts are never re
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
+
+#: Files that a task reads where there are more files than tasks at a time.
+FILES_A_TASK = 4
 
 
 def _place(url: str) -> tuple[fs.FileSystem, str]:
@@ -18,6 +23,12 @@ def _place(url: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(url)
 
 
+def dealt(files: DataFrame, n_files: int) -> DataFrame:
+    """The rows of a list of files over many tasks. Their number is given, as adaptive execution would put so few bytes into one task."""
+    at_once = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartitionByRange(max(1, min(n_files, at_once), math.ceil(n_files / FILES_A_TASK)), "file")
+
+
 def write_file(folder: str, suffix: str, data: bytes) -> str:
     """Write ``data`` as a new file of ``folder`` and return its name."""
     files, path = _place(folder)

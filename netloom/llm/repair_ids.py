@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from netloom.llm.common import cut, scratch_path
-from netloom.llm.files import read_file, write_file
+from netloom.llm.files import dealt, read_file, write_file
 from netloom.runtime import running_total
 
 MAGIC = b"RPAIR001"
@@ -250,7 +250,7 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                 columns = shard.doc_ids, starts, shard.sizes, checks
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition("file").mapInArrow(run, schema)
+    return dealt(shards, manifest.count()).mapInArrow(run, schema)
 
 
 def token_files(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import cut, scratch_path, spread_join
-from netloom.llm.files import read_file, write_file
+from netloom.llm.files import dealt, read_file, write_file
 
 REVISIT_FROM = 1000
-#: The dictionary is built from the first ``SAMPLE_BYTES`` of at most ``SAMPLE_PAGES`` pages, those whose ids hash lowest.
+#: The dictionary is built from the first ``SAMPLE_BYTES`` of at most ``SAMPLE_PAGES`` records, those whose page ids hash lowest.
 SAMPLE_PAGES = 2000
 SAMPLE_BYTES = 4096
 DICTIONARY_BYTES = 65_536
@@ -98,13 +98,16 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def train(samples: list[bytes]) -> bytes:
-    """A dictionary, or none where the samples are too few or too small for one."""
-    if len(samples) < 8 or sum(map(len, samples)) < 4 * DICTIONARY_BYTES:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # the samples have nothing in common
-        return b""
+    """A dictionary of the records in ``samples``; none without records.
+
+    Where they are too few, too small or too unlike to train one, their own last bytes are the dictionary (raw content).
+    """
+    if len(samples) >= 8:
+        try:
+            return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, samples)) // 4)), samples).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 class Writer:
@@ -170,12 +173,24 @@ def _with_originals(rows: DataFrame) -> DataFrame:
     return spread_join(large, groups, "_key", "n").where("_row <> refers_row").select("_row", "refers_row", "refers_to")
 
 
-def _dictionary(rows: DataFrame) -> bytes:
+def _dictionary(rows: DataFrame, revisits: DataFrame) -> bytes:
+    """The dictionary of a sample of records as they will be written."""
     chosen = rows.select("page_id", "_row").orderBy(F.xxhash64("page_id"), "_row").limit(SAMPLE_PAGES).select("_row")
-    sample = rows.select("_row", F.encode(F.substring("html", 1, SAMPLE_BYTES), "utf-8").alias("x")).join(F.broadcast(chosen), "_row")
+
+    def run(batches):
+        for batch in batches:
+            some = batch.to_pylist()
+            out = [pa.array([x["_row"] for x in some], pa.int64()), pa.array([record(x)[:SAMPLE_BYTES] for x in some], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["_row", "x"])
+
+    sample = _full(rows.join(F.broadcast(chosen), "_row"), revisits).mapInArrow(run, "_row long, x binary")
     return train([bytes(r["x"]) for r in sorted(sample.collect())])  # SAMPLE_PAGES pieces at most
 
 
+def _full(rows: DataFrame, revisits: DataFrame) -> DataFrame:
+    return rows.select("_row", "page_id", "url", "html", "payload_digest").join(revisits, "_row", "left")
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write every row of ``pages`` (page_id, url, html) as a record; returns the written list of files.
 
@@ -183,13 +198,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     (null ids last, then the later row) is the response. Rows are dealt out evenly, whatever their payloads share.
     """
     rows = _numbered(pages)
-    dictionary = _dictionary(rows)
     revisits = _with_originals(rows)
     # a checked number of revisits, three numbers each, goes to the pages; more of them meet in a shuffle
     revisits = cut(revisits)
     if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
-    full = rows.select("_row", "page_id", "url", "html", "payload_digest").join(revisits, "_row", "left")
+    dictionary = _dictionary(rows, revisits)
 
     def run(batches):
         writer, size, count = Writer(dictionary), 0, 0
@@ -210,7 +224,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         if count:
             yield file()
 
-    return cut(full.mapInArrow(run, "file string, n_records long"))
+    return cut(_full(rows, revisits).mapInArrow(run, "file string, n_records long"))
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -233,7 +247,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                 kinds = pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return files.repartition("file").mapInArrow(run, schema)
+    return dealt(files, files.count()).mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

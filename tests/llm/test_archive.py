@@ -3,9 +3,10 @@ import random
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from netloom.llm import warc_archive as wa
-from netloom.llm.files import read_file
+from netloom.llm.files import dealt, read_file
 
 PAGES = "page_id long, url string, html string, file string"
 
@@ -23,6 +24,7 @@ def pages():
 def test_awkward_pages(spark, tmp_path):
     folder = f"file://{tmp_path}/warc"
     files = wa.write_archives(spark.createDataFrame(pages(), PAGES), folder)
+    assert all(wa.Reader(read_file(folder, r["file"])).start > 8 for r in files.collect())  # a small table has a dictionary too
     got = wa.read_archives(files, folder).collect()
     assert len(got) == len(pages())
     of = {}
@@ -59,3 +61,21 @@ def test_dictionary_travels_in_the_file_and_records_are_read_alone(spark, tmp_pa
     assert many[int(fields["X-Page-ID"])][2].encode() == payload and http.startswith(b"HTTP/1.1 200")
     assert fields["WARC-Type"] == "response"
     assert wa.read_archives(files, folder).count() == 800
+
+
+def test_few_or_unlike_records_have_a_dictionary_too():
+    draw = random.Random(6)
+    unlike = [draw.randbytes(40) for _ in range(20)]
+    for records in ([b"WARC/1.1 one"], unlike, [b"WARC/1.1 " + bytes([65 + i]) * 3000 for i in range(40)]):
+        writer = wa.Writer(wa.train(records))
+        for x in records:
+            writer.add(x)
+        reader = wa.Reader(writer.data())
+        assert reader.start > 8 and list(reader) == records
+    assert wa.train([]) == b""
+
+
+def test_files_are_read_by_many_tasks(spark):
+    files = spark.createDataFrame([(f"{i:032x}", 1) for i in range(40)], "file string, n_records long")
+    tasks = dealt(files, 40).select(F.spark_partition_id().alias("at")).distinct().count()
+    assert tasks > 5 and dealt(files.limit(0), 0).count() == 0
