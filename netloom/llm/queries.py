@@ -52,7 +52,7 @@ def _(spark, folder):
 @query("op1_token_counts")
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_tables=False)
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query("op2_token_files")
