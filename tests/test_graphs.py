@@ -197,6 +197,32 @@ def test_bits_against_plain_searches(spark, directed):
         assert {r["vid"]: [r["far"], r["reached"]] for r in sums.collect()} == far
 
 
+def stars(spark, n, size):
+    return make(spark, [(size * k, size * k + i) for k in range(n) for i in range(1, size)])
+
+
+def test_components_are_searched_side_by_side(spark):
+    """Three stars of 70 share two batches of 64 places, where 210 vertices in a row would take four."""
+    graph = stars(spark, 3, 70)
+    assert [used for used, _ in traverse._batches(graph, 1, None)] == [1, 1]
+    found, sums = traverse.all_hops(graph, words=1)
+    assert found == [(0, 210), (1, 3 * 69 * 2), (2, 3 * 69 * 68)]
+    far = {r["vid"]: (r["far"], r["reached"]) for r in sums.collect()}
+    assert far == {v: (69 if v % 70 == 0 else 1 + 2 * 68, 69) for v in range(210)}
+
+
+def test_source_batches_count_what_sources_reach(spark):
+    graph = stars(spark, 6, 5)
+    assert len(list(traverse.source_batches(graph, 150))) == 1  # 6 · 5² rows, not 30²
+    assert len(list(traverse.source_batches(graph, 75))) == 2
+
+
+def test_state_is_not_broadcast(spark):
+    graph = make(spark, STAR)
+    plan = lk.simple_links(graph).send(graph.vertices.select("vid"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize(("n", "m"), [(60, 55), (5, 0)])
 def test_fringe_diameter(spark, n, m):
     pairs, graph = random_graph(spark, n, max(m, 1), n + m) if m else ([], gb.build_graph(spark.createDataFrame([], "s long, t long"), spark.createDataFrame([(i,) for i in range(n)], "name long")))
