@@ -5,9 +5,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from netloom.operators import pairs
 from netloom.operators.nearest import nearest_neighbours
 from netloom.operators.pairs import similarity_edges
+from netloom.plans import fixtures
 
 RNG = np.random.default_rng(5)
 POINTS = np.vstack([RNG.normal(size=(60, 2)), np.zeros((40, 2)), RNG.normal(size=(20, 2)) * 1e-3])
@@ -65,3 +68,21 @@ def test_a_bound_that_spans_the_data_is_announced(spark):
     df = spark.createDataFrame([(0, 1.0), (1, 2.0)], "id long, x double")
     with pytest.warns(UserWarning, match="100.0"):
         assert similarity_edges(df, "id", ["x"], "euclidean", 100.0).count() == 1
+
+
+def test_tasks_follow_the_pairs_compared(spark, monkeypatch):
+    """A key with many rows gets tasks by what it compares, not by the bytes of its rows."""
+    df = spark.range(200).selectExpr("id", "cast(id < 0 AS int) AS k")
+    monkeypatch.setattr(pairs, "TASK_PAIRS", 1000)
+    joined = pairs.tiled_join(df, df, ["k"], F.col("a.id") < F.col("b.id"), 20)
+    assert joined.rdd.getNumPartitions() == 40
+    assert joined.count() == 199 * 100
+
+
+def test_contacts_of_events_with_one_id(spark, tmp_path):
+    """Users meet by type and time, whatever the ids of their events."""
+    rows = [(7, 1, "a", "2024-01-01 00:00:00"), (7, 2, "a", "2024-01-01 00:00:01"), (8, 3, "b", "2024-01-01 00:00:01"), (9, 2, "b", "2024-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    for graph, want in ((fixtures.contact, [(0, 1), (1, 2)]), (fixtures.follow, [(0, 1), (1, 2)])):
+        assert sorted(map(tuple, graph(spark, str(tmp_path)).edges.select("src", "dst").collect())) == want
