@@ -86,3 +86,18 @@ def test_contacts_of_events_with_one_id(spark, tmp_path):
     events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
     for graph, want in ((fixtures.contact, [(0, 1), (1, 2)]), (fixtures.follow, [(0, 1), (1, 2)])):
         assert sorted(map(tuple, graph(spark, str(tmp_path)).edges.select("src", "dst").collect())) == want
+
+
+@pytest.mark.parametrize("metric", pairs.FLAG_METRICS)
+def test_flags_meet_as_classes(spark, monkeypatch, metric):
+    """Against the distance of each pair, with copies, hot classes and ids that come twice; the distance is taken once a class."""
+    rows = [(i % 45, *(float((i * k) % m) for k, m in ((1, 3), (2, 5), (3, 2)))) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, x0 double, x1 double, x2 double")
+    a, b = df.alias("a"), df.alias("b")
+    dist = pairs.distance(metric, [F.col(f"a.x{i}") for i in range(3)], [F.col(f"b.x{i}") for i in range(3)])
+    plain = a.join(b, F.col("a.id") < F.col("b.id")).select("a.id", "b.id", dist.alias("dist")).where("dist < 0.7")
+    seen = []
+    monkeypatch.setattr(pairs, "_flag_classes", lambda prep, inner=pairs._flag_classes: seen.append(inner(prep)) or seen[0])
+    found = similarity_edges(df, "id", ["x0", "x1", "x2"], metric, 0.7, tile_rows=7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert seen[0][0].rows.count() <= 8 and seen[0][1].count() == 50
