@@ -211,6 +211,10 @@ def test_components_are_searched_side_by_side(spark):
     assert far == {v: (69 if v % 70 == 0 else 1 + 2 * 68, 69) for v in range(210)}
 
 
+def test_a_batch_takes_two_thousand_sources(spark):
+    assert [used for used, _ in traverse._batches(stars(spark, 1, 2000), traverse.WORDS, None)] == [32]
+
+
 def test_source_batches_count_what_sources_reach(spark):
     graph = stars(spark, 6, 5)
     assert len(list(traverse.source_batches(graph, 150))) == 1  # 6 · 5² rows, not 30²
