@@ -1,10 +1,11 @@
 """Planted communities and invariants every algorithm must keep."""
 
 import itertools
+import time
 
 import pytest
 
-from netloom.operators.community import ALGORITHMS, detect, quality
+from netloom.operators.community import ALGORITHMS, detect, moves, quality
 from netloom.operators.graph import build_graph
 from netloom.plans import ENTRIES, communities
 
@@ -41,6 +42,21 @@ def test_spin_glass_offers_spins_that_no_neighbour_has(spark):
     assert member.select("community").distinct().count() == 20
 
 
+def test_a_heated_round_is_one_job(spark, ring, monkeypatch):
+    monkeypatch.setattr(moves, "MAX_ROUNDS", 0)  # no cold rounds
+
+    def jobs(rounds):
+        group = f"spins-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        with pytest.raises(RuntimeError):
+            detect(ring, "SpinGlass", stop=0.99 ** (rounds - 0.5))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        time.sleep(1)  # the tracker hears of jobs a little later
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(12) - jobs(2) == 10
+
+
 @pytest.mark.parametrize("name", ["community_spin_glass", "community_planted_spin_glass"])
 def test_spin_glass_queries_run_the_whole_schedule(spark, monkeypatch, name):
     asked = []
