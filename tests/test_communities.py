@@ -42,19 +42,28 @@ def test_spin_glass_offers_spins_that_no_neighbour_has(spark):
     assert member.select("community").distinct().count() == 20
 
 
+def _jobs(spark, graph, algorithm, **options):
+    """Jobs of a run that ends because its rounds are used up."""
+    group = f"{algorithm} {moves.MAX_ROUNDS} {options}"
+    spark.sparkContext.setJobGroup(group, group)
+    with pytest.raises(RuntimeError):
+        detect(graph, algorithm, **options)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)  # the tracker hears of jobs a little later
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
 def test_a_heated_round_is_one_job(spark, ring, monkeypatch):
     monkeypatch.setattr(moves, "MAX_ROUNDS", 0)  # no cold rounds
+    assert _jobs(spark, ring, "SpinGlass", stop=0.99**11.5) - _jobs(spark, ring, "SpinGlass", stop=0.99**1.5) == 10
 
-    def jobs(rounds):
-        group = f"spins-{rounds}"
-        spark.sparkContext.setJobGroup(group, group)
-        with pytest.raises(RuntimeError):
-            detect(ring, "SpinGlass", stop=0.99 ** (rounds - 0.5))
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        time.sleep(1)  # the tracker hears of jobs a little later
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
-    assert jobs(12) - jobs(2) == 10
+@pytest.mark.parametrize("name", ["MultiLevel", "Leiden"])
+def test_a_round_of_moves_on_a_small_level_writes_once(spark, ring, monkeypatch, name):
+    monkeypatch.setattr(moves, "MAX_ROUNDS", 1)
+    one = _jobs(spark, ring, name)
+    monkeypatch.setattr(moves, "MAX_ROUNDS", 3)
+    assert _jobs(spark, ring, name) - one <= 2 * 5  # the round, and broadcasts of the totals and masses it joins
 
 
 @pytest.mark.parametrize("name", ["community_spin_glass", "community_planted_spin_glass"])
