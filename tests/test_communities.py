@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from netloom.operators.community import ALGORITHMS, detect, moves, quality
+from netloom.operators.community import ALGORITHMS, detect, divide, moves, quality
 from netloom.operators.graph import build_graph
 from netloom.plans import ENTRIES, communities
 
@@ -132,6 +132,17 @@ def test_edge_betweenness_removes_one_edge_at_a_time(spark):
     assert groups == _girvan_newman(SMALL, range(13))
 
 
+def test_small_components_lose_their_edges_in_one_task(spark, monkeypatch):
+    graph = build_graph(spark.createDataFrame(SMALL, "source long, target long"))
+    spark.sparkContext.setJobGroup("whole", "whole")
+    whole = {r["vid"]: r["community"] for r in detect(graph, "EdgeBetweenness").collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)  # the tracker hears of jobs a little later
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("whole")) < 150  # a round for each of seven removals takes more
+    monkeypatch.setattr(divide, "WHOLE_VERTICES", 3)  # the largest component is broken up in rounds, its triangles are not
+    assert whole == {r["vid"]: r["community"] for r in detect(graph, "EdgeBetweenness").collect()}
+
+
 @pytest.mark.parametrize("name", ["community_edge_betweenness", "community_planted_edge_betweenness"])
 def test_edge_betweenness_queries_remove_one_edge_at_a_time(spark, monkeypatch, name):
     asked = []
