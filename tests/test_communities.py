@@ -79,6 +79,20 @@ def test_spin_glass_queries_run_the_whole_schedule(spark, monkeypatch, name):
     assert asked == [("SpinGlass", {})]
 
 
+def test_small_communities_are_split_in_one_task(spark, monkeypatch):
+    # groups of 3, 5 and 8, one joined with the next
+    ends = (0, 3, 8, 16)
+    pairs = [p for a, b in itertools.pairwise(ends) for p in itertools.combinations(range(a, b), 2)] + [(2, 3), (7, 8)]
+    graph = build_graph(spark.createDataFrame(pairs, "source long, target long"))
+    spark.sparkContext.setJobGroup("split", "split")
+    split = {r["vid"]: r["community"] for r in detect(graph, "LeadingEigenvector").collect()}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)  # the tracker hears of jobs a little later
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("split")) < 60  # the cycles of the first split alone take more
+    monkeypatch.setattr(divide, "COMMUNITY_ARCS", 30)  # the whole graph is split by jobs, its parts are not
+    assert split == {r["vid"]: r["community"] for r in detect(graph, "LeadingEigenvector").collect()}
+
+
 def _apart(edges, vertices):
     """Components, as sorted lists."""
     of = {v: v for v in vertices}
