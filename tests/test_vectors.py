@@ -106,3 +106,14 @@ def test_awkward_vectors(spark):
         vector_join(mixed, "key", "v", 1.0)
     with pytest.raises(ValueError):
         vector_join(df, "key", "v", math.inf)
+
+
+def test_blocks_of_wide_vectors_are_large_and_compared_in_parts(spark, monkeypatch):
+    asked, cells = [], nn._cells
+    monkeypatch.setattr(nn, "_cells", lambda points, k, metric, p, wanted: asked.append(wanted) or cells(points, k, metric, p, wanted))
+    nearest_vectors(frame(spark, np.random.default_rng(1).normal(size=(4500, 8))), "key", "v", 2).count()
+    assert asked == [1]
+    x, y = np.random.default_rng(2).normal(size=(2, 50, 8))
+    whole = nn._best("euclidean", x, y, 3, 2.0)
+    monkeypatch.setattr(nn, "AT_ONCE", 350)
+    assert all((a == b).all() for a, b in zip(whole, nn._best("euclidean", x, y, 3, 2.0), strict=True))
