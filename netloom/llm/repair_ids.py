@@ -12,15 +12,20 @@ null); first symbol of each document and the end (uint64); ids of each document
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from array import array
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from netloom.llm.common import cut, scratch_path
 from netloom.llm.files import dealt, read_file, write_file
@@ -38,30 +43,74 @@ AT_ONCE = 5_000
 DOCS_AT_ONCE = 128
 
 
+#: How a vocabulary must read texts for plain words to be lowered and cut before the library's model sees them.
+LOWERED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+CUTS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Plain characters: printable ASCII and the letters of Latin-1 that have both cases, which lowering keeps plain.
+PLAIN = re.compile("[\n -~À-ÖØ-Þà-öø-þ]*")
+#: The cuts in a lowered plain word.
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-þ]+|[0-9]|[^a-zà-öø-þ0-9]+")
+
+
 class WordEncoder:
     """Ids of a text by the tokenizers library. Spaces and newlines separate words for good, so words are remembered.
 
-    Ids come as the bytes of little-endian unsigned 32-bit integers.
+    Where the vocabulary lowers texts and cuts words as ``CUTS`` does, a plain word is put together from its parts, which are
+    far fewer than the words, and the library's model encodes each part; words of any other kind go
+    through the whole library. Ids come as the bytes of little-endian unsigned 32-bit integers.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost more than they bring
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        steps = [(made[kind] or {}).get(inner, []) for kind, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        split = [x.get("pattern") == {"Regex": CUTS} and x["behavior"] == "Removed" and x["invert"] for x in steps[1][:1]]
+        level = [x["type"] == "ByteLevel" and not (x["add_prefix_space"] or x["use_regex"]) for x in steps[1][1:]]
+        added = all(x["content"].startswith("<|") for x in made["added_tokens"])
+        self.cuts = added and steps[0] == LOWERED and split == level == [True] and made["post_processor"] is None
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {x: as_bytes(chr(x))[0][0] for x in range(0xE0, 0xFF)}
+
+    def _plain(self, text: str) -> bool:
+        # an added token is found in the text as it stands
+        return self.cuts and PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    @staticmethod
+    def _joined(groups: list[list[str]], known: dict[str, bytes], encode: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The bytes of the members of each group. Once the memory is full, what is new lives for this call only; frequent ones came early."""
+        new = list(set().union(*groups).difference(known))
+        full = len(known) >= REMEMBERED
+        known.update(zip(new, encode(new), strict=True))
+        out = [b"".join(map(known.__getitem__, members)) for members in groups]
+        if full:
+            for x in new:
+                del known[x]
+        return out
+
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        model, letters = self.model.tokenize, self.letters
+        for part in parts:
+            yield array("I", [x.id for x in model(part if part.isascii() else part.translate(letters))]).tobytes()
+
+    def _encode_words(self, words: list[str]) -> Iterable[bytes]:
+        plain = [self._plain(w) for w in words]
+        groups = iter(self._joined([PARTS.findall(w.lower()) for w, yes in zip(words, plain, strict=True) if yes], self.parts, self._encode_parts))
+        others = self._encode_whole([w for w, yes in zip(words, plain, strict=True) if not yes])
+        return (next(groups if yes else others) for yes in plain)
+
+    def _encode_whole(self, words: list[str]) -> Iterator[bytes]:
+        for start in range(0, len(words), AT_ONCE):
+            for found in self.tokenizer.encode_batch_fast(words[start : start + AT_ONCE], add_special_tokens=False):
+                yield array("I", found.ids).tobytes()
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-        # once the memory is full, words that are new live for this call only; frequent ones came early
-        known = self.words
-        new = [w for w in set().union(*split) if w not in known]
-        rare = {} if len(known) >= REMEMBERED else known
-        for start in range(0, len(new), AT_ONCE):
-            part = new[start : start + AT_ONCE]
-            for w, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                rare[w] = array("I", found.ids).tobytes()
-        if rare is known:
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([x if (x := known.get(w)) is not None else rare[w] for w in words]) for words in split]
+        lowered = (x.lower() if self._plain(x) else x for x in (x or "" for x in texts))
+        return self._joined([x.replace("\n", " ").split(" ") for x in lowered], self.words, self._encode_words)
 
 
 @lru_cache(maxsize=2)
@@ -70,6 +119,23 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _numbered(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs as ``left << 32 | right`` in order, the number of the pair at each place, and the places of each pair."""
+    width, at = (symbols - 1).bit_length(), len(left).bit_length()
+    if 2 * width + at > 64:
+        return np.unique((left.astype(np.uint64) << np.uint64(32)) | right, return_inverse=True, return_counts=True)
+    # pair and place in one number: sorting numbers is much faster than sorting places by their pairs
+    place = np.arange(len(left), dtype=np.uint64)
+    packed = np.sort((((left.astype(np.uint64) << np.uint64(width)) | right) << np.uint64(at)) | place)
+    keys = packed >> np.uint64(at)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    often = np.diff(first, append=len(keys))
+    number = np.empty(len(keys), np.int64)
+    number[(packed & np.uint64((1 << at) - 1)).astype(np.int64)] = np.repeat(np.arange(len(first)), often)
+    found = keys[first]
+    return ((found >> np.uint64(width)) << np.uint64(32)) | (found & np.uint64((1 << width) - 1)), number, often
+
+
 def compress(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int = LEAST_COUNT):
     """``(symbols, ends, rules, lengths)`` of a shard; ``ends`` are the documents' ends in the symbols.
 
@@ -89,8 +155,7 @@ def compress(symbols: np.ndarray, ends: np.ndarray, terminals: int, least: int =
         wanted = max(least, int(counts.max()) // 16)
         limit = wanted if limit is None else min(limit, wanted)
         places = np.flatnonzero((counts >= limit)[cells] & ~final[:-1])  # a frequent pair makes its cell frequent
-        keys = (seq[places].astype(np.uint64) << np.uint64(32)) | seq[places + 1]
-        found, number, often = np.unique(keys, return_inverse=True, return_counts=True)
+        found, number, often = _numbered(seq[places], seq[places + 1], terminals + n_rules)
         chosen = often >= limit
         if not chosen.any():
             if limit == least:
@@ -162,8 +227,14 @@ class ShardReader:
         symbols = take("u1", n_symbols * width).reshape(-1, width).astype(np.uint32)
         self.symbols = sum(symbols[:, k] << np.uint32(8 * k) for k in range(width))
 
-    def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a stretch of symbols: every symbol opens into its two parts until all are terminals."""
+    @cached_property
+    def opened(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all rules, one rule after another, and the first id and number of ids of every rule."""
+        first = np.cumsum(self.lengths) - self.lengths
+        return self._open(self.rules.reshape(-1)), first, self.lengths
+
+    def _open(self, symbols: np.ndarray) -> np.ndarray:
+        """Every symbol opens into its two parts until all are terminals."""
         while True:
             deep = symbols >= self.terminals
             if not deep.any():
@@ -174,6 +245,22 @@ class ShardReader:
             out[at], out[at + 1] = pairs[:, 0], pairs[:, 1]
             symbols = out
 
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of a stretch of symbols, each rule's ids copied from where it is opened."""
+        deep = np.flatnonzero(symbols >= self.terminals)
+        if not len(deep):
+            return symbols
+        ids, first, size = self.opened
+        rule = symbols[deep] - self.terminals
+        sizes = np.ones(len(symbols), np.int64)
+        sizes[deep] = size[rule]
+        out = np.repeat(symbols, sizes)
+        starts = (np.cumsum(sizes) - sizes)[deep]
+        n = size[rule]
+        shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(starts, n) + shift] = ids[np.repeat(first[rule], n) + shift]
+        return out
+
     def document(self, number: int) -> np.ndarray:
         return self.expand(self.symbols[self.starts[number] : self.starts[number + 1]])
 

@@ -98,6 +98,38 @@ def test_token_files_awkward_rows(spark, tmp_path):
     assert ri.token_files(nothing(spark), WORDS).count() == 0
 
 
+def test_words_are_put_together_from_parts():
+    encoder, library = ri.word_encoder(WORDS), Tokenizer.from_file(WORDS)
+    assert encoder.cuts
+    odd = [
+        "Thoner. THONER, thoner's", "<|endoftext|> A<|ENDOFTEXT|>b", "x<|startoftext|>'S it'S \"'s 'tis we'Re''d", "\x1cfoo\x1d \x85 a\tb\rC",
+        "İI ſ Ḱ e\u0301 b", "12³ ½a٣ _x_'s'", "éÉ'S Éa ÿ Ÿ ß × ÷ þÞ", "éé漢é a.é.b!é", None, "", " \n\n ", "A" * 300 + "!?" * 50,
+    ]
+    texts = odd + scraps(9, 3000)
+    ids = [array("I", library.encode(x or "", add_special_tokens=False).ids).tobytes() for x in texts]
+    assert encoder.encode_batch(texts) == ids
+    # the model is asked once for a part, whatever stands around it and in either case
+    assert {"thoner", ".", ",", "'s"} <= set(encoder.parts) and "thoner." not in encoder.parts
+
+
+def test_full_memory_changes_no_id(monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(ri, "REMEMBERED", 5)
+    encoder, texts = ri.WordEncoder(WORDS), scraps(10, 300)
+    for start in range(0, 300, 20):
+        some = texts[start : start + 20]
+        assert encoder.encode_batch(some) == [array("I", library.encode(x, add_special_tokens=False).ids).tobytes() for x in some]
+    assert len(encoder.words) < 100
+
+
+def test_pairs_are_numbered_the_same_either_way():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        left, right = draw.integers(0, 50, (2, n), dtype=np.uint32)
+        for a, b in zip(ri._numbered(left, right, 50), ri._numbered(left, right, 1 << 32), strict=True):
+            assert a.tolist() == b.ravel().tolist()
+
+
 @pytest.fixture(scope="module")
 def model():
     return pc.PieceModel(PIECES)
