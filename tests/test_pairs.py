@@ -101,3 +101,16 @@ def test_flags_meet_as_classes(spark, monkeypatch, metric):
     found = similarity_edges(df, "id", ["x0", "x1", "x2"], metric, 0.7, tile_rows=7)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
     assert seen[0][0].rows.count() <= 8 and seen[0][1].count() == 50
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_minkowski_at_the_bound(spark, inclusive):
+    points = np.vstack([POINTS, [[5.0, 5.0], [5.25, 5.0], [5.0, 5.25]]])
+    out = similarity_edges(_frame(spark, points), "id", ["x", "y"], "minkowski", 0.25, p=3.0, inclusive=inclusive)
+    gap = lambda a, b: (abs(a[0] - b[0]) ** 3.0 + abs(a[1] - b[1]) ** 3.0) ** (1 / 3)
+    near = (lambda d: d <= 0.25) if inclusive else (lambda d: d < 0.25)
+    assert sorted((r["source"], r["target"]) for r in out.collect()) == [
+        (i, j) for i, j in itertools.combinations(range(len(points)), 2) if near(gap(points[i], points[j]))
+    ]
+    # a power is taken only where products leave a doubt
+    assert "1.000000001" in str(pairs._minkowski_below([F.col("a")], [F.col("b")], 1.0, 1.0, F.lit(True)))
