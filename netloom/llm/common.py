@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.plans.registry import table  # noqa: F401
-from netloom.runtime import cut, scratch_path  # noqa: F401
+from netloom.runtime import cut, scratch_path, setting  # noqa: F401
 
 #: A key counts as hot from this share of all rows on, so there are at most this many hot keys.
 HOT_KEYS = 1000
@@ -16,6 +16,16 @@ HOT_KEYS = 1000
 SPACES = r"[ \t-\r]+"
 
 
+#: Bytes of an Arrow batch where rows are whole texts: a batch stands in a task several times, in both processes.
+BATCH_BYTES = 4 << 20
+
+
+def cut_in_small_batches(df: DataFrame) -> DataFrame:
+    """As ``cut``; Python sees batches of about ``BATCH_BYTES`` instead of 10,000 rows of any size."""
+    with setting(df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return cut(df)
+
+
 def words_of(text: str | Column) -> Column:
     """Words of ``text``; null gives an empty list."""
     column = F.col(text) if isinstance(text, str) else text

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import cut, spread_join
+from netloom.llm.common import cut_in_small_batches as cut
+from netloom.llm.common import spread_join
 
 SHINGLE = 5
 SIMILARITY = 80
@@ -49,8 +50,9 @@ SKETCH = 256
 FINE = 2048
 #: A sketch rules out a pair at the threshold with a chance of exp(-DOUBT), 1e-11.
 DOUBT = 11 * math.log(10)
-#: Pairs whose fine sketches are compared at a time.
+#: Pairs of a block that are looked at at a time, and bytes of sketches compared at a time.
 PAIRS_AT_ONCE = 8192
+SKETCHES_AT_ONCE = 1 << 20
 #: This many row numbers, 8 bytes each, may be broadcast; beyond that a shuffled join takes over.
 BROADCAST_ROWS = 500_000
 #: Hashes that are permuted at once, which bounds memory for long texts.
@@ -237,7 +239,10 @@ def _block_pairs(similarity: int):
             x, y = np.nonzero(open_)
             a, b = some[x, 0], right[y]
             for kind in (sketch, fine):
-                fits, _ = _not_ruled_out(kind[a], kind[b], n[a], n[b], similarity)
+                many = SKETCHES_AT_ONCE // kind.shape[1]
+                parts = [(a[k : k + many], b[k : k + many]) for k in range(0, len(a), many)]
+                fits = [_not_ruled_out(kind[u], kind[v], n[u], n[v], similarity)[0] for u, v in parts]
+                fits = np.concatenate([np.empty(0, bool), *fits])
                 a, b = a[fits], b[fits]
             found.append(np.stack([rep[a], rep[b]]))
         a, b = np.concatenate(found, axis=1)

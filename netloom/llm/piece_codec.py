@@ -27,6 +27,8 @@ SPACE = "▁"
 #: Longer stretches without a sure boundary are streamed and not remembered.
 WORD = 64
 BLOCK = 4096
+#: Documents of an Arrow batch that are encoded, and given out, at a time.
+DOCS_AT_ONCE = 256
 
 
 class PieceModel:
@@ -52,7 +54,7 @@ class PieceModel:
         alone = "".join(c for c in "\n\t\r" if not any(c in piece for piece in self.ids))
         crossing = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
         self.stretches = None if crossing else regex.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone or SPACE}]")
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
 
     def ids_of(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -98,15 +100,15 @@ class PieceModel:
             end -= len(path[-1])
         return [i for piece in reversed(path) for i in self.ids_of(piece)]
 
-    def _stretch(self, text: str) -> array:
+    def _stretch(self, text: str) -> bytes:
         known = self.words.get(text)
         if known is not None:
             return known
         if len(text) > WORD:
             blocks = (text[i : i + BLOCK] for i in range(0, len(text), BLOCK))
-            return array("i", [i for part in self.stream(blocks) for i in part])
+            return array("i", [i for part in self.stream(blocks) for i in part]).tobytes()
         # all paths meet at the end of a stretch, so a short one needs no earlier meeting
-        out = array("i", self._trace(self.bpe.last_pieces(text), len(text)))
+        out = array("i", self._trace(self.bpe.last_pieces(text), len(text))).tobytes()
         if len(self.words) < MEMORY:  # frequent stretches come early
             self.words[text] = out
         return out
@@ -116,8 +118,7 @@ class PieceModel:
         out = array("i")
         if not normal:
             return out
-        for part in self.stretches.findall(normal) if self.stretches else [normal]:
-            out.extend(self._stretch(part))
+        out.frombytes(b"".join(map(self._stretch, self.stretches.findall(normal) if self.stretches else [normal])))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -134,21 +135,10 @@ def piece_model(path: str) -> PieceModel:
 ADDED = ("ids", "n_ids", "ids_crc32", "n_text_chars", "round_trip")
 
 
-def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """All columns of ``docs`` but ``text``, with the ids of its whole text and proof of decoding.
-
-    ``ids`` is the list of piece ids, ``n_ids`` its length, ``ids_crc32`` the unsigned crc32 of the ids as little-endian
-    unsigned 32-bit integers, ``n_text_chars`` the code points of the text, and ``round_trip`` says whether decoding
-    gives the text back (a text that holds the space mark itself does not). Null counts as empty and
-    has no ids. Rows are handled one by one, so repeated rows get equal results. Columns
-    of the input that bear a name given out here are replaced. ``model_path`` must exist on every executor.
-    """
-    rows = docs.select(*[c for c in docs.columns if c not in ADDED and c != "text"], F.col("text"))
-    schema = with_fields(rows.drop("text").schema, "ids array<int>, n_ids long, ids_crc32 long, n_text_chars long, round_trip boolean")
-
+def _encoded(model_path: str):
     def run(batches):
         model = piece_model(model_path)
-        for batch in batches:
+        for batch in (whole.slice(start, DOCS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, DOCS_AT_ONCE)):
             offsets, flat, checks, chars, same = [0], array("i"), [], [], []
             for text in batch.column("text").to_pylist():
                 ids = model.encode(text)
@@ -164,4 +154,18 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
                 names=[*batch.schema.names[:-1], *ADDED],
             )
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
+    """All columns of ``docs`` but ``text``, with the ids of its whole text and proof of decoding.
+
+    ``ids`` is the list of piece ids, ``n_ids`` its length, ``ids_crc32`` the unsigned crc32 of the ids as little-endian
+    unsigned 32-bit integers, ``n_text_chars`` the code points of the text, and ``round_trip`` says whether decoding
+    gives the text back (a text that holds the space mark itself does not). Null counts as empty and
+    has no ids. Rows are handled one by one, so repeated rows get equal results. Columns
+    of the input that bear a name given out here are replaced. ``model_path`` must exist on every executor.
+    """
+    rows = docs.select(*[c for c in docs.columns if c not in ADDED and c != "text"], F.col("text"))
+    schema = with_fields(rows.drop("text").schema, "ids array<int>, n_ids long, ids_crc32 long, n_text_chars long, round_trip boolean")
+    return rows.mapInArrow(_encoded(model_path), schema)

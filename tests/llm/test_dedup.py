@@ -7,10 +7,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import components, documents, lower, nothing, rows, shingles
 from netloom.llm import exact_dedup as ed
 from netloom.llm import near_dedup as nd
+from netloom.llm.common import BATCH_BYTES, cut_in_small_batches
 from netloom.runtime import cut
 
 
@@ -189,3 +191,38 @@ def test_large_nodes_meet_in_blocks(spark):
     fine = spark.createDataFrame([(r, k) for r, *_, k in rows], "rep long, fine binary")
     members = spark.createDataFrame([(7, 2000, r, c) for r, c, *_ in rows], "node long, n long, rep long, comp long")
     assert {tuple(r) for r in nd.likely_in_large(members, reps, fine, 80).collect()} == seen[0]
+
+
+def test_batches_of_long_texts_are_small(spark):
+    rows_ = spark.range(300).repartition(1).select("id", F.repeat(F.lit("x"), 100_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    got = [r["n"] for r in cut_in_small_batches(rows_.mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) > 300 * 100_000 and max(got) < 2 * BATCH_BYTES
+
+
+def test_blocks_compare_few_sketches_at_a_time(monkeypatch):
+    n, seen, whole = 200, [], nd._not_ruled_out
+
+    def counted(a, b, na, nb, similarity):
+        seen.append(a.nbytes)
+        return whole(a, b, na, nb, similarity)
+
+    monkeypatch.setattr(nd, "_not_ruled_out", counted)
+    tokens = [nd.shingle_set(" ".join(f"w{(i % 4) * 5000 + k + i}" for k in range(900)), 4) for i in range(n)]
+    kinds = {"sketch": nd.SKETCH, "fine": nd.FINE}
+    table = pa.table({
+        "rep": np.arange(n), "comp": np.arange(n), "n_shingles": np.array([len(x) for x in tokens]), "block": np.zeros(n, np.int64),
+        "i": np.zeros(n, np.int64), "j": np.zeros(n, np.int64), **{k: pa.array([nd._sketch(x, w) for x in tokens], pa.binary()) for k, w in kinds.items()},
+    })
+    out = nd._block_pairs(80)(table)
+    got = set(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+    similar = {
+        (i, j) for i in range(n) for j in range(i + 1, n)
+        if 100 * (c := len(np.intersect1d(tokens[i], tokens[j]))) >= 80 * (len(tokens[i]) + len(tokens[j]) - c)
+    }
+    assert similar and similar <= got
+    assert max(seen) <= nd.SKETCHES_AT_ONCE

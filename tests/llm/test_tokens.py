@@ -4,6 +4,7 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -155,6 +156,13 @@ def test_stream_is_the_same_for_any_blocks_and_keeps_a_small_window(model):
         assert max(map(len, parts)) <= size + 4 * model.longest
 
 
+def test_pieces_come_out_in_small_batches():
+    texts = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": [f"text {i}" for i in range(1000)]})
+    out = list(pc._encoded(PIECES)([texts]))
+    assert max(b.num_rows for b in out) <= pc.DOCS_AT_ONCE
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(1000)) and all(x for b in out for x in b.column("round_trip").to_pylist())
+
+
 def test_piece_codec_awkward_rows(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = pc.encode_pieces(documents(spark).withColumnRenamed("n_chars", "ids"), PIECES).collect()
