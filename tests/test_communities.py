@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from netloom.operators.community import ALGORITHMS, detect, divide, moves, quality
+from netloom.operators.community import ALGORITHMS, dealt, detect, divide, moves, quality
 from netloom.operators.graph import build_graph
 from netloom.plans import ENTRIES, communities
 
@@ -168,3 +168,21 @@ def test_edge_betweenness_queries_remove_one_edge_at_a_time(spark, monkeypatch,
     monkeypatch.setattr(communities, "detect", noted)
     ENTRIES[name].run(spark, "/root/testdata/sf0.001")
     assert asked == [("EdgeBetweenness", 1)]
+
+
+@pytest.mark.parametrize(("name", "options"), [("SpinGlass", {"cooling": 0.7, "stop": 0.1, "seed": 3}), ("Leiden", {}), ("Leiden", {"objective_name": "CPM", "resolution": 0.2}), ("MultiLevel", {"seed": 5})])
+def test_rounds_over_slices_find_what_joins_find(spark, monkeypatch, name, options):
+    monkeypatch.setattr(dealt, "ROWS", 6)  # several slices
+    pairs = [*RING, *((i, 5 * i % 23) for i in range(23))]
+    graph = build_graph(spark.createDataFrame(pairs, "source long, target long"))
+    in_slices = sorted(map(tuple, detect(graph, name, **options).collect()))
+    monkeypatch.setattr(dealt, "fits", lambda level: False)
+    assert in_slices == sorted(map(tuple, detect(graph, name, **options).collect()))
+
+
+@pytest.mark.parametrize("name", ["MultiLevel", "Leiden"])
+def test_a_round_over_slices_is_one_job(spark, ring, monkeypatch, name):
+    monkeypatch.setattr(moves, "MAX_ROUNDS", 1)
+    one = _jobs(spark, ring, name)
+    monkeypatch.setattr(moves, "MAX_ROUNDS", 3)
+    assert _jobs(spark, ring, name) - one == 2
