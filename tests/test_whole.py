@@ -60,3 +60,24 @@ def test_pieces_and_ranks():
     assert whole.pieces(7, np.array([5, 1, 2]), np.array([1, 6, 3])).tolist() == [0, 1, 2, 2, 4, 1, 1]
     assert whole.ranks(np.array([4, 1, 4, 1, 4])).tolist() == [0, 0, 1, 1, 2]
     assert whole.ranks(np.array([4, 1, 4, 1, 4]), np.array([9, 2, 8, 1, 7])).tolist() == [2, 1, 1, 0, 0]
+
+
+@pytest.mark.parametrize(("n", "m", "seed"), [(60, 55, 1), (200, 210, 2), (300, 700, 3), (40, 0, 4)])
+def test_diameter_of_a_held_graph(spark, n, m, seed):
+    """Against searches from every vertex; nothing is left to chance by the bounds."""
+    draw = np.random.default_rng(seed)
+    ends = np.vstack([draw.integers(0, n, (m, 2)), [[i, i + 1] for i in range(0, n - 1, 3)]])
+    ends = ends[ends[:, 0] != ends[:, 1]]
+    arcs = whole.Net(np.arange(n), np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]), ())
+    order = np.argsort(arcs.src, kind="stable")
+    starts = np.append(0, np.cumsum(np.bincount(arcs.src, minlength=n)))
+    want = max(int(whole._hops(starts, arcs.dst[order], np.array([v])).max()) for v in range(n))
+    assert whole.diameter(spark, arcs)[0] == want
+
+
+def test_few_searches_settle_a_diameter(spark, monkeypatch):
+    """A random graph, where the fringe of a middle vertex is half of it."""
+    draw = np.random.default_rng(1)
+    n, ends = 20_000, draw.integers(0, 20_000, (60_000, 2))
+    arcs = whole.Net(np.arange(n), np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]), ())
+    assert whole.diameter(spark, arcs)[1] < n / 4
